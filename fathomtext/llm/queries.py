@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from .byte_bpe import op8_byte_bpe
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
+from .simhash import op7_simhash
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op7_simhash": op7_simhash,
+    "op8_byte_bpe": op8_byte_bpe,
 }
+#: Operators that SQL cannot express, or only too slowly, are tested against brute force instead.
 SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
