@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op8_byte_bpe
+from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .simhash import op7_simhash
@@ -12,9 +13,11 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_decontaminate": op10_decontaminate,
 }
 #: Operators that SQL cannot express, or only too slowly, are tested against brute force instead.
 SQL = {
     "op2_exact_dedup": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
+    "op10_decontaminate": OP10_SQL,
 }

@@ -81,13 +81,7 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def byte_views(column: pa.Array) -> Iterator[memoryview]:
     """The UTF-8 bytes of a string column's values without copies; null as empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            for chunk in column.chunks:
-                yield from byte_views(chunk)
-            return
-    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
+    column = column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     ends = memoryview(offsets).cast("q")[column.offset : column.offset + len(column) + 1] if len(column) else []
     view = memoryview(data) if data is not None else memoryview(b"")
