@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, table, texts
 
 #: Digests that one shard of the index holds on average.
-SHARD_KEYS = 8192
+SHARD_KEYS = 512
 #: Bits that a level has for each digest left, and levels before the rest is kept as a plain list.
 GAMMA, LEVELS = 1.5, 24
 
