@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .shared import materialize, table, texts
 
 MIN_DOCS, MIN_CHARS = 10, 1
+#: So many frequent keys (16 bytes each) are sent to every executor; more are joined by a shuffle.
+FEW_KEYS = 200_000
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -44,7 +46,9 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     rows = materialize(texts(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row"), hashed(line_keys(F.col("text")), min_chars).alias("keys")), "lines")
     own = rows.select("row", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
     common = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
-    drop = own.join(common, "key").groupBy("row").agg(F.collect_set("key").alias("drop"))
+    common = materialize(common, "common")
+    few = F.broadcast(common) if common.count() <= FEW_KEYS else common
+    drop = own.join(few, "key").groupBy("row").agg(F.collect_set("key").alias("drop"))
     met = rows.join(drop, "row", "left")
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(
         F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.array_contains(F.col("drop"), F.get(F.col("keys"), i)), F.lit(False))), "\n"))
