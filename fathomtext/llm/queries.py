@@ -6,6 +6,7 @@ from .byte_bpe import op8_byte_bpe
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
+from .pii import op9_pii
 from .simhash import op7_simhash
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_pii": op9_pii,
     "op10_decontaminate": op10_decontaminate,
 }
 #: Operators that SQL cannot express, or only too slowly, are tested against brute force instead.
