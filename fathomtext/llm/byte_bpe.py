@@ -23,8 +23,10 @@ from .shared import prepare, table, texts
 
 TABLE = "byte_bpe_multi_50k.tiktoken"
 #: Matches whose ids a worker keeps, and the longest of them.
-KEPT, KEPT_CHARS = 150_000, 32
+KEPT, KEPT_CHARS = 200_000, 32
 NONE = (1 << 62) - 1
+#: Children of a node of the segment tree: the minimum of so many is one call.
+FAN = 16
 
 
 def segment_tree_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -32,50 +34,41 @@ def segment_tree_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     found = ranks.get(piece)
     if found is not None:
         return [found]
-    n = len(piece)
-    size = 1 << max(1, (n - 1).bit_length())
-    shift = size.bit_length()
-    pos = size - 1
-    tree = [NONE] * (2 * size)
-    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i : i + 2])
-        if r is not None:
-            tree[size + i] = r << shift | i
-    for i in range(size - 1, 0, -1):
-        a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a < b else b
-
-    def put(at: int, value: int) -> None:
-        k = size + at
-        if tree[k] == value:
-            return
-        tree[k] = value
-        k >>= 1
-        while k:
-            a, b = tree[2 * k], tree[2 * k + 1]
-            low = a if a < b else b
-            if tree[k] == low:
-                return
-            tree[k] = low
-            k >>= 1
-
-    while (best := tree[1]) != NONE:
-        i = best & pos
+    n, get = len(piece), ranks.get
+    shift = n.bit_length()
+    mask = (1 << shift) - 1
+    ends, before = list(range(1, n + 1)), list(range(-1, n))
+    leaves = [NONE if (r := get(piece[i : i + 2])) is None else r << shift | i for i in range(n - 1)]
+    levels = [leaves]
+    while len(levels[-1]) > FAN:
+        low = levels[-1]
+        levels.append([min(low[k : k + FAN]) for k in range(0, len(low), FAN)])
+    top, deep = levels[-1], len(levels) > 1
+    while (best := min(top, default=NONE)) != NONE:
+        i = best & mask
         j = ends[i]
         end = ends[i] = ends[j]
-        put(j, NONE)
+        before[end] = i
+        p = before[i]
         if end < n:
-            before[end] = i
-            r = get(piece[i : ends[end]])
-            put(i, NONE if r is None else r << shift | i)
+            leaves[j] = NONE
+            leaves[i] = NONE if (r := get(piece[i : ends[end]])) is None else r << shift | i
         else:
-            put(i, NONE)
-        p = before[i]
+            leaves[i] = NONE
         if p >= 0:
-            r = get(piece[p:end])
-            put(p, NONE if r is None else r << shift | p)
+            leaves[p] = NONE if (r := get(piece[p:end])) is None else r << shift | p
+        if deep:
+            for at in (p, i, j):
+                if at < 0:
+                    continue
+                for k in range(1, len(levels)):
+                    at //= FAN
+                    if at >= len(levels[k]):
+                        break
+                    value = min(levels[k - 1][at * FAN : at * FAN + FAN])
+                    if levels[k][at] == value:
+                        break
+                    levels[k][at] = value
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : ends[i]]])
@@ -92,20 +85,23 @@ class ByteBPE:
         self.tokens = {r: t for t, r in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def packed(self, piece: str) -> bytes:
         """The ids of one match as little-endian 32-bit numbers."""
         got = self.kept.get(piece)
         if got is None:
-            got = b"".join(x.to_bytes(4, "little") for x in segment_tree_merge(piece.encode(), self.ranks))
+            got = self.older.get(piece) or b"".join(x.to_bytes(4, "little") for x in segment_tree_merge(piece.encode(), self.ranks))
             if len(piece) <= KEPT_CHARS:
                 if len(self.kept) >= KEPT:
-                    self.kept.clear()
+                    self.older, self.kept = self.kept, {}
                 self.kept[piece] = got
         return got
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.packed, self.find(text)))
+        pieces = self.find(text)
+        known = list(map(self.kept.get, pieces))
+        return b"".join(self.packed(p) if x is None else x for x, p in zip(known, pieces, strict=True))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
