@@ -8,8 +8,10 @@ from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .pii import op9_pii
 from .simhash import op7_simhash
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op7_simhash": op7_simhash,
