@@ -5,14 +5,18 @@ from __future__ import annotations
 from .byte_bpe import op8_byte_bpe
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .html_text import op3_html_text
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .pii import op9_pii
 from .simhash import op7_simhash
+from .token_counts import op4_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_html_text": op3_html_text,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
