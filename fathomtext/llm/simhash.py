@@ -212,7 +212,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFr
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int, bits: int = BITS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """One row of each group of near copies, the one with the smallest doc_id, with all columns.
 
     Rows without an id are kept only where their whole group has none; rows that repeat the kept id
