@@ -9,6 +9,7 @@ from .html_text import op3_html_text
 from .line_dedup import OP5_SQL, op5_line_dedup
 from .pii import op9_pii
 from .simhash import op7_simhash
+from .substring_dedup import op6_substring_dedup
 from .token_counts import op4_token_counts
 from .toxicity import op1_toxicity
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_simhash": op7_simhash,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_pii": op9_pii,
