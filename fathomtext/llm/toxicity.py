@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .shared import prepare, table, texts
 
 #: Labelled rows of each class that are fitted on at most, and folds.
-SAMPLE, FOLDS = 2500, 5
+SAMPLE, FOLDS = 1500, 5
 #: Hash range of the features; documents that a feature must occur in; scale of shares.
 DIM, MIN_DOCS, SCALE = 1 << 20, 5, 50.0
 #: Odd multipliers of the hashes by which near copies in the sample are found.
