@@ -1 +1,15 @@
+"""Incremental refresh of the mention index (an extension: the corpus tools only rebuild in full)."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions import text as X
+
+
+def stream_mentions(reports: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Keep an in-memory table name, cnt of links over a stream of reports (content)."""
+    counts = reports.select(F.explode(X.links(F.col("content"))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.writeStream.outputMode("complete").format("memory").queryName(table).option("checkpointLocation", checkpoint).start()
