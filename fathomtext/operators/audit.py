@@ -34,13 +34,15 @@ def missing_sections(text: Column) -> Column:
 
 
 def metadata(text: Column) -> Column:
-    out = []
-    for field in V.METADATA:
-        line = F.get(F.filter(F.split(text, "\n", -1), lambda x, f=field: F.contains(x, F.lit(f))), F.lit(0))
+    """Of each field whether its label is missing, or its first line has no value."""
+
+    def one(field: str) -> Column:
+        line = F.get(F.filter(F.split(text, "\n", -1), lambda x: F.contains(x, F.lit(field))), F.lit(0))
         rest = X.strip(F.substr(line, F.position(F.lit(field), line) + len(field)))
         empty = (F.length(rest) == 0) | F.contains(line, F.lit(V.NOT_FILLED))
-        out.append(F.when(~F.contains(text, F.lit(field)), F.array(F.lit(f"Missing metadata: {field}"))).when(empty, F.array(F.lit(f"Empty metadata: {field}"))).otherwise(none()))
-    return F.concat(*out)
+        return F.when(~F.contains(text, F.lit(field)), F.array(F.lit(f"Missing metadata: {field}"))).when(empty, F.array(F.lit(f"Empty metadata: {field}"))).otherwise(none())
+
+    return F.concat(*(one(f) for f in V.METADATA))
 
 
 def link_rules(text: Column) -> Column:
