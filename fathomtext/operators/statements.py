@@ -74,7 +74,8 @@ def rendered(rows: DataFrame) -> DataFrame:
     period = F.struct("period_end", F.array(*cells).alias("cells"))
     kept = rows.groupBy("ticker", "period_kind").agg(F.reverse(F.array_sort(F.collect_list(period))).alias("p"))
     head = F.concat(F.lit("|  | "), F.array_join(F.transform("p", lambda x: x["period_end"].cast("string")), " | "), F.lit(" |\n|:---|"), F.array_join(F.transform("p", lambda x: F.lit("---:|")), ""))
-    lines = [F.concat(F.lit(f"\n| {label} | "), F.array_join(F.transform("p", lambda x, i=i: F.get(x["cells"], F.lit(i))["text"]), " | "), F.lit(" |")) for i, label in enumerate(V.METRIC_LABELS.values())]
+    row = lambda i: F.array_join(F.transform("p", lambda x: F.get(x["cells"], F.lit(i))["text"]), " | ")
+    lines = [F.concat(F.lit(f"\n| {label} | "), row(i), F.lit(" |")) for i, label in enumerate(V.METRIC_LABELS.values())]
     return kept.select("ticker", "period_kind", F.concat(head, *lines).alias("table"))
 
 

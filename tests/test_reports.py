@@ -181,6 +181,15 @@ def test_statement_metrics(spark):
     assert (new["gross_margin"], new["net_income"], new["capex"]) == (50.0, None, pytest.approx(-0.3)) and new["admin_exp"] == pytest.approx(0.2)
 
 
+def test_rendered_section(spark):
+    rows = [statement("Total Revenue", 2e6), statement("Total Revenue", 1e6, "2023-12-31"), statement("Gross Profit", 1e6)]
+    items = statements.line_items(spark.createDataFrame(rows, "ticker string, source string, period_kind string, period_end date, statement string, item string, value double"))
+    table = statements.rendered(statements.metrics(items)).first()["table"]
+    assert table.split("\n")[:5] == ["|  | 2024-12-31 | 2023-12-31 |", "|:---|---:|---:|", "| Revenue | 2.00 | 1.00 |", "| Gross Profit | 1.00 | - |", "| Gross Margin (%) | 50.00 | - |"]
+    whole = one(spark, statements.financial_section(F.lit(None).cast("string"), F.col("t"), F.lit(None).cast("string")), t="T")
+    assert whole == f"{V.FINANCIAL_TITLE}\n{V.ANNUAL_TITLE}\nT\n\n{V.QUARTERLY_TITLE}\n{V.NO_DATA}\n"
+
+
 def test_latest_reported_periods(spark):
     rows = spark.createDataFrame([("1", "Q", d) for d in ("2024-03-31", "2024-06-30", "2024-12-31", "2025-03-31", "2025-06-30")] + [("1", "A", "2020-12-31")], "ticker string, period_kind string, period_end string")
     got = [r["period_end"] for r in statements.latest(rows).where("period_kind = 'Q'").orderBy("period_end").collect()]
