@@ -212,16 +212,6 @@ def near_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFr
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One row of each group of near copies, the one with the smallest doc_id, with all columns.
-
-    Rows without an id are kept only where their whole group has none; rows that repeat the kept id
-    all stay (exact dedup, which removes them, goes before).
-    """
-    keep = near_groups(docs, words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
