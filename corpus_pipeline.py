@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from fathomtext.llm.byte_bpe import bpe_text
 from fathomtext.llm.decontaminate import drop_contaminated
 from fathomtext.llm.exact_dedup import drop_copies
+from fathomtext.llm.near_dedup import drop_near_copies
 from fathomtext.llm.shared import forget, materialize, prepare, table
-from fathomtext.llm.simhash import drop_near_copies
 from fathomtext.llm.toxicity import CHAIN, drop_toxic, learn
 
 
