@@ -102,9 +102,10 @@ def scan(spark: SparkSession, folder: str, eod: int = EOD, kind: str = KIND, blo
     met = seen.join(sums, ["file", "block"])
     final = (F.col("first") + F.col("tokens") == F.col("size")) & (F.col("size") > F.coalesce(F.array_max("ends") + 1, F.col("open")))
     stops = F.when(final, F.concat("ends", F.array("size"))).otherwise(F.col("ends"))
-    starts = F.concat(F.array("open"), F.transform("ends", lambda x: x + 1))
-    docs = F.transform(stops, lambda e, i: F.struct((F.col("base") + i).alias("ordinal"), F.get(starts, i).alias("start"), (e - F.get(starts, i)).alias("n_tokens"), (i < F.size("ends")).alias("terminated")))
-    return met.select("file", F.explode(docs).alias("d")).select("file", "d.*")
+    starts = F.slice(F.concat(F.array("open"), F.transform("ends", lambda x: x + 1)), F.lit(1), F.size(stops))
+    docs = F.zip_with(starts, stops, lambda s, e: F.struct(s.alias("start"), (e - s).alias("n_tokens")))
+    rows = met.select("file", "base", F.size("ends").alias("n"), F.posexplode(docs).alias("i", "d"))
+    return rows.select("file", (F.col("base") + F.col("i")).alias("ordinal"), "d.start", "d.n_tokens", (F.col("i") < F.col("n")).alias("terminated"))
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
