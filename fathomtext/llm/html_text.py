@@ -38,7 +38,7 @@ el los las de y en un una que por con para del se no es lo como más su al o""".
 #: Lengths in characters, densities as shares.
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.33, 0.15, 0.25
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -155,7 +155,7 @@ def first_pass(b: Block) -> str:
 
 
 def second_pass(blocks: list[Block]) -> None:
-    """Undecided blocks inherit from the nearest decided neighbours; headings from what follows."""
+    """Undecided blocks inherit from the nearest decided neighbours; headings from what follows. A page's edge is no good neighbour."""
     n = len(blocks)
     before, after = [""] * n, [""] * n
     last = ""
@@ -177,7 +177,7 @@ def second_pass(blocks: list[Block]) -> None:
         elif b.label == "near":
             b.label = "good" if "good" in near else "bad"
         else:
-            b.label = "good" if near == {"good"} else "bad"
+            b.label = "good" if before[i] == after[i] == "good" else "bad"
 
 
 def main_text(page: str | None) -> str:
