@@ -23,8 +23,8 @@ from .shared import byte_views, materialize, texts
 from .simhash import components, links
 
 SEEDS, BITS, WORDS, SIMILARITY = (11, 12, 13, 14, 15, 16), 3, 5, 0.8
-#: Members of a component that one task compares; documents that lead a round in larger ones.
-SMALL, LEADERS = 256, 8
+#: Members and bytes of shingles of a component that one task compares; documents that lead a round in larger ones.
+SMALL, SMALL_BYTES, LEADERS = 4096, 32 << 20, 8
 
 
 def set_fingerprints(text: bytes) -> list[int]:
@@ -79,20 +79,43 @@ def candidates(docs: DataFrame) -> DataFrame:
     return materialize(placed, "placed")
 
 
+class Kept:
+    """The documents of a component that stay so far, found by the shingles that a similar one must share.
+
+    Of a set of n shingles in a fixed order, one of the first n - ceil(0.8 n) + 1 is among the first
+    of any set with a Jaccard similarity of 0.8 or more.
+    """
+
+    def __init__(self, least: float = SIMILARITY):
+        self.least, self.sets, self.by_shingle = least, [], {}
+
+    def prefix(self, own: np.ndarray) -> list[int]:
+        return own[: len(own) - int(np.ceil(self.least * len(own) - 1e-9)) + 1].tolist()
+
+    def has_copy_of(self, own: np.ndarray) -> bool:
+        found = dict.fromkeys(k for h in self.prefix(own) for k in self.by_shingle.get(h, ()))
+        return any(similar(own, self.sets[k], self.least) for k in found)
+
+    def add(self, own: np.ndarray) -> None:
+        for h in self.prefix(own):
+            self.by_shingle.setdefault(h, []).append(len(self.sets))
+        self.sets.append(own)
+
+
 def greedy(members: DataFrame) -> DataFrame:
     """doc_id, dropped: the decision on each member (component, doc_id, shingles) of components that fit a task."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept = None, []
+        at, kept = None, Kept()
         for b in batches:
             out = []
             for c, s in zip(b.column(0).to_pylist(), byte_views(b.column(2)), strict=True):
                 if c != at:
-                    at, kept = c, []
+                    at, kept = c, Kept()
                 own = np.frombuffer(bytes(s), dtype=np.uint64)
-                out.append(any(similar(own, k) for k in kept))
+                out.append(kept.has_copy_of(own))
                 if not out[-1]:
-                    kept.append(own)
+                    kept.add(own)
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.bool_())], ["doc_id", "dropped"])
 
     dealt = members.select("component", "doc_id", "shingles").repartition("component").sortWithinPartitions("component", "doc_id")
@@ -127,8 +150,8 @@ def dropped_ids(docs: DataFrame) -> DataFrame:
     members = several.join(docs, "doc_id").select("component", "doc_id", "text").mapInArrow(each, "component long, doc_id long, shingles binary")
     members, out = materialize(members, "shingles"), []
     while True:
-        sizes = materialize(members.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "sizes")
-        large = sizes.where(F.col("n") > SMALL).select("component")
+        sizes = materialize(members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes")), "sizes")
+        large = sizes.where((F.col("n") > SMALL) | ((F.col("bytes") > SMALL_BYTES) & (F.col("n") > 1))).select("component")
         out.append(materialize(greedy(members.join(large, "component", "left_anti")).where("dropped").select("doc_id"), "dropped"))
         if large.isEmpty():
             break
