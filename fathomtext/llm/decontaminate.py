@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_views, materialize, prepare, table
+from .shared import byte_views, materialize, prepare, table, texts
 
 WINDOW = 10
 #: Bytes of benchmark text that one block holds: what is sent to every executor.
@@ -170,7 +170,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     words or without an id match nothing. Repeated items count once by id. With an empty benchmark
     every document is clean. Other columns of either table are ignored, whatever their names.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     found = [block_hits(rows, bench, window) for bench in benchmark_blocks(benchmark, window, block_bytes)]
     met = found[0]
     if len(found) > 1:
