@@ -30,6 +30,8 @@ OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs
 sidebar aside footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup share sharing social related recommended
 comment comments reply replies disqus discussion login search pagination pager toolbar widget complementary contentinfo dialog legal copyright disclaimer""".split())
+#: Of these, the ones that a part of an article may bear, and the ones that even an article element may not.
+HEADS, NEVER = frozenset("header masthead banner".split()), frozenset("ad ads advert sponsored promo comment comments reply replies related recommended teaser".split())
 #: Frequent function words of the languages at hand: their density tells prose from lists of names.
 STOP_WORDS = frozenset("""the of and to in a is that it for on with as was be by this are from or an at not have but they his her you we which
 der die das und ist in zu den mit von für auf nicht ein eine im dem des sich auch als an wie bei oder aus
@@ -55,10 +57,10 @@ class Block:
     label: str = ""
 
 
-def marked(attributes: str) -> bool:
-    """A class, id or role names boilerplate."""
+def marked(attributes: str, marks: frozenset[str]) -> bool:
+    """A class, id or role has one of the marks as a part."""
     for m in NAMED.finditer(attributes):
-        if m[1].lower() != "itemprop" and any(p.lower() in MARKS for p in PARTS.findall(m[2] or m[3] or m[4] or "")):
+        if m[1].lower() != "itemprop" and any(p.lower() in marks for p in PARTS.findall(m[2] or m[3] or m[4] or "")):
             return True
     return False
 
@@ -119,13 +121,14 @@ def blocks_of(page: str) -> list[Block]:
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
         inside, outside = stack[-1][1:] if stack else (False, False)
-        named = marked(m[3]) if m[3] else False
+        whole = tag in ("html", "body", "article", "main")
+        named = bool(m[3]) and marked(m[3], NEVER if whole else MARKS - HEADS if inside else MARKS)
         article = tag in ("article", "main") or bool(re.search(r"articleBody", m[3] or ""))
         if tag in BLOCK or tag in SILENT or named:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
                 inside, outside = stack[-1][1:] if stack else (False, False)
-            out_now = outside or tag in OUTSIDE or tag in SILENT or (named and tag not in ("html", "body", "article", "main")) or (tag == "header" and not inside)
+            out_now = outside or tag in OUTSIDE or tag in SILENT or (named and tag not in ("html", "body")) or (tag == "header" and not inside)
             if named and tag not in BLOCK:
                 flush()
             stack.append((tag, inside or article, out_now))

@@ -318,10 +318,11 @@ def test_token_counts(spark, docs, texts, none, tmp_path):
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="</p>";</script><style>p{}</style></head><body>
 <header><p>Site of the name and the slogan that is here for all of the pages to see and to read</p></header><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- ad -->
 <div class="ad">Buy the best of the best and the rest of it now for you and for your friends in the city</div>
-<article><h1>The &amp; title</h1><p><b>First of the paragraphs&nbsp;in   the
+<article class="post"><div class="post-header"><h1>The &amp; title</h1></div><p><b>First of the paragraphs&nbsp;in   the
 page.<br><p>Short.</p><p>It is the second one and it is longer than the other one that was in the page before it.</p>
 <aside class="sidebar"><p>Of the side and of the bar and the rest of it</p></aside><div class="cookie-notice">We use the cookies of the site</div>
 <section id="comments"><p>I think that the article is the best of all that I have read on the site so far, and that is that.</p></section></article>
+<article class="comment"><p>It is the best of the articles that I have read on the site in the last of the years</p></article>
 <form><p>Sign up for the news of the week and the day</p></form><footer>&copy; the site</footer></body></html>"""
 
 
