@@ -1,12 +1,17 @@
-"""One document of each group of near copies: SimHash candidates, five-word shingles as the judge.
-
-A document has six fingerprints of 64 bits over its set of words, with different seeds. Sets keep
-frequent words from ruling the fingerprint, so near copies differ in few bits and unrelated texts in
-many; the others find what one misses. Their deletion-variant index links fingerprints at most
-three bits apart, and components of links hold the candidates. Within a component documents are
-taken by rising doc_id: one whose five-word shingles have a Jaccard similarity of 0.8 or more with a
-document that stays is dropped, any other stays. So every dropped document has a near copy among
-those kept, and no chain of small changes drops a text that is far from all of them.
+"""One document of each group of near copies: a prefix join on five-word shingles finds all pairs, the shingles judge them.
+
+Two documents are near copies if their five-word shingles have a Jaccard similarity of 0.8 or more.
+In any order of all shingles that is the same for every document, one of the first n - ceil(0.8 n) + 1
+of a set of n is among the first of any set that similar, so an equality join on these prefixes misses
+no pair. The order decides only the cost: shingles that a sample of documents repeats come last, so
+that common lines are in few prefixes.
+
+To keep groups of many copies from making a pair for every two of them, the join is made twice. First
+each document meets only the smallest doc_id of each shingle of its prefix, and what has a near copy
+that stays is dropped; then the rest meets pairwise. Documents whose near copy was dropped by the
+second join are judged anew. Decisions go by rising doc_id: a document with a near copy among those
+that stay is dropped, any other stays. So every dropped document has a near copy among those kept, no
+two of those kept are near copies, and no chain of small changes drops a text that is far from all.
 """
 
 from __future__ import annotations
@@ -16,28 +21,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_views, materialize, texts
-from .simhash import components, links
+from .shared import byte_views, forget, materialize, texts
+from .simhash import components
 
-SEEDS, BITS, WORDS, SIMILARITY = (11, 12, 13, 14, 15, 16), 3, 5, 0.8
-#: Members and bytes of shingles of a component that one task compares; documents that lead a round in larger ones.
-SMALL, SMALL_BYTES, LEADERS = 4096, 32 << 20, 8
-
-
-def set_fingerprints(text: bytes) -> list[int]:
-    """Majority of the bits of the hashes of the distinct words, for each seed; zeros without words."""
-    words = list(dict.fromkeys(text.lower().split()))
-    out = []
-    for seed in SEEDS:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words), dtype="<u8", count=len(words))
-        ones = np.zeros(64, dtype=np.int64)
-        for k in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(words), bitorder="little").view("<i8")[0]))
-    return out
+WORDS, SIMILARITY = 5, 0.8
+#: Documents with the same shingle in their prefix that one key of the pairwise join holds; more are salted.
+SMALL = 4096
+#: Documents looked at for the order of shingles, times a shingle is in them to count as common, common ones held.
+SAMPLE, COMMON, HELD = 8000, 3, 400_000
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -59,116 +53,141 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """component, doc_id of documents with a fingerprint that is linked to another document's. docs: doc_id, text."""
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that a sample of the documents repeats, the rarest first. Only the order of the prefixes depends on it."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_fingerprints(bytes(x)) for x in byte_views(b.column(1))], pa.list_(pa.int64()))], ["doc_id", "fps"])
-
-    rows = materialize(docs.mapInArrow(each, "doc_id long, fps array<long>"), "fingerprints")
-    each_fp = rows.select("doc_id", F.explode(F.array_distinct("fps")).alias("fp"))
-    counts = materialize(each_fp.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
-    found = materialize(links(counts.select("fp"), BITS), "links")
-    touched = counts.where("n > 1").select("fp").unionByName(found.select(F.explode(F.array("u", "v")).alias("fp"))).distinct()
-    own = materialize(each_fp.join(touched, "fp").groupBy("doc_id").agg(F.array_sort(F.collect_set("fp")).alias("fps")), "own")
-    joins = own.select(F.col("fps")[0].alias("u"), F.explode(F.slice("fps", 2, len(SEEDS))).alias("v"))
-    roots = components(found.unionByName(joins))
-    first = own.select("doc_id", F.col("fps")[0].alias("node"))
-    placed = first.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("component"))
-    return materialize(placed, "placed")
-
-
-class Kept:
-    """The documents of a component that stay so far, found by the shingles that a similar one must share.
-
-    Of a set of n shingles in a fixed order, one of the first n - ceil(0.8 n) + 1 is among the first
-    of any set with a Jaccard similarity of 0.8 or more.
-    """
+            found = [shingles(bytes(x)) for x in byte_views(b.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["shingle"])
+
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").mapInArrow(each, "shingle long")
+    counts = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    top = counts.orderBy(F.desc("n"), "shingle").limit(HELD).select("shingle").toArrow()
+    return top.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
-    def __init__(self, least: float = SIMILARITY):
-        self.least, self.sets, self.by_shingle = least, [], {}
 
-    def prefix(self, own: np.ndarray) -> list[int]:
-        return own[: len(own) - int(np.ceil(self.least * len(own) - 1e-9)) + 1].tolist()
+def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """shingle, doc_id, n (shingles of the document), at (place in its order) of each shingle of a prefix."""
+    by_hash = np.argsort(common)
+    held = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
+
+    def prefix(own: np.ndarray) -> np.ndarray:
+        known, rank = held.value
+        if len(known):
+            k = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            own = own[np.argsort(np.where(known[k] == own, rank[k] + 1, 0), kind="stable")]
+        return own[: len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-9)) + 1]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, first, size = b.column(0).to_numpy(zero_copy_only=False), [], []
+            for x in byte_views(b.column(1)):
+                own = shingles(bytes(x))
+                first.append(prefix(own))
+                size.append(len(own))
+            if not first:
+                continue
+            many = np.array([len(x) for x in first])
+            at = np.concatenate([np.arange(k, dtype=np.int32) for k in many])
+            columns = [np.concatenate(first).view(np.int64), np.repeat(ids, many), np.repeat(np.array(size, dtype=np.int32), many), at]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "doc_id", "n", "at"])
+
+    return docs.mapInArrow(each, "shingle long, doc_id long, n int, at int")
 
-    def has_copy_of(self, own: np.ndarray) -> bool:
-        found = dict.fromkeys(k for h in self.prefix(own) for k in self.by_shingle.get(h, ()))
-        return any(similar(own, self.sets[k], self.least) for k in found)
 
-    def add(self, own: np.ndarray) -> None:
-        for h in self.prefix(own):
-            self.by_shingle.setdefault(h, []).append(len(self.sets))
-        self.sets.append(own)
+def may_be_similar(n: Column, at: Column, m: Column, to: Column) -> Column:
+    """Two sets of n and m shingles whose first common one is at these places can have a similarity of 0.8."""
+    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-6) & (F.least(n - at, m - to) >= SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6)
 
 
-def greedy(members: DataFrame) -> DataFrame:
-    """doc_id, dropped: the decision on each member (component, doc_id, shingles) of components that fit a task."""
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """u, v of the pairs whose shingles are similar, u < v."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept = None, Kept()
         for b in batches:
-            out = []
-            for c, s in zip(b.column(0).to_pylist(), byte_views(b.column(2)), strict=True):
-                if c != at:
-                    at, kept = c, Kept()
-                own = np.frombuffer(bytes(s), dtype=np.uint64)
-                out.append(kept.has_copy_of(own))
-                if not out[-1]:
-                    kept.add(own)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.bool_())], ["doc_id", "dropped"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(bytes(x)).tobytes() for x in byte_views(b.column(1))], pa.binary())], ["id", "own"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = ([np.frombuffer(bytes(x), dtype=np.uint64) for x in byte_views(b.column(k))] for k in (2, 3))
+            near = pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(near)
+
+    met = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    sets = materialize(docs.join(met, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(each, "id long, own binary"), "sets")
+    one, two = sets.select(F.col("id").alias("u"), F.col("own").alias("a")), sets.select(F.col("id").alias("v"), F.col("own").alias("b"))
+    out = materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(judge, "u long, v long").distinct(), "similar")
+    forget(sets)
+    return out
+
 
-    dealt = members.select("component", "doc_id", "shingles").repartition("component").sortWithinPartitions("component", "doc_id")
-    return dealt.mapInArrow(each, "doc_id long, dropped boolean")
+def leader_pairs(posts: DataFrame) -> DataFrame:
+    """u, v: each document with the smallest one of each of its shingles."""
+    lead = F.col("lead")
+    near = may_be_similar(F.col("n"), F.col("at"), lead["n"], lead["at"])
+    return posts.where(F.col("doc_id") > lead["doc_id"]).where(near).select(lead["doc_id"].alias("u"), F.col("doc_id").alias("v")).distinct()
 
 
-def against_leaders(rest: DataFrame, leaders: DataFrame) -> DataFrame:
-    """doc_id, dropped: whether a document of a large component is similar to a leader of it."""
+def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """u, v, u < v: documents of left and right that share a shingle of their prefixes."""
+    salts = F.ceil(F.col("docs") / SMALL).cast("int")
+    a = left.select("shingle", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("at").alias("uat"))
+    b = right.select("shingle", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("doc_id").alias("v"), F.col("n").alias("vn"), F.col("at").alias("vat"))
+    once = F.col("u") < F.col("v") if left is right else F.col("u") != F.col("v")
+    near = may_be_similar(F.col("un"), F.col("uat"), F.col("vn"), F.col("vat"))
+    met = a.join(b, ["shingle", "salt"]).where(once & near)
+    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def settle(edges: DataFrame) -> DataFrame:
+    """doc_id of the documents dropped when they are taken by rising doc_id. edges: u, v with u < v."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gone = None, set()
         for b in batches:
             out = []
-            for s, lead in zip(byte_views(b.column(1)), b.column(2).to_pylist(), strict=True):
-                own = np.frombuffer(bytes(s), dtype=np.uint64)
-                out.append(any(similar(own, np.frombuffer(x, dtype=np.uint64)) for x in lead or ()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_())], ["doc_id", "dropped"])
+            for root, u, v in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if root != at:
+                    at, gone = root, set()
+                if u not in gone and v not in gone:
+                    gone.add(v)
+                    out.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["doc_id"])
 
-    lists = leaders.groupBy("component").agg(F.collect_list("shingles").alias("lead"))
-    return rest.join(lists, "component", "left").select("doc_id", "shingles", "lead").mapInArrow(each, "doc_id long, dropped boolean")
+    placed = edges.join(components(edges).withColumnRenamed("node", "v"), "v").select("root", "u", "v")
+    return placed.repartition("root").sortWithinPartitions("root", "v").mapInArrow(each, "doc_id long")
 
 
 def dropped_ids(docs: DataFrame) -> DataFrame:
     """doc_id of the documents that have a near copy among those that stay. docs: doc_id, text."""
-    placed = candidates(docs)
-    sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = placed.join(sizes, "component").select("component", "doc_id")
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([shingles(bytes(x)).tobytes() for x in byte_views(b.column(2))], pa.binary())], ["component", "doc_id", "shingles"])
-
-    members = several.join(docs, "doc_id").select("component", "doc_id", "text").mapInArrow(each, "component long, doc_id long, shingles binary")
-    members, out = materialize(members, "shingles"), []
-    while True:
-        sizes = materialize(members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes")), "sizes")
-        large = sizes.where((F.col("n") > SMALL) | ((F.col("bytes") > SMALL_BYTES) & (F.col("n") > 1))).select("component")
-        out.append(materialize(greedy(members.join(large, "component", "left_anti")).where("dropped").select("doc_id"), "dropped"))
-        if large.isEmpty():
-            break
-        big = materialize(members.join(large, "component", "left_semi"), "large")
-        rank = F.row_number().over(Window.partitionBy("component").orderBy("doc_id"))
-        first = big.select("component", "doc_id").withColumn("rank", rank).where(F.col("rank") <= LEADERS).select("doc_id")
-        heads = materialize(big.join(first, "doc_id", "left_semi"), "heads")
-        led = materialize(greedy(heads), "led")
-        out.append(led.where("dropped").select("doc_id"))
-        rest = big.join(heads.select("doc_id"), "doc_id", "left_anti")
-        judged = materialize(against_leaders(rest, heads.join(led.where("not dropped"), "doc_id", "left_semi")), "judged")
-        out.append(judged.where("dropped").select("doc_id"))
-        members = materialize(big.join(judged.where("not dropped"), "doc_id", "left_semi"), "members")
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+    every = materialize(postings(docs, common_shingles(docs)), "postings")
+    shared = every.groupBy("shingle").agg(F.min(F.struct("doc_id", "n", "at")).alias("lead"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    posts = materialize(every.join(shared, "shingle"), "shared")
+    forget(every)
+    led = verified(materialize(leader_pairs(posts), "leaders"), docs)
+    first = materialize(settle(led), "first")
+    rest = posts.join(first, "doc_id", "left_anti")
+    second = materialize(settle(verified(materialize(all_pairs(rest, rest), "pairs"), docs)), "second")
+    gone = first.unionByName(second)
+    # of what the first join dropped, the documents none of whose near copies stay
+    held = led.join(gone.select(F.col("doc_id").alias("u")), "u", "left_anti").select(F.col("v").alias("doc_id"))
+    held = held.unionByName(led.join(gone.select(F.col("doc_id").alias("v")), "v", "left_anti").select(F.col("u").alias("doc_id")))
+    lost = materialize(first.join(held, "doc_id", "left_anti"), "lost")
+    if lost.isEmpty():
+        return gone
+    stay = posts.join(gone.join(lost, "doc_id", "left_anti"), "doc_id", "left_anti")
+    met = verified(materialize(all_pairs(posts.join(lost, "doc_id", "left_semi"), stay), "again"), docs)
+    # a document that stayed so far goes before those judged anew, whatever its id
+    of_lost = lambda c: lost.select(F.col("doc_id").alias(c))
+    known = met.join(of_lost("v"), "v", "left_anti").select(F.col("u").alias("doc_id")).unionByName(met.join(of_lost("u"), "u", "left_anti").select(F.col("v").alias("doc_id")))
+    known = materialize(known.distinct(), "known")
+    among = met.join(of_lost("u"), "u", "left_semi").join(of_lost("v"), "v", "left_semi")
+    for c in ("u", "v"):
+        among = among.join(known.select(F.col("doc_id").alias(c)), c, "left_anti")
+    third = settle(materialize(among.select("u", "v"), "among"))
+    return gone.join(lost, "doc_id", "left_anti").unionByName(known).unionByName(third)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -177,6 +177,61 @@ def test_near_dedup_keeps_one_of_each_group(spark, none):
     assert near_dedup.drop_near_copies(none).count() == 0
 
 
+def edited_copies(rng, word, pairs):
+    """doc_id, text of bases and, at doc_id + 1, a copy with words appended, cut off or replaced; ids step by 10."""
+    rows = []
+    for g in range(pairs):
+        n = rng.choice([80, 300, 900])
+        base, share = [word() for _ in range(n)], rng.uniform(0.02, 0.24)
+        copy = list(base)
+        if g % 3 == 0:
+            copy += [word() for _ in range(int(n * share))]
+        elif g % 3 == 1:
+            copy = copy[: n - int(n * share * 0.9)]
+        else:
+            for k in rng.sample(range(n), max(1, int(n * share / 10))):
+                copy[k] = word()
+        rows += [(g * 10, " ".join(base)), (g * 10 + 1, " ".join(copy))]
+    return rows
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def stays_right(rows, kept):
+    """No two of those kept are similar, and each document dropped is similar to one of them."""
+    sets = {i: set(near_dedup.shingles(t.encode()).tolist()) for i, t in rows}
+    alike = {(i, k) for i in sets for k in kept if i != k and jaccard(sets[i], sets[k]) >= near_dedup.SIMILARITY}
+    return not any(i in kept for i, _ in alike) and all(i in kept or any(x == i for x, _ in alike) for i in sets)
+
+
+def test_near_dedup_finds_every_edited_copy(spark):
+    rng = random.Random(11)
+    line = " ".join(f"common{k}" for k in range(12))
+    rows = [(i, f"{t} {line}") for i, t in edited_copies(rng, lambda: "".join(rng.choice("abcdefghij") for _ in range(6)), 150)]
+    kept = {r["doc_id"] for r in near_dedup.drop_near_copies(materialize(table(spark, rows), "edited")).collect()}
+    assert stays_right(rows, kept)
+
+
+def test_near_dedup_decides_chains_and_large_groups(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    for g in range(6):
+        stream = [word() for _ in range(400)]
+        order = rng.sample(range(40), 40)
+        rows += [(g * 100 + order[k], " ".join(stream[k * 4 : k * 4 + 100])) for k in range(40)]
+    kept = {}
+    small = near_dedup.SMALL
+    try:
+        for near_dedup.SMALL in (small, 3):
+            kept[near_dedup.SMALL] = {r["doc_id"] for r in near_dedup.drop_near_copies(materialize(table(spark, rows), "chains")).collect()}
+    finally:
+        near_dedup.SMALL = small
+    assert kept[small] == kept[3] and stays_right(rows, kept[small])
+
+
 def test_byte_bpe(docs, texts, none):
     import public_tokenizers
     import tiktoken
