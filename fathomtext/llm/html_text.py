@@ -54,6 +54,8 @@ class Block:
     inside: bool
     outside: bool
     heading: bool
+    fixed: bool = False  #: outside for another reason than the marked elements around it
+    cuts: tuple[int, ...] = ()
     label: str = ""
 
 
@@ -65,10 +67,13 @@ def marked(attributes: str, marks: frozenset[str]) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of a page in order, with white space folded; empty ones are left out."""
+def blocks_of(page: str, released: frozenset[int] = frozenset()) -> list[Block]:
+    """The blocks of a page in order, with white space folded; empty ones are left out.
+
+    A name mark or a form cuts what its element holds, unless the element is released. Elements count by their place in the page.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside an article, outside the main text
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # tag, inside an article, outside the main text, marked elements around
     text: list[str] = []
     linked, links, at, heading = 0, 0, 0, False
 
@@ -76,8 +81,8 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            inside, outside = stack[-1][1:] if stack else (False, False)
-            out.append(Block(joined, linked, inside, outside, heading))
+            inside, outside, cuts = stack[-1][1:] if stack else (False, False, ())
+            out.append(Block(joined, linked, inside, outside or bool(set(cuts) - released), heading, outside, cuts))
         text.clear()
         linked = 0
 
@@ -97,7 +102,7 @@ def blocks_of(page: str) -> list[Block]:
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in BLOCK or any(tag == t for t, _, _ in stack):
+            if tag in BLOCK or any(tag == t for t, *_ in stack):
                 if tag in BLOCK:
                     flush()
                     links = 0
@@ -120,18 +125,19 @@ def blocks_of(page: str) -> list[Block]:
             links += 1
         if tag in VOID or m[3].rstrip().endswith("/"):
             continue
-        inside, outside = stack[-1][1:] if stack else (False, False)
+        inside, outside, cuts = stack[-1][1:] if stack else (False, False, ())
         whole = tag in ("html", "body", "article", "main")
         named = bool(m[3]) and marked(m[3], NEVER if whole else MARKS - HEADS if inside else MARKS)
         article = tag in ("article", "main") or bool(re.search(r"articleBody", m[3] or ""))
         if tag in BLOCK or tag in SILENT or named:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-                inside, outside = stack[-1][1:] if stack else (False, False)
-            out_now = outside or tag in OUTSIDE or tag in SILENT or (named and tag not in ("html", "body")) or (tag == "header" and not inside)
+                inside, outside, cuts = stack[-1][1:] if stack else (False, False, ())
+            cut_now = named and not whole or tag == "form"
+            out_now = outside or (tag in OUTSIDE and tag != "form") or tag in SILENT or (named and tag in ("article", "main")) or (tag == "header" and not inside)
             if named and tag not in BLOCK:
                 flush()
-            stack.append((tag, inside or article, out_now))
+            stack.append((tag, inside or article, out_now, (*cuts, m.start()) if cut_now else cuts))
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             heading = True
     flush()
@@ -183,17 +189,46 @@ def second_pass(blocks: list[Block]) -> None:
             b.label = "good" if before[i] == after[i] == "good" else "bad"
 
 
-def main_text(page: str | None) -> str:
-    """The article's text: good blocks in page order, one space between them."""
-    blocks = blocks_of(page or "")
+def kept_text(blocks: list[Block], foreign: bool = False) -> str:
+    """The good blocks, one space between them. With foreign, long blocks with few links need no stop words."""
     if any(b.inside and not b.outside for b in blocks):
         blocks = [b for b in blocks if b.inside]
     for b in blocks:
         b.label = first_pass(b)
+        if foreign and len(b.text) > LONG and not b.outside and b.linked <= LINKS * len(b.text):
+            b.label = "good"
     second_pass(blocks)
     return " ".join(b.text for b in blocks if b.label == "good")
 
 
+def wrappers(blocks: list[Block]) -> frozenset[int]:
+    """Marked elements that hold an article or most of the prose that nothing else cuts."""
+    prose = [b for b in blocks if not b.fixed and b.linked <= LINKS * len(b.text)]
+    held: dict[int, int] = {}
+    for b in prose:
+        for k in b.cuts:
+            held[k] = held.get(k, 0) + len(b.text)
+    around = {k for k in held if any(b.inside and k in b.cuts for b in prose)}
+    return frozenset(around or {k for k in held if 2 * held[k] > sum(len(b.text) for b in prose)})
+
+
+def main_text(page: str | None) -> str:
+    """The article's text: good blocks in page order, one space between them.
+
+    Where that leaves nothing, the marked elements that wrap the content cut no more, and where the
+    page's stop words fit no listed language its long blocks are judged by length and links.
+    """
+    blocks = blocks_of(page or "")
+    text = kept_text(blocks)
+    if text:
+        return text
+    released = wrappers(blocks)
+    if released:
+        blocks = blocks_of(page or "", released)
+        text = kept_text(blocks)
+    return text or kept_text(blocks, foreign=True)
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 

@@ -177,6 +177,17 @@ def test_near_dedup_keeps_one_of_each_group(spark, none):
     assert near_dedup.drop_near_copies(none).count() == 0
 
 
+def test_html_wrappers_and_other_languages():
+    prose = "The story of the town is told in a book that was found by the river and is read to this day. " * 4
+    want = " ".join(prose.split())
+    for wrap in ("<div class='content-sidebar-wrap'>{}</div>", "<div class='has-sidebar'>{}</div>", "<form action='x'>{}</form>"):
+        for body in (f"<article><p>{prose}</p></article>", f"<p>{prose}</p>"):
+            page = wrap.format(f"{body}<nav>Home About</nav><div class='sidebar'>Latest and more</div>")
+            assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+    finnish = " ".join(["Vanha kaupunki sijaitsee joen rannalla ja sen historia ulottuu keskiajalle asti."] * 4)
+    assert html_text.main_text(f"<body><nav>Etusivu</nav><div><p>{finnish}</p></div></body>") == finnish
+
+
 def edited_copies(rng, word, pairs):
     """doc_id, text of bases and, at doc_id + 1, a copy with words appended, cut off or replaced; ids step by 10."""
     rows = []
