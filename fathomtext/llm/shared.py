@@ -13,7 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch; with the byte bound below it keeps a Python worker's memory small.
@@ -79,6 +79,22 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 
+def stored(docs: DataFrame, name: str) -> DataFrame:
+    """docs as a plain scan of files: itself if it is one, else written to the shared folder and read back."""
+    scan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return docs if scan and docs.columns else materialize(docs, name)
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """file, pos: which row of which file a row of a stored() table is.
+
+    Unlike a number dealt out while reading, it is the same in every reading, whatever the number of
+    tasks, executors lost or won on the way, and the size of splits.
+    """
+    where = docs.metadataColumn("_metadata")
+    return [F.xxhash64(where["file_path"]).alias("file"), where["row_index"].alias("pos")]
+
+
 def byte_views(column: pa.Array) -> Iterator[memoryview]:
     """The UTF-8 bytes of a string column's values without copies; null as empty."""
     column = column.cast(pa.large_binary())

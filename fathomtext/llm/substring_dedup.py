@@ -10,17 +10,20 @@ one context is settled by that count.
 What remains is decided on a suffix array: the contexts of a group of anchors are concatenated, the
 suffixes ordered, and the Burrows-Wheeler transform extended backwards breadth first. Step n derives
 all common prefixes of value n, so stopping after ``length`` steps leaves exactly the neighbours
-undecided whose common prefix is at least that long. Before that, stretches are cut by the distance
-to their anchor, and each piece is keyed by the bytes that all its strings share: pieces whose key is
-unique have no repeated string, and equal pieces count as contexts do. Groups with more pieces than
-one suffix array may hold are cut again until they are small or a piece has one start; no group
-grows with the input.
+undecided whose common prefix is at least that long.
+
+An anchor with more contexts than CROWD is first cut: its stretches are parted by the distance to
+the anchor, and each piece is keyed by the bytes that all its strings share. Pieces whose key is
+unique have no repeated string, equal pieces count as contexts do, and groups of at most CROWD go to
+a suffix array. The rest is cut again until it is small or a piece has one start; no group grows
+with the input.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +31,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_views, forget, materialize, table, texts
+from .shared import byte_views, forget, materialize, row_key, stored, table
 
 LENGTH, ANCHOR = 400, 80
 #: Bytes whose hashes are in memory at once; contexts of one anchor that are ordered together at
 #: most; bytes of contexts in one suffix array.
 CHUNK, CROWD, TOGETHER = 1 << 20, 512, 1 << 19
+#: Bytes of contexts that one task orders, suffix array after suffix array, up to so many tasks.
+TASK_BYTES, MOST_TASKS = 8 << 20, 50_000
 BASE = 0x9E3779B97F4A7C15
 _powers: dict[str, np.ndarray] = {}
 
@@ -178,32 +183,33 @@ def two(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-REGION = "row long, a long, b long, p long, anchor long, r1 long, r2 long"
+REGION = "file long, pos long, a long, b long, p long, anchor long, r1 long, r2 long"
 
 
 def regions_of(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The stretches of each document (row, text) with their anchor's hash and their context's 128-bit hash."""
+    """The stretches of each document (file, pos, text) with their anchor's hash and their context's 128-bit hash."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, view in zip(batch.column(0).to_pylist(), byte_views(batch.column(1)), strict=True):
+            for file, pos, view in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_views(batch.column(2)), strict=True):
                 first, last, place, h = stretches(np.frombuffer(view, dtype=np.uint8), length, anchor)
                 if len(first):
                     marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), dtype="<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), row)), pa.array(first), pa.array(last), pa.array(place), pa.array(h.view(np.int64)), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())], ["row", "a", "b", "p", "anchor", "r1", "r2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), file)), pa.array(np.full(len(first), pos)), pa.array(first), pa.array(last), pa.array(place), pa.array(h.view(np.int64)), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())], ["file", "pos", "a", "b", "p", "anchor", "r1", "r2"])
 
     return docs.mapInArrow(each, REGION)
 
 
 def contexts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """r1, r2, n, at, context: the bytes of wanted stretches (row, a, b, p, r1, r2, n) and the anchor's place in them."""
-    lists = wanted.groupBy("row").agg(F.collect_list(F.struct("a", "b", "p", "r1", "r2", "n")).alias("parts"))
+    """anchor, r1, r2, n, m, at, context: the bytes of wanted stretches (file, pos, a, b, p, anchor, r1, r2, n, m) and the anchor's place in them."""
+    carried = ["anchor", "r1", "r2", "n", "m"]
+    lists = wanted.groupBy("file", "pos").agg(F.collect_list(F.struct("a", "b", "p", *carried)).alias("parts"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for view, parts in zip(byte_views(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                rows += [(p["r1"], p["r2"], p["n"], p["p"] - p["a"], bytes(view[p["a"] : p["b"] + length])) for p in parts]
+                rows += [(*(p[c] for c in carried), p["p"] - p["a"], bytes(view[p["a"] : p["b"] + length])) for p in parts]
                 if len(rows) > 10_000:
                     yield packed(rows)
                     rows = []
@@ -211,10 +217,10 @@ def contexts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield packed(rows)
 
     def packed(rows: list) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[k], pa.int64()) for k in range(4)] + [pa.array(cols[4], pa.binary())], ["r1", "r2", "n", "at", "context"])
+        *numbers, context = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(context, pa.binary())], [*carried, "at", "context"])
 
-    return docs.join(lists, "row").select("text", "parts").mapInArrow(each, "r1 long, r2 long, n long, at long, context binary")
+    return docs.join(lists, ["file", "pos"]).select("text", "parts").mapInArrow(each, "anchor long, r1 long, r2 long, n long, m long, at long, context binary")
 
 
 PARTS = 4
@@ -247,61 +253,55 @@ def cut_pieces(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def ordered_groups(members: DataFrame, length: int) -> DataFrame:
-    """e1, e2, ranges: the repeated starts in each member (k1, k2, e1, e2, piece) of groups with one k1, k2.
+    """e1, e2, lo, hi: the runs of repeated starts in each member (k1, k2, e1, e2, n, piece) of groups with one k1, k2.
 
     Members of some groups are put into one suffix array; strings of different groups cannot be equal.
+    A member that stands for n > 1 equal ones only takes part: all its starts are known to repeat.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, texts_, key, size = [], [], None, 0
+        held, key, size = [], None, 0
 
         def settle() -> pa.RecordBatch:
-            found = [[{"lo": a, "hi": b} for a, b in as_ranges(x)] for x in repeated_starts(texts_, length)]
-            kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array([k[2] for k in keys], pa.int64()), pa.array([k[3] for k in keys], pa.int64()), pa.array(found, kind)], ["e1", "e2", "ranges"])
+            out = [(e1, e2, a, b) for (_, _, e1, e2, n, _), x in zip(held, repeated_starts([h[5] for h in held], length), strict=True) if n == 1 for a, b in as_ranges(x)]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, ["e1", "e2", "lo", "hi"])
 
         for batch in batches:
-            for *k, piece in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if size > TOGETHER and key != k[:2]:
+            for row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if size > TOGETHER and key != row[:2]:
                     yield settle()
-                    keys, texts_, size = [], [], 0
-                key = k[:2]
-                keys.append(k)
-                texts_.append(piece)
-                size += len(piece)
-        if keys:
+                    held, size = [], 0
+                key = row[:2]
+                held.append(row)
+                size += len(row[5])
+        if held:
             yield settle()
 
-    dealt = members.select("k1", "k2", "e1", "e2", "piece").repartition("k1", "k2").sortWithinPartitions("k1", "k2")
-    return dealt.mapInArrow(each, "e1 long, e2 long, ranges array<struct<lo:long,hi:long>>")
+    total = members.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
+    dealt = members.select("k1", "k2", "e1", "e2", "n", "piece").repartition(min(MOST_TASKS, total // TASK_BYTES + 1), "k1", "k2").sortWithinPartitions("k1", "k2")
+    return dealt.mapInArrow(each, "e1 long, e2 long, lo long, hi long")
 
 
 def settled(contexts: DataFrame, length: int, anchor: int, crowd: int) -> DataFrame:
-    """r1, r2, lo, hi: the runs of repeated starts in each context. contexts: r1, r2, n, at, context, all distinct."""
+    """r1, r2, lo, hi: the runs of repeated starts in contexts (anchor, r1, r2, n, m, at, context; all distinct, m to an anchor)."""
+    few = contexts.where(F.col("m") <= crowd).select(F.col("anchor").alias("k1"), F.lit(0).alias("k2"), F.col("r1").alias("e1"), F.col("r2").alias("e2"), "n", F.col("context").alias("piece"))
+    out = [materialize(ordered_groups(few, length).select(F.col("e1").alias("r1"), F.col("e2").alias("r2"), "lo", "hi"), "runs")]
+    contexts = contexts.where(F.col("m") > crowd)
     pieces = contexts.withColumns({"c1": F.lit(0).cast("long"), "c2": F.lit(length - anchor).cast("long")})
-    out, used = [], []
-    while True:
+    while not pieces.isEmpty():
         cuts = materialize(cut_pieces(pieces, length), "cuts")
-        used.append(cuts)
         same = cuts.groupBy("k1", "k2", "e1", "e2").agg(F.sum("n").alias("total"), F.min(F.struct("r1", "r2", "c1", "c2", "lo", "hi")).alias("rep"))
         same = materialize(same, "same")
-        used.append(same)
         several = same.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         out.append(cuts.join(same.where("total > 1").select("e1", "e2"), ["e1", "e2"], "left_semi").select("r1", "r2", "lo", "hi"))
-        met = same.join(several, ["k1", "k2"]).select("k1", "k2", "e1", "e2", "total", "m", "rep.*")
-        met = materialize(met.join(contexts.select("r1", "r2", "context"), ["r1", "r2"]).select("k1", "k2", "e1", "e2", "total", "m", "r1", "r2", "c1", "c2", F.expr(f"substring(context, cast(lo + 1 as int), cast(hi - lo + {length} as int))").alias("piece")), "pieces")
-        used.append(met)
-        found = ordered_groups(met.where(F.col("m") <= crowd), length).select("e1", "e2", F.explode("ranges").alias("r"))
-        once = cuts.where("n = 1").join(found, ["e1", "e2"])
-        out.append(once.select("r1", "r2", (F.col("lo") + F.col("r.lo")).alias("lo"), (F.col("lo") + F.col("r.hi")).alias("hi")))
+        met = same.join(several.where(F.col("m") <= crowd), ["k1", "k2"]).select("k1", "k2", "e1", "e2", F.col("total").alias("n"), "rep.*")
+        met = met.join(contexts.select("r1", "r2", "context"), ["r1", "r2"])
+        met = materialize(met.select("k1", "k2", "e1", "e2", "n", F.expr(f"substring(context, cast(lo + 1 as int), cast(hi - lo + {length} as int))").alias("piece")), "pieces")
+        found = ordered_groups(met, length).select("e1", "e2", F.col("lo").alias("x"), F.col("hi").alias("y"))
+        out.append(cuts.join(found, ["e1", "e2"]).select("r1", "r2", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi")))
         crowded = cuts.join(same.join(several.where(F.col("m") > crowd), ["k1", "k2"]).select("e1", "e2").distinct(), ["e1", "e2"], "left_semi")
-        if crowded.isEmpty():
-            break
-        pieces = crowded.select("r1", "r2", "c1", "c2").join(contexts, ["r1", "r2"])
-    all_ = out[0]
-    for more in out[1:]:
-        all_ = all_.unionByName(more)
-    return all_
+        pieces = materialize(crowded.select("r1", "r2", "c1", "c2"), "crowded").join(contexts, ["r1", "r2"])
+    return reduce(DataFrame.unionByName, out)
 
 
 def kept_bytes(text: memoryview, ranges: list[tuple[int, int]], length: int) -> tuple[bytes, int]:
@@ -323,29 +323,32 @@ def release(spark: SparkSession) -> None:
 def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256.
 
-    docs must be a stored table, or else give the same rows in the same partitions whenever it is
-    read: rows are told apart by their place, as ids may be null or repeated. Null texts count as
-    empty; texts shorter than length have no such string and stay. Copies of a text of that length
-    lose everything. Other columns are ignored, whatever their names. Empty in, empty out.
+    Rows are told apart by file and place in the file, as ids may be null or repeated, so it does
+    not matter how often and in which splits the table is read; a docs that is not a plain scan of
+    files is first written to the shared folder. Null texts count as empty; texts shorter than
+    length have no such string and stay. Copies of a text of that length lose everything. Other
+    columns are ignored, whatever their names. Empty in, empty out.
     """
     spark = docs.sparkSession
-    rows = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    regions = materialize(regions_of(rows.select("row", "text"), length, anchor), "regions")
-    uniq = regions.groupBy("anchor", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "a", "b", "p")).alias("rep"))
+    docs = stored(docs, "docs")
+    key = row_key(docs)
+    rows = docs.select(*key, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    regions = materialize(regions_of(rows.select("file", "pos", "text"), length, anchor), "regions")
+    uniq = regions.groupBy("anchor", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "pos", "a", "b", "p")).alias("rep"))
     uniq = materialize(uniq, "contexts")
     release(spark)
-    mixed = uniq.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("anchor")
-    wanted = uniq.join(mixed, "anchor", "left_semi").select("rep.row", "rep.a", "rep.b", "rep.p", "r1", "r2", "n")
-    contexts = materialize(contexts_of(rows.select("row", "text"), wanted, length), "texts")
+    mixed = uniq.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    wanted = uniq.join(mixed, "anchor").select("rep.*", "anchor", "r1", "r2", "n", "m")
+    contexts = materialize(contexts_of(rows.select("file", "pos", "text"), wanted, length), "texts")
     release(spark)
     single = settled(contexts, length, anchor, crowd)
     spans = materialize(single, "spans")
     forget(contexts)
     release(spark)
     copied = uniq.where("n > 1").select("r1", "r2")
-    whole = regions.join(copied, ["r1", "r2"], "left_semi").select("row", F.col("a").alias("lo"), F.col("b").alias("hi"))
-    partly = regions.join(spans, ["r1", "r2"]).select("row", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
-    ranges = whole.unionByName(partly).groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    whole = regions.join(copied, ["r1", "r2"], "left_semi").select("file", "pos", F.col("a").alias("lo"), F.col("b").alias("hi"))
+    partly = regions.join(spans, ["r1", "r2"]).select("file", "pos", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
+    ranges = whole.unionByName(partly).groupBy("file", "pos").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     ranges = materialize(ranges, "ranges")
     forget(regions)
     forget(uniq)
@@ -362,7 +365,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return rows.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return rows.join(ranges, ["file", "pos"], "left").select("doc_id", "text", "ranges").mapInArrow(each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

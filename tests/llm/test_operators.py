@@ -436,3 +436,32 @@ def test_chain_feeds_out_of_fold_predictions_forward():
     assert chain.links[1].shape == (1,) and chain.links[1][0] > 0 and x is not None
     p = chain.probabilities(np.array([[w[k] * 0.05 for k in range(2)] for w in (chain.weights["0x"], chain.weights["0y"])]))
     assert p[1, 1] > 0.5 > p[0, 1]
+
+
+@pytest.fixture
+def unsteady(spark, monkeypatch):
+    """From one written table to the next the session splits files differently, as a cluster does that gains and loses executors."""
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before, turn = {n: spark.conf.get(n, None) for n in names}, [0]
+
+    def shift(df, name, write=materialize):
+        turn[0] += 1
+        for n, values in zip(names, (("1", "16", "4"), ("64m", "2k", "700"), ("4m", "1", "1")), strict=True):
+            spark.conf.set(n, values[turn[0] % 3])
+        return write(df, name)
+
+    for module in (substring_dedup, decontaminate, line_dedup, exact_dedup):
+        monkeypatch.setattr(module, "materialize", shift)
+    yield turn
+    for n, v in before.items():
+        spark.conf.set(n, v) if v is not None else spark.conf.unset(n)
+
+
+def test_substring_dedup_while_the_cluster_changes(spark, unsteady, tmp_path):
+    rng = random.Random(8)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(6)]
+    rows = [(i, "".join(rng.choice([rng.choice(base)[: rng.randint(50, 200)], str(rng.random())]) for _ in range(4))) for i in range(300)]
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.option("parquet.block.size", 4096).option("parquet.page.size", 512).option("parquet.page.size.row.check.min", 10).parquet(path)
+    want = collections.Counter((i, *x) for (i, _), x in zip(rows, brute_removed([t.encode() for _, t in rows], 40), strict=True))
+    assert bag(substring_dedup.substring_dedup(spark.read.parquet(path), 40, 12).drop("kept")) == want and unsteady[0] > 3
