@@ -2,8 +2,9 @@
 
 Lines are normalised and hashed once, in order, and stored per document as two arrays of 64-bit
 hashes (together a 128-bit key). Counting takes each key once per document and sums before the
-exchange. The keys over the threshold are joined back to the documents' distinct keys, which gives
-each document the short list of its keys to drop; the text itself moves once, to meet that list.
+exchange. The keys over the threshold are joined back to the documents' lines, which gives each
+document the places of its lines to drop; the text itself moves once, to meet them, and what is left
+is put together by place, in time that grows as the lines do.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table, texts
+from .shared import let, materialize, table, texts
 
 MIN_DOCS, MIN_CHARS = 10, 1
 #: So many frequent keys (16 bytes each) are sent to every executor; more are joined by a shuffle.
@@ -44,16 +45,20 @@ def line_dedup(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_C
     columns of docs are ignored, whatever their names. An empty table gives an empty result.
     """
     rows = materialize(texts(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row"), hashed(line_keys(F.col("text")), min_chars).alias("keys")), "lines")
-    own = rows.select("row", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"))
+    # sorted, since array_distinct compares every two structs
+    ranked = F.sort_array(F.filter("keys", lambda k: k.isNotNull()))
+    once = let(ranked, lambda z: F.filter(z, lambda k, i: (i == 0) | (k != F.get(z, i - 1))))
+    own = rows.select(F.explode(once).alias("key"))
     common = own.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key")
     common = materialize(common, "common")
     few = F.broadcast(common) if common.count() <= FEW_KEYS else common
-    drop = own.join(few, "key").groupBy("row").agg(F.collect_set("key").alias("drop"))
-    met = rows.join(drop, "row", "left")
-    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.coalesce(F.array_contains(F.col("drop"), F.get(F.col("keys"), i)), F.lit(False))), "\n"))
-    dropped = F.when(F.col("drop").isNull(), F.lit(0)).otherwise(F.size(F.filter("keys", lambda k: F.coalesce(F.array_contains(F.col("drop"), k), F.lit(False)))))
-    return met.select("doc_id", F.size("keys").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    places = rows.select("row", F.posexplode("keys").alias("at", "key")).where("key is not null")
+    drop = places.join(few, "key").groupBy("row").agg(F.collect_list("at").alias("gone"))
+    # lines is used twice, so Spark makes the array once a row and not once a line
+    met = rows.select("row", "doc_id", "text", F.size("keys").alias("n")).join(drop, "row", "left").withColumn("lines", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1)))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
+    return met.select("doc_id", F.col("n").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,14 +67,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+l AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM d),
 k AS (SELECT *, trim(translate(line, '{UPPER}', '{LOWER}'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
-c AS (SELECT key FROM k WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
+c AS (SELECT key FROM k WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT r) >= {MIN_DOCS}),
 m AS (SELECT k.*, c.key IS NOT NULL AS gone FROM k LEFT JOIN c ON k.key = c.key)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r, doc_id
 """

@@ -10,7 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +35,8 @@ def shared_root(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fathomtext-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -95,6 +97,17 @@ def row_key(docs: DataFrame) -> list[Column]:
     return [F.xxhash64(where["file_path"]).alias("file"), where["row_index"].alias("pos")]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fresh(docs: DataFrame, n: int) -> list[str]:
+    """So many names that no column of docs has, in whatever case."""
+    longest = max(docs.columns, key=len)
+    return [f"{longest}_{i}" for i in range(n)]
+
+
 def byte_views(column: pa.Array) -> Iterator[memoryview]:
     """The UTF-8 bytes of a string column's values without copies; null as empty."""
     column = column.cast(pa.large_binary())
