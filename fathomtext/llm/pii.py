@@ -13,10 +13,12 @@ and texts of any length need no stack.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table, texts
+from .shared import let, table, texts
 
 #: Order of kinds at equal starts; those after phone are added by this method.
 KINDS = ("email", "ip", "card", "phone", "iban")
@@ -30,8 +32,10 @@ LONE_SEPARATOR = r"[\x20-](?![0-9])|(?<![0-9])[\x20-]"
 CARD = r"[0-9][0-9\x20-]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-#: Characters before and after a span in which context words are looked for.
-REACH = 40
+#: Characters before and after a span in which context words are looked for; length of the pieces looked at.
+REACH, PIECE = 40, 256
+#: Positions that are summed up in one go.
+BLOCK = 128
 CONTEXT = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach)\b",
     "ip": r"(?i)\b(?:ip|address|host|server|client)\b",
@@ -45,17 +49,26 @@ BONUS = 0.2
 SPAN = "array<struct<start:int,kind:int,end:int,match:string>>"
 
 
+def running(sizes: Column, size: Callable[[Column], Column]) -> Column:
+    """The running sum of a non-empty array, block by block: no array of all sums is copied for each element."""
+    none = F.array().cast("array<int>")
+
+    def sums(part: Column, of: Callable[[Column], Column]) -> Column:
+        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.aggregate(part, start, lambda a, x: F.struct((a["at"] + of(x)).alias("at"), F.concat(a["out"], F.array(a["at"] + of(x))).alias("out")), lambda a: a["out"])
+
+    cut = F.transform(F.sequence(F.lit(1), F.size(sizes), F.lit(BLOCK)), lambda i: sums(F.slice(sizes, i, F.lit(BLOCK)), size))
+    return let(cut, lambda blocks: F.flatten(F.zip_with(blocks, sums(blocks, lambda b: F.element_at(b, -1)), lambda b, to: F.transform(b, lambda x: x + to - F.element_at(b, -1)))))
+
+
 def found(text: Column, pattern: str, kind: int) -> Column:
     """All matches with their positions in code points."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.split(text, pattern, -1)
-    sizes = F.zip_with(parts, hits, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out"))
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + x["size"]).alias("at"),
-        F.concat(F.coalesce(a["out"], F.array().cast(SPAN)), F.array(F.struct((a["at"] + x["gap"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + x["gap"] + x["size"]).alias("end"), x["match"].alias("match")))).cast(SPAN).alias("out"))
-    walked = F.aggregate(F.filter(sizes, lambda x: x["match"].isNotNull()), start, step, lambda a: a["out"])
-    return F.when(F.size(hits) > 0, walked).otherwise(F.array().cast(SPAN))
+    sizes = F.filter(F.zip_with(parts, hits, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"), m.alias("match"))), lambda x: x["match"].isNotNull())
+    place = lambda x, end: F.struct((end - x["size"]).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("match"))
+    walked = let(sizes, lambda z: F.when(F.size(z) > 0, F.zip_with(z, running(z, lambda x: x["gap"] + x["size"]), place)))
+    return F.coalesce(walked.cast(SPAN), F.array().cast(SPAN))
 
 
 def only_digits(match: Column) -> Column:
@@ -105,8 +118,13 @@ def pii(docs: DataFrame) -> DataFrame:
     """
     raw = texts(docs).withColumn("raw", spans_of(F.col("text")))
 
-    def scored(s: Column) -> Column:
-        near = F.concat(F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] + 1 - REACH), F.least(s["start"], F.lit(REACH))), F.lit(" "), F.substring(F.col("text"), s["end"] + 1, F.lit(REACH)))
+    def scored(s: Column, pieces: Column) -> Column:
+        piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+        first = F.floor(F.greatest(F.lit(0), s["start"] - REACH) / PIECE).cast("int")
+        last = F.floor(s["end"] / PIECE).cast("int")
+        before = F.substring(F.concat(piece(first), piece(first + 1)), F.greatest(F.lit(0), s["start"] - REACH) - first * PIECE + 1, F.least(s["start"], F.lit(REACH)))
+        after = F.substring(F.concat(piece(last), piece(last + 1)), s["end"] - last * PIECE + 1, F.lit(REACH))
+        near = F.concat(before, F.lit(" "), after)
         hint = F.lit(False)
         for i, k in enumerate(KINDS):
             hint = F.when(s["kind"] == i, near.rlike(CONTEXT[k])).otherwise(hint)
@@ -114,7 +132,9 @@ def pii(docs: DataFrame) -> DataFrame:
         score = by_kind(s["kind"], BASE_SCORE) + F.when(hint, BONUS).otherwise(0.0)
         return F.struct(name.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(F.lit(1.0), score).alias("score"))
 
-    return raw.select("doc_id", "text", F.transform("raw", scored).alias("spans"))
+    # the text in pieces of fixed length: a span looks at two of them, not at all that stands before it
+    pieces = F.when(F.size("raw") > 0, F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    return raw.select("doc_id", "text", let(pieces, lambda p: F.transform("raw", lambda s: scored(s, p))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
