@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table, texts
+from .shared import fresh, materialize, table, texts
 
-#: Digests that one shard of the index holds on average.
-SHARD_KEYS = 512
+#: Shards that an index should have at least, and digests that one holds on average: few only while there are few shards.
+SHARDS, FEWEST_KEYS, MOST_KEYS = 256, 512, 100_000
+#: Stands for a row without an id where ids are compared: it loses against any other.
+NO_ID = -(2**63)
 #: Bits that a level has for each digest left, and levels before the rest is kept as a plain list.
 GAMMA, LEVELS = 1.5, 24
 
@@ -90,26 +92,24 @@ INDEX = "shard int, sizes array<int>, bits array<binary>, rest array<binary>, di
 
 
 def build_shard(group: pd.DataFrame) -> pd.DataFrame:
-    words = as_words(list(group["digest"]))
+    words = as_words(group["digest"].tolist())
     index = PerfectHash(words)
     order = np.empty(len(words), dtype=np.int64)
     order[index.slots(words)] = np.arange(len(words))
-    winners = [None if pd.isna(x) else int(x) for x in group["winner"].iloc[order]]
-    return pd.DataFrame([index.pack() | {"shard": int(group["shard"].iloc[0]), "digests": words[order].tobytes(), "winners": winners, "counts": group["n"].to_numpy()[order]}], columns=["shard", "sizes", "bits", "rest", "digests", "winners", "counts"])
+    held = index.pack() | {"shard": int(group["shard"].iloc[0]), "digests": words[order].tobytes(), "winners": group["winner"].to_numpy(np.int64)[order], "counts": group["n"].to_numpy(np.int64)[order]}
+    return pd.DataFrame([held], columns=["shard", "sizes", "bits", "rest", "digests", "winners", "counts"])
 
 
 def look_up(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-    """The history's winner of each new digest, or none; all bytes of the digest must agree."""
-    out = pd.DataFrame({"digest": new["digest"], "winner": new["winner"].astype("Int64"), "n": new["n"], "member": False})
+    """The history's winner of each new digest, or its own; all bytes of the digest must agree."""
+    winner, member = new["winner"].to_numpy(np.int64).copy(), np.zeros(len(new), dtype=bool)
     if len(new) and len(index):
         row = index.iloc[0]
-        words, held = as_words(list(new["digest"])), np.frombuffer(row["digests"], dtype="<u8").reshape(-1, 4)
+        words, held = as_words(new["digest"].tolist()), np.frombuffer(row["digests"], dtype="<u8").reshape(-1, 4)
         slots = PerfectHash.unpack(row["sizes"], row["bits"], row["rest"]).slots(words)
-        same = (slots >= 0) & (held[np.maximum(slots, 0)] == words).all(axis=1)
-        winners = pd.array([None if pd.isna(x) else int(x) for x in row["winners"]], dtype="Int64")
-        out["member"] = same
-        out.loc[same, "winner"] = winners[slots[same]]
-    return out
+        member = (slots >= 0) & (held[np.maximum(slots, 0)] == words).all(axis=1)
+        winner[member] = np.asarray(row["winners"], dtype=np.int64)[slots[member]]
+    return pd.DataFrame({"digest": new["digest"], "winner": winner, "n": new["n"], "member": member})
 
 
 def sharded(df: DataFrame, shards: int) -> DataFrame:
@@ -123,12 +123,14 @@ def summed(rows: DataFrame) -> DataFrame:
 
 def build_index(history: DataFrame, shards: int) -> DataFrame:
     """history: digest, winner, n, one row for each distinct digest. One row for each shard."""
-    return sharded(history, shards).groupBy("shard").applyInPandas(build_shard, INDEX)
+    return sharded(history.withColumn("winner", F.coalesce("winner", F.lit(NO_ID))), shards).groupBy("shard").applyInPandas(build_shard, INDEX)
 
 
 def probe(new: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     """new: digest, winner, n. Members get the history's winner; the others keep their own."""
-    return sharded(new, shards).groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(look_up, "digest binary, winner long, n long, member boolean")
+    new = sharded(new.withColumn("winner", F.coalesce("winner", F.lit(NO_ID))), shards)
+    found = new.groupBy("shard").cogroup(index.groupBy("shard")).applyInPandas(look_up, "digest binary, winner long, n long, member boolean")
+    return found.withColumn("winner", F.nullif("winner", F.lit(NO_ID)))
 
 
 def digests(docs: DataFrame, text: Column) -> DataFrame:
@@ -146,7 +148,7 @@ def exact_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
     pivot = None if low is None else (low + high + 1) // 2
     old = F.lit(False) if pivot is None else F.coalesce(F.col("doc_id") >= pivot, F.lit(False))
-    shards = max(1, -(-n // (2 * SHARD_KEYS)))
+    shards = max(1, -(-n // (2 * min(MOST_KEYS, max(FEWEST_KEYS, n // (2 * SHARDS))))))
     history = summed(rows.where(old))
     found = probe(summed(rows.where(~old)), build_index(history, shards), shards)
     groups = history.unionByName(found.select("digest", "winner", "n"))
@@ -165,13 +167,16 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that lose, with all columns; of rows that repeat id and text one stays."""
+    """docs without the rows that lose, with all columns as they are; of rows that repeat id and text one stays.
+
+    Nulls count as empty texts. A row without an id stays if no equal text has one. Empty in, empty out.
+    """
     _, groups = exact_groups(docs)
-    no_id = F.lit(-(2**63))
-    keep = groups.select(F.coalesce("keep_id", no_id).alias("__id"), F.col("digest").alias("__digest"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    seen = docs.withColumns({"__id": F.coalesce("doc_id", no_id), "__digest": F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))})
-    return seen.join(keep, ["__id", "__digest"], "left_semi").dropDuplicates(["__id", "__digest"]).select(*docs.columns)
+    own, digest = fresh(docs, 2)
+    keep = groups.select(F.coalesce("keep_id", F.lit(NO_ID)).alias(own), F.col("digest").alias(digest))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    seen = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), digest: F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))})
+    return seen.join(keep, [own, digest], "left_semi").dropDuplicates([own, digest]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
