@@ -29,6 +29,8 @@ from .shared import prepare, table, texts
 
 #: Labelled rows of each class that are fitted on at most, and folds.
 SAMPLE, FOLDS = 1500, 5
+#: Features of one text that are fitted on at most, the first to occur.
+MOST_FEATURES = 50_000
 #: Hash range of the features; documents that a feature must occur in; scale of shares.
 DIM, MIN_DOCS, SCALE = 1 << 20, 5, 50.0
 #: Odd multipliers of the hashes by which near copies in the sample are found.
@@ -201,7 +203,8 @@ def learn(docs: DataFrame, labels: DataFrame, chain: dict[str, Column], sample:
     """Fit on at most sample labelled documents of each class of the chain's last category.
 
     Labels with a null id or a null category are left out; of repeated labels of an id the largest
-    counts. Without labels, or with one class, probabilities are that class's share.
+    counts, and of several texts with an id one. A very long text gives MOST_FEATURES features at
+    most to the fit. Without labels, or with one class, probabilities are that class's share.
     """
     names = list(chain)
     marked = labels.select(F.col("doc_id").alias("id"), *(chain[k]().cast("int").alias(k) for k in names)).dropna()
@@ -211,13 +214,14 @@ def learn(docs: DataFrame, labels: DataFrame, chain: dict[str, Column], sample:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [features(t) for t in b.column("text").to_pylist()]
+            made = [(f[:MOST_FEATURES], v[:MOST_FEATURES]) for f, v in map(features, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), *(b.column(k) for k in names), pa.array(["\n".join(f) for f, _ in made], pa.string()), pa.array([np.array(v, dtype="<f4").tobytes() for _, v in made], pa.binary())],
                 ["id", *names, "found", "vals"])
 
     kinds = "id long, " + "".join(f"{k} int, " for k in names) + "found string, vals binary"
     met = texts(docs).join(picked, F.col("doc_id") == F.col("id")).select("id", *names, "text").mapInArrow(each, kinds)
+    met = met.groupBy("id").agg(F.min(F.struct(*names, "found", "vals")).alias("row")).select("id", "row.*")
     rows = {r["found"]: r for r in sorted(met.collect(), key=lambda r: r["id"])}
     rows = sorted(rows.values(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
     spelled: dict[int, set[str]] = {}
