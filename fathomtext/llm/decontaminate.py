@@ -5,28 +5,31 @@ other word is a wall that no match crosses. The shard's suffix array holds the s
 inside a stretch of benchmark words and whose first two words stand side by side in the benchmark:
 no other suffix can match. It is ordered by as many words as a window has. Every
 suffix of every benchmark item is then binary-searched in it, all of them at once, one word deeper
-in each round, which narrows each to the range of locations of its window. Windows that follow one
-another at neighbouring locations join into the longest verbatim match there.
+in each round, which narrows each to the range of locations of its window. Equal windows are
+searched once, and items are looked up by window afterwards, so neither equal items nor frequent
+passages multiply. The found stretches and the items in them then go into one suffix array of full
+depth: the neighbours there give the longest verbatim match and its places in document and item.
 
 The benchmark is the stated query set: it is read in blocks of bounded size, and each block meets
-all documents. Documents are never gathered.
+all documents. Documents are never gathered, and one block at a time is in the workers' memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_views, materialize, prepare, table, texts
+from .shared import byte_views, fresh, materialize, prepare, row_key, stored, table
 
 WINDOW = 10
-#: Bytes of benchmark text that one block holds: what is sent to every executor.
-BLOCK_BYTES = 8 << 20
+#: Bytes of benchmark text that one block holds: what is sent to every executor. Item names in one batch of results.
+BLOCK_BYTES, NAMES = 8 << 20, 100_000
 #: A-Z become a-z; digits, letters and all bytes of non-ASCII characters stay; the rest separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -37,35 +40,41 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Benchmark:
-    """A block's suffixes: ids of all items on end, a wall after each, and one window per start."""
+    """A block: the words of its distinct texts on end, a wall after each, and the distinct windows in them."""
 
     vocabulary: dict[bytes, int]
     stream: np.ndarray
-    starts: np.ndarray
+    starts: np.ndarray  #: of one occurrence of each window
     lengths: np.ndarray
-    items: np.ndarray
-    names: list[str]
+    texts_of: list[np.ndarray]  #: the texts that each window is in
+    begins: np.ndarray  #: of each text in the stream
+    names: list[list[str]]  #: the items that have each text, sorted
+    nameless: np.ndarray  #: whether an item without an id has it
     pairs: np.ndarray
     singles: np.ndarray
 
     @classmethod
-    def build(cls, rows: list[tuple[str, bytes]], window: int) -> Benchmark:
+    def build(cls, rows: list[tuple[str | None, bytes]], window: int) -> Benchmark:
         vocabulary: dict[bytes, int] = {}
-        stream, starts, lengths, items = [], [], [], []
-        names = sorted({name for name, _ in rows})
-        at = {name: i for i, name in enumerate(names)}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for name, text in rows:
-            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)]
+            ids = tuple(vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text))
+            if ids:
+                owners.setdefault(ids, set()).add(name)
+        stream: list[int] = []
+        begins, found = [], {}
+        for k, ids in enumerate(owners):
             take = min(window, len(ids))
-            for i in range(len(ids) - take + 1 if ids else 0):
-                starts.append(len(stream) + i)
-                lengths.append(take)
-                items.append(at[name])
+            for i in range(len(ids) - take + 1):
+                found.setdefault(ids[i : i + take], (len(stream) + i, set()))[1].add(k)
+            begins.append(len(stream))
             stream += [*ids, -1]
         s = np.array([*stream, *[-1] * (window + 1)], dtype=np.int64)
-        begin, size = np.array(starts, dtype=np.int64), np.array(lengths, dtype=np.int64)
+        begin, size = np.array([x for x, _ in found.values()], dtype=np.int64), np.array([len(w) for w in found], dtype=np.int64)
         pairs = np.unique(s[begin] * (len(vocabulary) + 1) + s[begin + 1] + 1) if len(begin) else begin
-        return cls(vocabulary, s, begin, size, np.array(items, dtype=np.int64), names, pairs, np.unique(s[begin[size == 1]]) if len(begin) else begin)
+        names = [sorted(n for n in o if n is not None) for o in owners.values()]
+        return cls(vocabulary, s, begin, size, [np.array(sorted(t), dtype=np.int64) for _, t in found.values()], np.array(begins, dtype=np.int64), names,
+                   np.array([None in o for o in owners.values()], dtype=bool), pairs, np.unique(s[begin[size == 1]]) if len(begin) else begin)
 
 
 def suffix_array(ids: np.ndarray, bench: Benchmark, window: int) -> np.ndarray:
@@ -103,111 +112,218 @@ def search(ids: np.ndarray, sa: np.ndarray, bench: Benchmark, window: int) -> tu
     return low, high
 
 
-def matches(ids: np.ndarray, bench: Benchmark, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, window length and item of every window of the benchmark that occurs in ids."""
+def matches(ids: np.ndarray, bench: Benchmark, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and window of every occurrence in ids; at a place stands one window of each length at most."""
     sa = suffix_array(ids, bench, window)
     low, high = search(ids, sa, bench, window)
     count = np.maximum(high - low, 0)
     which = np.repeat(np.arange(len(count)), count)
     within = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    return sa[low[which] + within], bench.lengths[which], bench.items[which]
+    return sa[low[which] + within], which
 
 
-def shard_hits(column: pa.Array, bench: Benchmark, window: int) -> tuple[list[int], list[list[dict]], list[list[str]]]:
-    """Of each text of a shard: its number of words, its runs of hit words, the items found in it."""
+def longest_matches(parts: list[np.ndarray], items: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Of each part its longest verbatim match with an item: words, place in the part, item, place in the item.
+
+    All are ordered in one suffix array by doubling. A suffix of a part shares most with the nearest
+    item suffix on one of its sides; how much, the ranks kept from each doubling tell.
+    """
+    sizes = np.array([len(x) for x in [*parts, *items]])
+    begin = np.cumsum(np.r_[0, sizes[:-1] + 1])
+    top = max(int(x.max()) for x in [*parts, *items]) + 1
+    t = np.empty(sizes.sum() + len(sizes), dtype=np.int64)
+    for k, (at, x) in enumerate(zip(begin.tolist(), [*parts, *items], strict=True)):
+        t[at : at + len(x)] = x
+        t[at + len(x)] = top + k
+    n = len(t)
+    ranks, known = [np.unique(t, return_inverse=True)[1].astype(np.int32)], 1
+    order = np.argsort(ranks[0], kind="stable")
+    while known < max(len(x) for x in parts):
+        after = np.zeros(n, dtype=np.int64)
+        after[: n - known] = ranks[-1][known:].astype(np.int64) + 1
+        key = ranks[-1].astype(np.int64) * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(n, dtype=np.int32)
+        rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
+        ranks.append(rank)
+        known *= 2
+    item_from = begin[len(parts)]
+    place = np.arange(n)
+    is_item = order >= item_from
+    back = np.maximum.accumulate(np.where(is_item, place, -1))
+    ahead = np.minimum.accumulate(np.where(is_item, place, n)[::-1])[::-1]
+    mine = np.flatnonzero(~is_item)
+    best, other = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for side in (back[mine], ahead[mine]):
+        has = (side >= 0) & (side < n)
+        a, b = order[mine[has]], order[side[has]]
+        shared = np.zeros(len(a), dtype=np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            x, y = a + shared, b + shared
+            inside = (x < n) & (y < n)
+            same = np.zeros(len(a), dtype=bool)
+            same[inside] = ranks[k][x[inside]] == ranks[k][y[inside]]
+            shared += same * (1 << k)
+        better = shared > best[a]
+        best[a[better]], other[a[better]] = shared[better], b[better]
+    where = np.array([at + int(best[at : at + len(x)].argmax()) for at, x in zip(begin.tolist(), parts, strict=False)], dtype=np.int64)
+    item = np.searchsorted(begin, other[where], side="right") - 1
+    return best[where], where - begin[: len(parts)], item - len(parts), other[where] - begin[item]
+
+
+MATCH = "struct<words:long,start:long,item:string,item_start:long>"
+FOUND = f"n_words long, spans array<struct<start:long,end:long>>, items array<string>, nameless boolean, longest {MATCH}"
+
+
+def shard_hits(column: pa.Array, bench: Benchmark, window: int) -> Iterator[tuple]:
+    """Of each text of a shard: its number of words, its runs of hit words, the items found in it, whether one has no id, the longest match."""
     get = bench.vocabulary.get
-    parts, sizes = [], []
+    parts = []
     for text in byte_views(column):
         w = words_of(bytes(text))
         parts.append(np.fromiter((get(x, -1) for x in w), dtype=np.int64, count=len(w)))
-        sizes.append(len(w))
-    begin = np.cumsum([0, *(n + 1 for n in sizes)])
+    begin = np.cumsum([0, *(len(x) + 1 for x in parts)])
     ids = np.full(begin[-1] + window + 1, -1, dtype=np.int64)
     for k, x in zip(begin, parts, strict=False):
         ids[k : k + len(x)] = x
-    start, size, item = matches(ids, bench, window) if len(bench.starts) else (np.empty(0, dtype=np.int64),) * 3
+    start, which = matches(ids, bench, window) if len(bench.starts) else (np.empty(0, dtype=np.int64),) * 2
     depth = np.zeros(len(ids) + 1, dtype=np.int64)
     np.add.at(depth, start, 1)
-    np.add.at(depth, start + size, -1)
+    np.add.at(depth, start + bench.lengths[which], -1)
     runs = np.flatnonzero(np.diff(np.r_[0, (np.cumsum(depth) > 0).astype(np.int8), 0])).reshape(-1, 2)
-    doc_of_run = np.searchsorted(begin, runs[:, 0], side="right") - 1
-    pairs = np.unique(np.stack([np.searchsorted(begin, start, side="right") - 1, item]), axis=1)
-    spans, names = [[] for _ in sizes], [[] for _ in sizes]
-    for d, (x, y) in zip(doc_of_run.tolist(), runs.tolist(), strict=True):
-        spans[d].append({"start": x - int(begin[d]), "end": y - int(begin[d])})
-    for d, i in zip(*pairs.tolist(), strict=True):
-        names[d].append(bench.names[i])
-    return sizes, spans, names
-
-
-def block_hits(docs: DataFrame, bench, window: int) -> DataFrame:
-    """row, n_words, spans (start and end of runs of hit words), items of each document for one block."""
+    owner, met = np.searchsorted(begin, runs[:, 0], side="right") - 1, np.searchsorted(begin, start, side="right") - 1
+    pairs = np.unique(met * (len(bench.starts) + 1) + which)
+    met, which = pairs // (len(bench.starts) + 1), pairs % (len(bench.starts) + 1)
+    best: list[tuple] = []
+    if len(runs):
+        used = np.unique(np.concatenate([bench.texts_of[k] for k in np.unique(which).tolist()]))
+        stops = np.r_[bench.begins[1:], len(bench.stream) - window - 1] - 1
+        best = list(zip(*(x.tolist() for x in longest_matches([ids[a:b] for a, b in runs.tolist()], [bench.stream[bench.begins[k] : stops[k]] for k in used.tolist()])), strict=True))
+    at, run = 0, 0
+    for k, x in enumerate(parts):
+        spans, texts, longest = [], [], None
+        while run < len(runs) and owner[run] == k:
+            words, place, item, item_start = best[run]
+            spans.append({"start": int(runs[run, 0] - begin[k]), "end": int(runs[run, 1] - begin[k])})
+            if longest is None or words > longest["words"]:
+                longest = {"words": words, "start": spans[-1]["start"] + place, "item": next(iter(bench.names[used[item]]), None), "item_start": item_start}
+            run += 1
+        while at < len(met) and met[at] == k:
+            texts.append(bench.texts_of[which[at]])
+            at += 1
+        texts = np.unique(np.concatenate(texts)) if texts else ()
+        yield len(x), spans, sorted({n for i in texts for n in bench.names[i]}), any(bench.nameless[i] for i in texts), longest
+
+
+def block_hits(rows: DataFrame, bench, window: int, all_rows: bool) -> DataFrame:
+    """The columns of rows but text, and FOUND, of each row or of those with a hit, for one block."""
+    keep = [c for c in rows.columns if c != "text"]
+    kinds = [f.dataType.simpleString() for f in rows.select(*keep).schema]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        run = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        match = pa.struct([("words", pa.int64()), ("start", pa.int64()), ("item", pa.string()), ("item_start", pa.int64())])
+        types = [pa.int64(), pa.list_(run), pa.list_(pa.string()), pa.bool_(), match]
         for batch in batches:
-            sizes, spans, names = shard_hits(batch.column(2), bench.value, window)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(names, pa.list_(pa.string()))], ["row", "doc_id", "n_words", "spans", "items"])
+            held, places, names = [], [], 0
 
-    return docs.mapInArrow(each, "row long, doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>")
+            def packed(batch=batch) -> pa.RecordBatch:
+                found = list(zip(*held, strict=True)) or [()] * len(types)
+                own = batch.select(keep).take(pa.array(places, pa.int64()))
+                return pa.RecordBatch.from_arrays([*own.columns, *(pa.array(c, t) for c, t in zip(found, types, strict=True))], [*keep, "n_words", "spans", "items", "nameless", "longest"])
 
+            for k, hit in enumerate(shard_hits(batch.column("text"), bench.value, window)):
+                if all_rows or hit[1]:
+                    held.append(hit)
+                    places.append(k)
+                    names += len(hit[2])
+                if names > NAMES:
+                    yield packed()
+                    held, places, names = [], [], 0
+            yield packed()
 
-def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator:
-    """The benchmark in broadcast blocks of about block_bytes of text."""
+    return rows.mapInArrow(each, ", ".join(f"{c} {k}" for c, k in zip(keep, kinds, strict=True)) + f", {FOUND}")
+
+
+def benchmark_blocks(benchmark: DataFrame, window: int, block_bytes: int, nameless: bool) -> tuple[int, Iterator]:
+    """The number of blocks and, one by one, the benchmark in broadcasts of about block_bytes of distinct text."""
     spark = prepare(benchmark.sparkSession)
-    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text")).dropna()
+    items = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").cast("string").alias("text")).dropna(subset=["text"] if nameless else ["name", "text"]).distinct()
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // block_bytes))
-    for k in range(blocks):
-        held = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k).collect()
-        yield spark.sparkContext.broadcast(Benchmark.build([(r["name"], r["text"].encode()) for r in held], window))
+
+    def each() -> Iterator:
+        for k in range(blocks):
+            held = items.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == k).collect()
+            yield spark.sparkContext.broadcast(Benchmark.build([(r["name"], r["text"].encode()) for r in held], window))
+
+    return blocks, each()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def plain(docs: DataFrame, *key: Column) -> DataFrame:
+    return docs.select(*key, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted), longest, contaminated.
 
     A document word is hit if it lies in an occurrence of a window of an item: window consecutive
-    words, or the whole item if it has fewer. Null texts have no words and are clean. Items without
-    words or without an id match nothing. Repeated items count once by id. With an empty benchmark
-    every document is clean. Other columns of either table are ignored, whatever their names.
+    words, or the whole item if it has fewer. longest is the longest verbatim match: its words, where
+    it starts in the document, an item that has it (the first by name) and where it starts there;
+    null without one. Null texts have no words: such documents are clean, such items match nothing.
+    Items without an id match nothing either, or with nameless count as one item that has no name in
+    items. Repeated items count once by id. With an empty benchmark every document is clean. With
+    several blocks rows are told apart by file and place in the file, as ids may be null or repeated.
+    Other columns of either table are ignored, whatever their names.
     """
-    rows = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    found = [block_hits(rows, bench, window) for bench in benchmark_blocks(benchmark, window, block_bytes)]
-    met = found[0]
-    if len(found) > 1:
-        met = materialize(met, "hits")
-        for more in found[1:]:
-            met = met.unionByName(materialize(more, "hits"))
-        met = met.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    ordered = met.withColumn("spans", F.array_sort("spans"))
+    blocks, each = benchmark_blocks(benchmark, window, block_bytes, nameless)
+    if blocks == 1:
+        met = block_hits(plain(docs), next(each), window, True)
+    else:
+        docs = stored(docs, "docs")
+        rows, found = plain(docs, *row_key(docs)), []
+        for k, bench in enumerate(each):
+            found.append(materialize(block_hits(rows, bench, window, k == 0), "hits"))
+            bench.destroy()
+        met = reduce(DataFrame.unionByName, found).groupBy("file", "pos").agg(
+            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+            F.bool_or("nameless").alias("nameless"), F.max_by("longest", F.struct(F.coalesce("longest.words", F.lit(0)), -F.coalesce("longest.start", F.lit(0)))).alias("longest"))
+    zero = F.lit(0).cast("long")
     merged = F.aggregate(
-        "spans",
-        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("top"), F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("end")),
-        lambda a, s: F.struct(
-            (a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(a["end"], s["start"]))).alias("n"),
-            F.greatest(a["top"], F.greatest(a["end"], s["end"]) - F.when(s["start"] <= a["end"], a["from"]).otherwise(s["start"])).alias("top"),
-            F.when(s["start"] <= a["end"], a["from"]).otherwise(s["start"]).alias("from"),
-            F.greatest(a["end"], s["end"]).alias("end")))
-    return ordered.withColumn("m", merged).select(
-        "doc_id", "n_words", F.col("m.n").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"),
-        F.col("m.top").alias("longest"), (F.col("m.n") > 0).alias("contaminated"))
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without the rows in which a window of the benchmark occurs; all columns and other rows stay."""
-    at = docs.columns.index("text")
-    for bench in benchmark_blocks(benchmark, window, block_bytes):
-
-        def clean(batches: Iterator[pa.RecordBatch], bench=bench) -> Iterator[pa.RecordBatch]:
+        F.array_sort("spans"), F.struct(zero.alias("n"), zero.alias("end")),
+        lambda a, s: F.struct((a["n"] + F.greatest(zero, s["end"] - F.greatest(a["end"], s["start"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")))
+    return met.withColumn("m", merged["n"]).select(
+        "doc_id", "n_words", F.col("m").alias("n_hit"), (F.size("items") + F.col("nameless").cast("int")).cast("long").alias("n_items"), F.array_sort("items").alias("items"),
+        "longest", (F.col("m") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
+    """docs without the rows in which a window of the benchmark occurs; all columns and other rows stay.
+
+    Null and empty texts stay, and so do all rows if the benchmark is empty. With nameless, items
+    without an id count too. Columns of any name pass through. Empty in, empty out.
+    """
+    blocks, each = benchmark_blocks(benchmark, window, block_bytes, nameless)
+    if blocks == 1:
+        bench, at = next(each), docs.columns.index("text")
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                _, spans, _ = shard_hits(b.column(at), bench.value, window)
-                yield b.filter(pa.array([not x for x in spans], pa.bool_()))
+                yield b.filter(pa.array([not hit[1] for hit in shard_hits(b.column(at), bench.value, window)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+        return docs.mapInArrow(clean, docs.schema)
+    docs = stored(docs, "docs")
+    file, pos = fresh(docs, 2)
+    rows, found = plain(docs, *row_key(docs)), []
+    for bench in each:
+        found.append(materialize(block_hits(rows, bench, window, False).select(F.col("file").alias(file), F.col("pos").alias(pos)), "hits"))
+        bench.destroy()
+    key = row_key(docs)
+    own = docs.select(*(F.col(f"`{c}`") for c in docs.columns), key[0].alias(file), key[1].alias(pos))
+    return own.join(reduce(DataFrame.unionByName, found), [file, pos], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
