@@ -4,13 +4,14 @@ The page is cut into blocks at block-level tags. The first pass looks at each bl
 stands (inside a menu, header, footer, sidebar, form, notice, advert or comment list: out), its
 share of link text, its length and its density of stop words. Blocks that this leaves undecided, the
 short ones above all, take the label of their nearest decided neighbours in the second pass; inside
-an article, where the page's own markup vouches for them, they stay unless only boilerplate is near.
+an article, where the page's own markup vouches for them, links and shortness decide nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,11 @@ RAW = frozenset("script style noscript template iframe textarea title svg".split
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
-#: Words of class, id or role that mark boilerplate, matched as whole parts of a name.
+#: Of RAW, the ones that "/>" does not close, and whose text is lost where the end tag is missing.
+OPEN = frozenset("script style textarea title".split())
+#: Words of class, id or role that mark boilerplate if a name ends in one, but for words that only say what kind of box it is.
+BOXES = frozenset("""area articles bar block body bottom box button buttons card center col column container content desktop group holder icons inner item items left link links list main
+mobile module outer panel posts reading right row section slot stories text top unit wrap wrapper zone""".split())
 MARKS = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb breadcrumbs
 sidebar aside footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup share sharing social related recommended
 comment comments reply replies disqus discussion login search pagination pager toolbar widget complementary contentinfo dialog legal copyright disclaimer""".split())
@@ -40,7 +45,9 @@ el los las de y en un una que por con para del se no es lo como más su al o""".
 #: Lengths in characters, densities as shares.
 SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.33, 0.15, 0.25
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
+#: A quote in a tag that is closed nowhere sensible does not hide what follows: the tag ends at the first ">".
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
+|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""".replace("\n", ""), re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -55,25 +62,41 @@ class Block:
     outside: bool
     heading: bool
     fixed: bool = False  #: outside for another reason than the marked elements around it
-    cuts: tuple[int, ...] = ()
+    cut: int = -1  #: the innermost marked element around it
     label: str = ""
 
 
+@dataclass
+class Cut:
+    """An element that a name mark or a form cuts: its place in the page and the next such element around it."""
+
+    at: int
+    around: int
+
+
 def marked(attributes: str, marks: frozenset[str]) -> bool:
-    """A class, id or role has one of the marks as a part."""
+    """A class, id or role ends in one of the marks, words for boxes aside."""
     for m in NAMED.finditer(attributes):
-        if m[1].lower() != "itemprop" and any(p.lower() in marks for p in PARTS.findall(m[2] or m[3] or m[4] or "")):
-            return True
+        for name in (m[2] or m[3] or m[4] or "").split() if m[1].lower() != "itemprop" else ():
+            parts = [p.lower() for p in PARTS.findall(name)]
+            while len(parts) > 1 and parts[-1] in BOXES:
+                parts.pop()
+            if parts and parts[-1] in marks:
+                return True
     return False
 
 
-def blocks_of(page: str, released: frozenset[int] = frozenset()) -> list[Block]:
-    """The blocks of a page in order, with white space folded; empty ones are left out.
+def blocks_of(page: str, released: frozenset[int] = frozenset()) -> tuple[list[Block], list[Cut]]:
+    """The blocks of a page in order, with white space folded and empty ones left out, and the marked elements.
 
-    A name mark or a form cuts what its element holds, unless the element is released. Elements count by their place in the page.
+    A name mark or a form cuts what its element holds, unless the element is released.
     """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # tag, inside an article, outside the main text, marked elements around
+    made: list[Cut] = []
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, inside an article, outside the main text, innermost marked element, whether one cuts
+    ground = ("", False, False, -1, False)
+    open_tags: Counter[str] = Counter()
+    endless: set[str] = set()
     text: list[str] = []
     linked, links, at, heading = 0, 0, 0, False
 
@@ -81,8 +104,8 @@ def blocks_of(page: str, released: frozenset[int] = frozenset()) -> list[Block]:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            inside, outside, cuts = stack[-1][1:] if stack else (False, False, ())
-            out.append(Block(joined, linked, inside, outside or bool(set(cuts) - released), heading, outside, cuts))
+            _, inside, outside, cut, cuts = stack[-1] if stack else ground
+            out.append(Block(joined, linked, inside, outside or cuts, heading, outside, cut))
         text.clear()
         linked = 0
 
@@ -96,60 +119,72 @@ def blocks_of(page: str, released: frozenset[int] = frozenset()) -> list[Block]:
         if not m:
             break
         at = m.end()
-        tag = (m[2] or "").lower()
+        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        tag = (tag or "").lower()
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            if tag in BLOCK or any(tag == t for t, *_ in stack):
+            if tag in BLOCK or open_tags[tag]:
                 if tag in BLOCK:
                     flush()
                     links = 0
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        if tag not in BLOCK:
-                            flush()
-                        del stack[k:]
-                        break
+                if open_tags[tag]:
+                    if tag not in BLOCK:
+                        flush()
+                    while True:
+                        last = stack.pop()[0]
+                        open_tags[last] -= 1
+                        if last == tag:
+                            break
                 heading = heading and not (len(tag) == 2 and tag[0] == "h")
             continue
-        if tag in RAW:
-            flush_tag = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = flush_tag.end() if flush_tag else len(page)
+        alone = attributes.rstrip().endswith("/")
+        if tag in RAW and not (alone and tag not in OPEN):
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            else:
+                endless.add(tag)
+                at = len(page) if tag in OPEN else at
             continue
         if tag in BLOCK:
             flush()
             links = 0
         if tag == "a":
             links += 1
-        if tag in VOID or m[3].rstrip().endswith("/"):
+        if tag in VOID or alone:
             continue
-        inside, outside, cuts = stack[-1][1:] if stack else (False, False, ())
+        _, inside, outside, cut, cuts = stack[-1] if stack else ground
         whole = tag in ("html", "body", "article", "main")
-        named = bool(m[3]) and marked(m[3], NEVER if whole else MARKS - HEADS if inside else MARKS)
-        article = tag in ("article", "main") or bool(re.search(r"articleBody", m[3] or ""))
+        named = bool(attributes) and marked(attributes, NEVER if whole else MARKS - HEADS if inside else MARKS)
+        article = tag in ("article", "main") or bool(re.search(r"articleBody", attributes))
         if tag in BLOCK or tag in SILENT or named:
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-                inside, outside, cuts = stack[-1][1:] if stack else (False, False, ())
-            cut_now = named and not whole or tag == "form"
+                open_tags["p"] -= 1
+                _, inside, outside, cut, cuts = stack[-1] if stack else ground
             out_now = outside or (tag in OUTSIDE and tag != "form") or tag in SILENT or (named and tag in ("article", "main")) or (tag == "header" and not inside)
             if named and tag not in BLOCK:
                 flush()
-            stack.append((tag, inside or article, out_now, (*cuts, m.start()) if cut_now else cuts))
+            if named and not whole or tag == "form":
+                made.append(Cut(m.start(), cut))
+                cut, cuts = len(made) - 1, cuts or m.start() not in released
+            stack.append((tag, inside or article, out_now, cut, cuts))
+            open_tags[tag] += 1
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             heading = True
     flush()
-    return out
+    return out, made
 
 
 def first_pass(b: Block) -> str:
-    """good, bad, near (good if near good) or short, from the block alone."""
+    """good, bad, near (good if near good) or short, from the block alone. Inside an article neither links nor shortness make it bad."""
     if b.outside:
         return "bad"
     if b.linked > LINKS * len(b.text):
-        return "bad"
+        return "short" if b.inside else "bad"
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
     if b.text[0] in "©&" or b.text.lower().startswith("copyright"):
@@ -201,15 +236,21 @@ def kept_text(blocks: list[Block], foreign: bool = False) -> str:
     return " ".join(b.text for b in blocks if b.label == "good")
 
 
-def wrappers(blocks: list[Block]) -> frozenset[int]:
-    """Marked elements that hold an article or most of the prose that nothing else cuts."""
+def wrappers(blocks: list[Block], made: list[Cut]) -> frozenset[int]:
+    """Places of the marked elements that hold an article or most of the prose that nothing else cuts."""
     prose = [b for b in blocks if not b.fixed and b.linked <= LINKS * len(b.text)]
-    held: dict[int, int] = {}
+    held, inside = [0] * len(made), [False] * len(made)
     for b in prose:
-        for k in b.cuts:
-            held[k] = held.get(k, 0) + len(b.text)
-    around = {k for k in held if any(b.inside and k in b.cuts for b in prose)}
-    return frozenset(around or {k for k in held if 2 * held[k] > sum(len(b.text) for b in prose)})
+        if b.cut >= 0:
+            held[b.cut] += len(b.text)
+            inside[b.cut] |= b.inside
+    for k in range(len(made) - 1, -1, -1):
+        if made[k].around >= 0:
+            held[made[k].around] += held[k]
+            inside[made[k].around] |= inside[k]
+    total = sum(len(b.text) for b in prose)
+    around = {c.at for c, x in zip(made, inside, strict=True) if x}
+    return frozenset(around or {c.at for c, n in zip(made, held, strict=True) if 2 * n > total})
 
 
 def main_text(page: str | None) -> str:
@@ -218,13 +259,13 @@ def main_text(page: str | None) -> str:
     Where that leaves nothing, the marked elements that wrap the content cut no more, and where the
     page's stop words fit no listed language its long blocks are judged by length and links.
     """
-    blocks = blocks_of(page or "")
+    blocks, made = blocks_of(page or "")
     text = kept_text(blocks)
     if text:
         return text
-    released = wrappers(blocks)
+    released = wrappers(blocks, made)
     if released:
-        blocks = blocks_of(page or "", released)
+        blocks, _ = blocks_of(page or "", released)
         text = kept_text(blocks)
     return text or kept_text(blocks, foreign=True)
 
