@@ -9,6 +9,7 @@ of separators gives each document's number in the file.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +26,22 @@ EOD, KIND, BLOCK_BYTES, BLOCKS_A_TASK = 50256, "<u2", 4 << 20, 4
 
 
 def opened(uri: str):
+    """The file system and path of a URI as Hadoop writes it; its names for S3 are s3 elsewhere."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+
+
+def take_name(store, held: str, name: str) -> None:
+    """Give a complete file its name; where another attempt of the task was first, its equal file stays."""
+    from pyarrow import fs
+
+    try:
+        store.move(held, name)
+    except OSError:
+        if store.get_file_info(name).type != fs.FileType.File:
+            raise
+        store.delete_file(held)
 
 
 def write_token_files(docs: DataFrame, folder: str, eod: int = EOD, kind: str = KIND, rank_file: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -58,7 +72,7 @@ def write_token_files(docs: DataFrame, folder: str, eod: int = EOD, kind: str =
                     out.write(np.array([*use.encode_ordinary(t), eod], dtype=kind).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * b.num_rows, pa.string()), pa.array(np.arange(n, n + b.num_rows))], ["doc_id", "file", "ordinal"])
                 n += b.num_rows
-        to.move(held, f"{root}/{name}")
+        take_name(to, held, f"{root}/{name}")
 
     return texts(docs).mapInArrow(each, "doc_id long, file string, ordinal long")
 
