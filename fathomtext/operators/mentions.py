@@ -47,5 +47,16 @@ def top_of_each_category(rows: DataFrame, limits: dict[str, int] | int | None) -
     totals = rows.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
     ranked = rows.withColumn("rank", rank)
     # A plain number lets Spark drop rows before the exchange.
-    kept = ranked.where(F.col("rank") <= limits) if isinstance(limits, int) else ranked.where(F.col("rank") <= most)
+    bound = limits if isinstance(limits, int) else max(limits.values(), default=0) if isinstance(limits, dict) else None
+    if isinstance(limits, dict) and any(True for _ in limits):
+        open_ended = rows.where(~F.col("category").isin(*limits)).withColumn("rank", rank)
+        ranked = rows.where(F.col("category").isin(*limits)).withColumn("rank", rank).where(F.col("rank") <= bound).unionByName(open_ended)
+    kept = ranked.where(F.col("rank") <= bound) if isinstance(limits, int) else ranked.where(F.col("rank") <= most)
     return kept.join(F.broadcast(totals), "category").select("name", "category", "cnt", F.col("rank").cast("long").alias("rank"), "total")
+
+
+def totals(counts: DataFrame, category: Column | None = None, least: int = 2) -> DataFrame:
+    """names, listed, mentions: all distinct names, those that the index lists, and all occurrences; omitted single ones count in the first and last."""
+    category = X.categorize_for_index(F.col("name")) if category is None else category
+    listed = category.isin("technology", "material", "application") | (F.col("cnt") >= least)
+    return counts.agg(F.count(F.lit(1)).alias("names"), F.count_if(listed).alias("listed"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("mentions"))

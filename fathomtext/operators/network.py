@@ -40,6 +40,12 @@ def neighbors(links: DataFrame, name: str) -> DataFrame:
     return touching.select(F.when(F.col("source") == name, F.col("target")).otherwise(F.col("source")).alias("neighbor"), "weight")
 
 
+def neighbor_table(links: DataFrame) -> DataFrame:
+    """name, neighbor, weight of every name's edges: each edge from both of its ends."""
+    ends = F.explode(F.array(F.struct(F.col("source").alias("name"), F.col("target").alias("neighbor")), F.struct(F.col("target").alias("name"), F.col("source").alias("neighbor"))))
+    return links.select(ends.alias("e"), "weight").select("e.name", "e.neighbor", "weight")
+
+
 def search(points: DataFrame, text: str) -> DataFrame:
     """The first node whose name contains the text without regard to case, the most frequent first."""
     return points.where(F.contains(F.lower("id"), F.lower(F.lit(text)))).orderBy(F.desc("count"), "id").limit(1)

@@ -52,3 +52,10 @@ def related(themes: DataFrame, counts: DataFrame) -> DataFrame:
 def theme_index(spark: SparkSession, counts: DataFrame) -> DataFrame:
     """category, ord, tag, companies of all themes with companies, whatever subset is rendered."""
     return F.broadcast(index_table(spark)).join(counts, "tag").select("category", "ord", "tag", "companies")
+
+
+def listing(spark: SparkSession, counts: DataFrame) -> DataFrame:
+    """tag, name, description, companies of all defined themes in their order; those without companies have 0."""
+    order = spark.createDataFrame([(i, t) for i, t in enumerate(V.THEMES)], "ord int, tag string")
+    rows = theme_table(spark).join(order, "tag").join(counts, "tag", "left")
+    return rows.select("ord", "tag", "name", "description", F.coalesce("companies", F.lit(0)).cast("long").alias("companies")).orderBy("ord").drop("ord")

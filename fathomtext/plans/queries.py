@@ -89,14 +89,6 @@ def network_edges(spark, sf_dir):
     return network.edges(anchors(spark, sf_dir), "page_id")
 
 
-@query(f"""WITH {EDGES_SQL}, n AS (SELECT source AS name FROM e UNION SELECT target FROM e)
-SELECT name AS id, df AS count, CASE WHEN name IN ('AI', 'PCB', '5G', 'IC', 'LED') THEN 'technology' ELSE 'international_company' END AS category,
-CASE WHEN name IN ('AI', 'PCB', '5G', 'IC', 'LED') THEN '#2ecc71' ELSE '#3498db' END AS color FROM f JOIN n USING (name)""")
-def network_nodes(spark, sf_dir):
-    rows = anchors(spark, sf_dir)
-    return network.nodes(rows, "page_id", network.edges(rows, "page_id"))
-
-
 BASKET_SQL = "b AS (SELECT DISTINCT l_orderkey AS k, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey)"
 
 
@@ -120,19 +112,6 @@ def network_topn(spark, sf_dir):
     return network.edges(baskets(spark, sf_dir), "k", top=20)
 
 
-@query(f"""{TOP_SQL}, m AS (SELECT min(name) AS name FROM f)
-SELECT CASE WHEN source = m.name THEN target ELSE source END AS neighbor, weight FROM e, m WHERE source = m.name OR target = m.name""")
-def network_neighbors(spark, sf_dir):
-    links = network.edges(baskets(spark, sf_dir), "k", top=20)
-    least = links.agg(F.min("source")).first()[0]
-    return network.neighbors(links, least or "")
-
-
-@query(f"{TOP_SQL}, s AS (SELECT min(weight) AS lo, max(weight) AS hi FROM e) SELECT source, target, weight, round(0.5 + 3.5 * (weight - lo) / nullif(hi - lo, 0), 6) AS width FROM e, s")
-def network_scales(spark, sf_dir):
-    return network.scaled_edges(network.edges(baskets(spark, sf_dir), "k", top=20)).select("source", "target", "weight", F.round("width", 6).alias("width"))
-
-
 # --- themes ------------------------------------------------------------------------------------
 ROLE_WORDS = {" of ": "upstream", " to ": "downstream", " in ": "midstream"}
 ENTRIES_SQL = """t AS (SELECT doc_id, source, right(left(text, position(' and ' IN text) - 1), 100) AS w FROM documents WHERE contains(text, ' and ')),
@@ -207,14 +186,6 @@ def discover_sector_filter(spark, sf_dir):
     return docs.where(F.contains("text", F.lit(" the "))).groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
 
 
-@query("""SELECT doc_id, ((length(x) - length(replace(x, '###', ''))) / 3)::BIGINT AS applied, length(replace(text, '###', '[[###]]'))::BIGINT AS size
-FROM (SELECT doc_id, text, regexp_replace(text, '###([A-Za-z])', '\\1', 'g') AS x FROM documents) WHERE contains(text, '###') AND x = text""")
-def tag_keyword(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(F.contains("text", F.lit("###")) & ~F.col("text").rlike("###[A-Za-z]"))
-    text, n = X.tag_keyword(F.col("text"), "###", guarded=False)
-    return docs.select("doc_id", n.alias("applied"), F.length(text).cast("long").alias("size"))
-
-
 # --- audit -------------------------------------------------------------------------------------
 AUDIT_SQL = """i AS (SELECT doc_id, source, CASE WHEN length(text) < 200 THEN ['Content too short'] ELSE
  list_concat(CASE WHEN contains(text, '###') THEN ['Placeholder found: ###'] ELSE [] END, CASE WHEN contains(text, '@') THEN ['Placeholder found: @'] ELSE [] END,
@@ -242,35 +213,6 @@ def audit_status(spark, sf_dir):
     return doc_issues(spark, sf_dir).select("doc_id", "status")
 
 
-WANTED_SQL = "w AS (SELECT doc_id * 2 AS doc_id, 'batch' || (doc_id % 7)::VARCHAR AS batch FROM documents)"
-
-
-def batch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every second document of seven batches and as many that do not exist."""
-    docs = read(spark, sf_dir, "documents")
-    wanted = docs.select((F.col("doc_id") * 2).alias("doc_id"), F.concat(F.lit("batch"), (F.col("doc_id") % 7).cast("string")).alias("batch"))
-    rows = doc_issues(spark, sf_dir).select("doc_id", "status")
-    return wanted.join(rows, "doc_id", "left").withColumn("status", F.coalesce("status", F.lit("MISSING")))
-
-
-@query(f"""WITH {AUDIT_SQL}, {WANTED_SQL}, j AS (SELECT batch, coalesce(status, 'MISSING') AS status FROM w LEFT JOIN s USING (doc_id))
-SELECT batch, count(*) AS total, count(*) FILTER (WHERE status = 'CLEAN') AS clean, count(*) FILTER (WHERE status = 'NEEDS ENRICHMENT') AS enrichment,
-count(*) FILTER (WHERE status = 'NEEDS QUALITY FIX') AS quality, count(*) FILTER (WHERE status = 'MISSING') AS missing,
-round(count(*) FILTER (WHERE status = 'CLEAN') / count(*) * 100, 6) AS pct FROM j GROUP BY batch""")
-def audit_batch_score(spark, sf_dir):
-    from ..operators.audit import batch_scores
-
-    return batch_scores(batch_rows(spark, sf_dir), "batch").withColumn("pct", F.round("pct", 6))
-
-
-@query(f"""WITH {AUDIT_SQL}, {WANTED_SQL}, j AS (SELECT status FROM w JOIN s USING (doc_id))
-SELECT count(*) AS total, count(*) FILTER (WHERE status = 'CLEAN') AS clean, round(count(*) FILTER (WHERE status = 'CLEAN') / count(*) * 100, 6) AS pct FROM j""")
-def audit_all_score(spark, sf_dir):
-    from ..operators.audit import overall_score
-
-    return overall_score(batch_rows(spark, sf_dir)).withColumn("pct", F.round("pct", 6))
-
-
 # --- names -------------------------------------------------------------------------------------
 ALIASES = {"The": "the", "Der": "der", "De": "de", "And": "and"}
 ALIASES_SQL = " ".join(f"WHEN '{a}' THEN '{c}'" for a, c in ALIASES.items())
@@ -289,11 +231,6 @@ def collapse_duplicates(spark, sf_dir):
     return read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), X.collapse_repeats(text).alias("text"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_name IN ('AI', '5G') THEN 'technology' ELSE 'international_company' END AS category FROM part""")
-def categories(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", X.categorize(F.col("p_name")).alias("category"))
-
-
 # --- statements --------------------------------------------------------------------------------
 STATEMENT_SQL = """q AS (SELECT l_suppkey, {period} AS period, sum(l_extendedprice::DECIMAL(18, 2)) AS revenue, sum(l_extendedprice::DECIMAL(18, 2) * (1 - l_discount::DECIMAL(4, 2))) AS profit FROM lineitem GROUP BY ALL)"""
 YEAR, QUARTER = "year(l_shipdate)::BIGINT", "(year(l_shipdate) * 10 + quarter(l_shipdate))::BIGINT"
@@ -335,44 +272,12 @@ def stmt_latest_quarterly(spark, sf_dir):
     return metric_rows(newest(supplier_periods(spark, sf_dir, True), 4))
 
 
-@query(f"""WITH {STATEMENT_SQL.format(period=YEAR)} SELECT l_suppkey, sum(revenue) FILTER (WHERE period = 1996)::DOUBLE AS y1996, sum(revenue) FILTER (WHERE period = 1997)::DOUBLE AS y1997,
-sum(revenue) FILTER (WHERE period = 1998)::DOUBLE AS y1998 FROM q GROUP BY l_suppkey""")
-def stmt_pivot(spark, sf_dir):
-    wide = supplier_periods(spark, sf_dir).groupBy("l_suppkey").pivot("period", [1996, 1997, 1998]).agg(F.sum("revenue"))
-    return wide.select("l_suppkey", *(F.col(str(y)).cast("double").alias(f"y{y}") for y in (1996, 1997, 1998)))
-
-
 @query(f"""WITH {STATEMENT_SQL.format(period=YEAR)} SELECT l_suppkey, period, 'revenue' AS metric, revenue::DOUBLE AS value FROM q UNION ALL SELECT l_suppkey, period, 'profit', profit::DOUBLE FROM q""")
 def stmt_unpivot(spark, sf_dir):
     rows = supplier_periods(spark, sf_dir).withColumns({c: F.col(c).cast("double") for c in ("revenue", "profit")})
     return rows.unpivot(["l_suppkey", "period"], ["revenue", "profit"], "metric", "value")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(coalesce(nullif(l_discount, 0), l_tax - 0.5), 6) AS capex FROM lineitem""")
-def capex_fallback(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.coalesce(F.nullif("l_discount", F.lit(0.0)), F.col("l_tax") - 0.5), 6).alias("capex"))
-
-
-@query("""WITH o AS (SELECT o_custkey, o_totalprice::DECIMAL(18, 2) AS v, o_orderdate::DATE AS d FROM orders), l AS (SELECT o_custkey, v FROM o WHERE d >= DATE '1998-01-01')
-SELECT c_custkey, coalesce(a.v, 0)::DOUBLE AS income_side, coalesce(b.v, 0)::DOUBLE AS cash_side FROM (SELECT c_custkey FROM customer) LEFT JOIN (SELECT o_custkey, sum(v) AS v FROM o GROUP BY 1) a ON c_custkey = a.o_custkey
-LEFT JOIN (SELECT o_custkey, sum(v) AS v FROM l GROUP BY 1) b ON c_custkey = b.o_custkey""")
-def statement_alignment(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").select("o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("v"), "o_orderdate")
-    income = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("v").alias("income_side"))
-    cash = orders.where("o_orderdate >= '1998-01-01'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("v").alias("cash_side"))
-    both = income.join(cash, "c_custkey", "full")
-    return read(spark, sf_dir, "customer").select("c_custkey").join(both, "c_custkey", "left").select("c_custkey", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("income_side", "cash_side")))
-
-
-@query("""SELECT n_name, n, CASE WHEN n = 0 THEN 'N/A' ELSE 'ok' END AS status, bal FROM (SELECT n_name, count(*) FILTER (WHERE c_acctbal < -500) AS n, sum(c_acctbal::DECIMAL(18, 2))::DOUBLE AS bal
-FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name)""")
-def valuation_snapshot(spark, sf_dir):
-    joined = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
-    rows = joined.groupBy("n_name").agg(F.count_if(F.col("c_acctbal") < -500).alias("n"), F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("bal"))
-    return rows.select("n_name", "n", F.when(M.multiple(F.col("n").cast("double")) == "N/A", "N/A").otherwise("ok").alias("status"), "bal")
-
-
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS cnt FROM events GROUP BY 1")
 def epoch_dates(spark, sf_dir):
     seconds = F.unix_timestamp(F.col("ts").cast("timestamp"))
@@ -415,16 +320,4 @@ def exclusion_anti(spark, sf_dir):
     return without(read(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN 'new ' || p_brand ELSE p_name END AS p_name, p_type, p_partkey % 10 = 0 AS merged FROM part""")
-def enrichment_merge(spark, sf_dir):
-    parts = read(spark, sf_dir, "part")
-    payload = parts.where("p_partkey % 10 = 0").select("p_partkey", F.concat(F.lit("new "), F.col("p_brand")).alias("new_name"))
-    joined = parts.join(payload, "p_partkey", "left")
-    return joined.select("p_partkey", F.coalesce("new_name", "p_name").alias("p_name"), "p_type", F.col("new_name").isNotNull().alias("merged"))
-
-
-@query("""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p_partkey % 10 = 0 THEN 'ENRICHED' ELSE 'KEPT' END AS outcome FROM part) GROUP BY 1""")
-def update_tally(spark, sf_dir):
-    from ..operators.upsert import tally
-
-    return tally(enrichment_merge(spark, sf_dir).select(F.when(F.col("merged"), "ENRICHED").otherwise("KEPT").alias("outcome")))
+from . import report_queries  # noqa: E402, F401  registers its queries here

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,37 +28,176 @@ def markdown_files(reports: DataFrame) -> DataFrame:
     return reports.select(F.concat_ws("/", X.folder_name(F.col("sector")), F.concat(F.col("ticker"), F.lit("_"), F.col("company"), F.lit(".md"))).alias("path"), "content")
 
 
-def graph_json(nodes: DataFrame, edges: DataFrame, indent: int = 2) -> str:
-    """Nodes by count, edges by weight, as one JSON text. For graphs that a page can show: min_weight and top bound them."""
-    n = [r.asDict() for r in nodes.orderBy(F.desc("count"), "id").collect()]
-    e = [r.asDict() for r in edges.orderBy(F.desc("weight"), "source", "target").collect()]
+def write_markdown(files: DataFrame, folder: str, dry_run: bool = False) -> int:
+    """Write path, content rows (as markdown_files gives them) as files below a folder that all executors reach; returns their number.
+
+    Each file is written under another name and takes its own when complete. With dry_run the files
+    are only counted. Rows without content write no file.
+    """
+    rows = files.where("content is not null and path is not null")
+    if dry_run:
+        return rows.count()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        to, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                name = f"{root}/{path}"
+                held = f"{name.rpartition('/')[0]}/.{name.rpartition('/')[2]}.{uuid.uuid4().hex}"
+                to.create_dir(name.rpartition("/")[0], recursive=True)
+                with to.open_output_stream(held) as out:
+                    out.write(content.encode())
+                to.move(held, name)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    return rows.select("path", "content").mapInArrow(each, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+#: Nodes or edges that a page can show; a larger graph has to be bounded by min_weight or top first.
+GRAPH_ROWS = 50_000
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame, indent: int = 2, most: int = GRAPH_ROWS) -> str:
+    """Nodes by count, edges by weight, as one JSON text. More than most of either is an error, as one page cannot show them."""
+    n = [r.asDict() for r in nodes.orderBy(F.desc("count"), "id").limit(most + 1).collect()]
+    e = [r.asDict() for r in edges.orderBy(F.desc("weight"), "source", "target").limit(most + 1).collect()]
+    if max(len(n), len(e)) > most:
+        raise ValueError(f"over {most} nodes or edges: raise the least weight or take the most frequent names only")
     return json.dumps({"nodes": n, "links": e}, ensure_ascii=False, indent=indent)
 
 
 def graph_page(graph: str, title: str = "Entity network") -> str:
-    """A self-contained page that lists the graph and filters it by weight and by name."""
+    """A self-contained page that draws the graph; by weight and name what is shown shrinks, a click leaves a node and its neighbours."""
     legend = "".join(f'<li style="color:{c}">{html.escape(V.CATEGORY_LABELS[k])}</li>' for k, c in V.CATEGORY_COLORS.items())
     data = graph.replace("</", "<\\/")
     return f"""<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body>
 <h1>{html.escape(title)}</h1><ul>{legend}</ul>
 <label>Least weight <input id="w" type="number" value="5"></label> <label>Name <input id="q"></label>
-<table id="t"></table>
+<canvas id="c" width="1200" height="800"></canvas><table id="t"></table>
 <script>
-const graph = {data};
-function show() {{
+const graph = {data}, canvas = document.getElementById("c"), pen = canvas.getContext("2d");
+const most = Math.max(1, ...graph.nodes.map(n => n.count)), ends = graph.links.map(l => l.weight), lo = Math.min(...ends), hi = Math.max(...ends);
+const size = n => most > 1 ? 4 + 36 * (Math.sqrt(n.count) - 1) / (Math.sqrt(most) - 1) : 4, share = l => hi > lo ? (l.weight - lo) / (hi - lo) : 0;
+const at = new Map(graph.nodes.map((n, i) => [n.id, {{ ...n, x: 600 + 300 * Math.cos(i * 2.4), y: 400 + 300 * Math.sin(i * 2.4), dx: 0, dy: 0 }}]));
+let chosen = null, shown = [], points = [], heat = 0;
+function pick() {{
   const w = +document.getElementById("w").value, q = document.getElementById("q").value.toLowerCase();
-  const rows = graph.links.filter(l => l.weight >= w && (l.source + " " + l.target).toLowerCase().includes(q));
-  document.getElementById("t").replaceChildren(...rows.map(l => {{
+  shown = graph.links.filter(l => l.weight >= w && (!chosen || l.source === chosen || l.target === chosen) && (l.source + " " + l.target).toLowerCase().includes(q));
+  points = [...new Set(shown.flatMap(l => [l.source, l.target]))].map(id => at.get(id)).filter(Boolean);
+  document.getElementById("t").replaceChildren(...shown.map(l => {{
     const tr = document.createElement("tr");
     for (const x of [l.source, l.target, l.weight]) tr.insertCell().textContent = x;
     return tr;
   }}));
+  heat = 1;
+}}
+function step() {{
+  if (heat > 0.01) {{
+    for (const a of points) {{ a.dx = (600 - a.x) * 0.01; a.dy = (400 - a.y) * 0.01; }}
+    for (const a of points) for (const b of points) {{
+      const x = a.x - b.x, y = a.y - b.y, d = x * x + y * y + 1;
+      if (a !== b && d < 40000) {{ a.dx += 900 * x / d; a.dy += 900 * y / d; }}
+    }}
+    for (const l of shown) {{
+      const a = at.get(l.source), b = at.get(l.target), k = 0.02 * (0.3 + share(l));
+      a.dx += (b.x - a.x) * k; a.dy += (b.y - a.y) * k; b.dx += (a.x - b.x) * k; b.dy += (a.y - b.y) * k;
+    }}
+    for (const a of points) {{ a.x += heat * a.dx; a.y += heat * a.dy; }}
+    heat *= 0.99;
+    draw();
+  }}
+  requestAnimationFrame(step);
 }}
-for (const id of ["w", "q"]) document.getElementById(id).oninput = show;
-show();
+function draw() {{
+  pen.clearRect(0, 0, 1200, 800);
+  for (const l of shown) {{
+    const a = at.get(l.source), b = at.get(l.target);
+    pen.globalAlpha = 0.15 + 0.45 * share(l); pen.lineWidth = 0.5 + 3.5 * share(l);
+    pen.beginPath(); pen.moveTo(a.x, a.y); pen.lineTo(b.x, b.y); pen.stroke();
+  }}
+  pen.globalAlpha = 1;
+  for (const a of points) {{
+    pen.fillStyle = a.color; pen.beginPath(); pen.arc(a.x, a.y, size(a), 0, 7); pen.fill();
+    pen.fillStyle = "#222"; pen.fillText(a.id, a.x + size(a) + 2, a.y);
+  }}
+}}
+canvas.onclick = e => {{
+  const hit = points.find(a => Math.hypot(a.x - e.offsetX, a.y - e.offsetY) < size(a) + 3);
+  chosen = hit ? hit.id : null;
+  pick();
+}};
+for (const id of ["w", "q"]) document.getElementById(id).oninput = pick;
+pick(); step();
 </script></body></html>"""
 
 
+def theme_lines(screened: DataFrame, themes: DataFrame, counts: DataFrame) -> DataFrame:
+    """file, part, sector, ticker, line: the lines of each theme's page; in this order they are the page.
+
+    screened: entries of themes; themes: tag, name, description, related; counts: tag, companies.
+    A theme without companies has no page. No page is gathered into one row.
+    """
+    about = F.broadcast(themes).join(counts, "tag")
+    pairs = F.broadcast(themes.select("tag", F.posexplode("related").alias("ord", "other"))).join(counts.select(F.col("tag").alias("other"), "companies"), "other")
+    linked = pairs.groupBy("tag").agg(F.array_sort(F.collect_list(F.struct("ord", F.concat(F.lit("[["), "other", F.lit("]] ("), F.col("companies").cast("string"), F.lit(")")).alias("t")))).alias("l"))  # as many as a theme names
+    more = F.when(F.col("l").isNotNull(), F.array(F.concat(F.lit("**相關主題:** "), F.array_join(F.transform("l", lambda x: x["t"]), " | ")), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    top = F.concat(F.array(F.concat(F.lit("# "), "name"), F.lit(""), F.concat(F.lit("> "), "description"), F.lit(""), F.concat(F.lit("**涵蓋公司數:** "), F.col("companies").cast("string")), F.lit("")), more, F.array(F.lit("---"), F.lit("")))
+    none = F.lit("")
+    head = about.join(linked, "tag", "left").select("tag", F.posexplode(top).alias("part", "line")).select("tag", "part", none.alias("sector"), none.alias("ticker"), "line")
+    place, label = X.literal_map({r: str(100 * (i + 1)) for i, r in enumerate(V.ROLE_LABELS)}), X.literal_map(V.ROLE_LABELS)
+    first = place[F.col("role")].cast("int")
+    roles = screened.groupBy("tag", "role").agg(F.count(F.lit(1)).alias("n"))
+    title = F.concat(F.lit("## "), label[F.col("role")], F.lit(" ("), F.col("n").cast("string"), F.lit(")"))
+    around = roles.select("tag", first.alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("o"), title.alias("line")), F.struct(F.lit(1).alias("o"), none.alias("line")), F.struct(F.lit(3).alias("o"), none.alias("line")))).alias("x"))
+    around = around.select("tag", (F.col("part") + F.col("x.o")).alias("part"), none.alias("sector"), none.alias("ticker"), "x.line")
+    company = F.concat(F.lit("- **"), "ticker", F.lit(" "), F.coalesce("company", none), F.lit("** ("), "sector", F.lit(")"))
+    rows = head.unionByName(around).unionByName(screened.select("tag", (first + 2).alias("part"), "sector", "ticker", company.alias("line")))
+    return rows.select(F.concat(X.file_stem(F.col("tag")), F.lit(".md")).alias("file"), "part", "sector", "ticker", "line")
+
+
+def theme_index_lines(index: DataFrame) -> DataFrame:
+    """file, part, sector, ticker, line of the themes' README. index: category, ord, tag, companies, a row for each listed theme."""
+    place = X.literal_map({f"{c}/{t}": str(i) for i, (c, t) in enumerate((c, t) for c, ts in V.THEME_INDEX.items() for t in ts)})
+    row = F.concat(F.lit("- ["), "tag", F.lit("]("), X.file_stem(F.col("tag")), F.lit(".md) — "), F.col("companies").cast("string"), F.lit(" 家公司"))
+    spark = index.sparkSession
+    fixed = [(i, line) for i, line in enumerate(V.THEME_INDEX_HEAD)]
+    for k, category in enumerate(V.THEME_INDEX):
+        fixed += [(1000 * (k + 1), f"## {category}"), (1000 * (k + 1) + 1, ""), (1000 * (k + 1) + 999, "")]
+    rows = spark.createDataFrame(fixed, "part int, line string").unionByName(index.select(((F.col("ord") + 1) * 1000 + 2 + place[F.concat("category", F.lit("/"), "tag")].cast("int")).alias("part"), row.alias("line")))
+    return rows.select(F.lit("README.md").alias("file"), "part", F.lit("").alias("sector"), F.lit("").alias("ticker"), "line")
+
+
+def write_pages(lines: DataFrame, folder: str) -> int:
+    """Write file, part, sector, ticker, line rows as text files in that order, streaming; returns the number of files."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        to, root = fs.FileSystem.from_uri(folder)
+        to.create_dir(root, recursive=True)
+        at, out, held, n = None, None, "", 0
+        for b in batches:
+            for file, line in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
+                if file != at:
+                    if out:
+                        out.close()
+                        to.move(held, f"{root}/{at}")
+                    at, held, n = file, f"{root}/.{file}.{uuid.uuid4().hex}", n + 1
+                    out = to.open_output_stream(held)
+                    out.write(line.encode())
+                else:
+                    out.write(f"\n{line}".encode())
+        if out:
+            out.close()
+            to.move(held, f"{root}/{at}")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    dealt = lines.select("file", "part", "sector", "ticker", "line").repartition("file").sortWithinPartitions("file", "part", "sector", "ticker")
+    return dealt.mapInArrow(each, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def index_lines(ranked: DataFrame) -> DataFrame:
     """category, total, lines: the Markdown of each section of the mention index, most frequent first."""
     line = F.concat(F.lit("- [["), F.col("name"), F.lit("]] ("), F.col("cnt").cast("string"), F.lit(")"))
