@@ -18,30 +18,34 @@ from fathomtext.llm.toxicity import CHAIN, drop_toxic, learn
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, fitted on the labels, does not reject."""
+    """Documents that the classifier chain, fitted on the labels, does not reject.
+
+    Null and empty texts have no words and stay unless the labels say that most texts are toxic;
+    rows without an id and repeated rows are judged by their text; without labels all rows stay.
+    """
     prepare(spark)
     return drop_toxic(docs, learn(docs, table(spark, sf_dir, "labels"), CHAIN))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts the row with the largest doc_id; nulls count as empty texts, and rows that repeat id and text as one row."""
     prepare(spark)
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row."""
+    """Of each group of near copies one row, the smallest doc_id first; rows without an id stay, empty texts are copies of one another."""
     prepare(spark)
     return drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of the benchmark occurs."""
+    """Documents in which no window of the benchmark occurs; null and empty texts stay, null items match nothing, an empty benchmark drops nothing."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), nameless=True)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text."""
+    """Token counts and digests of the ids and of the decoded text, a row for each that is left; a null text has no tokens."""
     return bpe_text(docs)
 
 
@@ -58,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. An empty table gives an empty result; other columns, whatever their names, pass through all but the last stage."""
     docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), name)
