@@ -1,37 +1,43 @@
-"""One document of each group of near copies: a prefix join on five-word shingles finds all pairs, the shingles judge them.
+"""One document of each group of near copies: fingerprints and bands propose pairs, the five-word shingles judge them.
 
 Two documents are near copies if their five-word shingles have a Jaccard similarity of 0.8 or more.
-In any order of all shingles that is the same for every document, one of the first n - ceil(0.8 n) + 1
-of a set of n is among the first of any set that similar, so an equality join on these prefixes misses
-no pair. The order decides only the cost: shingles that a sample of documents repeats come last, so
-that common lines are in few prefixes.
-
-To keep groups of many copies from making a pair for every two of them, the join is made twice. First
-each document meets only the smallest doc_id of each shingle of its prefix, and what has a near copy
-that stays is dropped; then the rest meets pairwise. Documents whose near copy was dropped by the
-second join are judged anew. Decisions go by rising doc_id: a document with a near copy among those
-that stay is dropped, any other stays. So every dropped document has a near copy among those kept, no
-two of those kept are near copies, and no chain of small changes drops a text that is far from all.
+SimHash fingerprints of the shingles, linked by their deletion variants, propose the copies that
+differ in scattered words. They cannot find the others: with a tenth of a text appended or cut off
+fingerprints differ in about six bits, beyond what halves with one wildcard reach. So each document
+is besides entered under BANDS keys of ROWS smallest hashes each; at a similarity of 0.8 two
+documents share one of the keys with a probability of 0.9993, above that with more.
+
+No group is expanded into all its pairs. A key's documents are compared with its smallest doc_id
+only, in the first round; what has a near copy that stays is dropped, and what is left under a key
+meets the four smallest left, then sixteen, and so on. Decisions go by rising doc_id: a document with a
+near copy among those that stay is dropped, any other stays. So every dropped document has a near
+copy among those kept, no two of those kept are known to be near copies, and no chain of small
+changes drops a text that is far from all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import byte_views, forget, materialize, texts
-from .simhash import components
+from .shared import byte_views, forget, fresh, materialize, texts
+from .simhash import components, links, majority
 
 WORDS, SIMILARITY = 5, 0.8
-#: Documents with the same shingle in their prefix that one key of the pairwise join holds; more are salted.
-SMALL = 4096
-#: Documents looked at for the order of shingles, times a shingle is in them to count as common, common ones held.
-SAMPLE, COMMON, HELD = 8000, 3, 400_000
+#: Keys of a document and smallest hashes in each.
+BANDS, ROWS = 24, 6
+#: Shingles hashed at once for the bands; links of a component that one task may decide; steps before components are looked for;
+#: by how much the leaders of a key grow from round to round.
+CHUNK, SMALL, PEEL, GROWTH = 4096, 4096, 6, 4
+_rng = np.random.default_rng(20)
+MASKS = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+MULTIPLIERS = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -53,53 +59,30 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that a sample of the documents repeats, the rarest first. Only the order of the prefixes depends on it."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(bytes(x)) for x in byte_views(b.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["shingle"])
-
-    step = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).select("text").mapInArrow(each, "shingle long")
-    counts = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    top = counts.orderBy(F.desc("n"), "shingle").limit(HELD).select("shingle").toArrow()
-    return top.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
-
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of hashes, each mixed from ROWS minima under hash functions of its own."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(0, len(own), CHUNK):
+            low = np.minimum(low, ((own[k : k + CHUNK, None] ^ MASKS) * MULTIPLIERS).min(axis=0))
+        out = np.arange(BANDS, dtype=np.uint64)
+        for row in low.reshape(ROWS, BANDS):
+            out = (out ^ row) * np.uint64(0xFF51AFD7ED558CCD)
+            out ^= out >> np.uint64(32)
+    return out
 
-def postings(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """shingle, doc_id, n (shingles of the document), at (place in its order) of each shingle of a prefix."""
-    by_hash = np.argsort(common)
-    held = docs.sparkSession.sparkContext.broadcast((common[by_hash], by_hash))
 
-    def prefix(own: np.ndarray) -> np.ndarray:
-        known, rank = held.value
-        if len(known):
-            k = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            own = own[np.argsort(np.where(known[k] == own, rank[k] + 1, 0), kind="stable")]
-        return own[: len(own) - int(np.ceil(SIMILARITY * len(own) - 1e-9)) + 1]
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (SimHash of the distinct shingles) and keys of each document, from one pass over the texts."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, first, size = b.column(0).to_numpy(zero_copy_only=False), [], []
-            for x in byte_views(b.column(1)):
-                own = shingles(bytes(x))
-                first.append(prefix(own))
-                size.append(len(own))
-            if not first:
-                continue
-            many = np.array([len(x) for x in first])
-            at = np.concatenate([np.arange(k, dtype=np.int32) for k in many])
-            columns = [np.concatenate(first).view(np.int64), np.repeat(ids, many), np.repeat(np.array(size, dtype=np.int32), many), at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "doc_id", "n", "at"])
+            own = [shingles(bytes(x)) for x in byte_views(b.column(1))]
+            fp = np.array([majority(x) for x in own], dtype=np.uint64).view(np.int64)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([band_keys(x) for x in own] or [np.empty(0, np.uint64)]).view(np.int64)), BANDS)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), keys.cast(pa.list_(pa.int64()))], ["doc_id", "fp", "keys"])
 
-    return docs.mapInArrow(each, "shingle long, doc_id long, n int, at int")
-
-
-def may_be_similar(n: Column, at: Column, m: Column, to: Column) -> Column:
-    """Two sets of n and m shingles whose first common one is at these places can have a similarity of 0.8."""
-    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-6) & (F.least(n - at, m - to) >= SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6)
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, fp long, keys array<long>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -118,31 +101,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     met = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
     sets = materialize(docs.join(met, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(each, "id long, own binary"), "sets")
     one, two = sets.select(F.col("id").alias("u"), F.col("own").alias("a")), sets.select(F.col("id").alias("v"), F.col("own").alias("b"))
-    out = materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b").mapInArrow(judge, "u long, v long").distinct(), "similar")
+    out = materialize(pairs.join(two, "v").join(one, "u").select("u", "v", "a", "b").mapInArrow(judge, "u long, v long").distinct(), "similar")
     forget(sets)
     return out
 
 
-def leader_pairs(posts: DataFrame) -> DataFrame:
-    """u, v: each document with the smallest one of each of its shingles."""
-    lead = F.col("lead")
-    near = may_be_similar(F.col("n"), F.col("at"), lead["n"], lead["at"])
-    return posts.where(F.col("doc_id") > lead["doc_id"]).where(near).select(lead["doc_id"].alias("u"), F.col("doc_id").alias("v")).distinct()
-
-
-def all_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """u, v, u < v: documents of left and right that share a shingle of their prefixes."""
-    salts = F.ceil(F.col("docs") / SMALL).cast("int")
-    a = left.select("shingle", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("at").alias("uat"))
-    b = right.select("shingle", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("doc_id").alias("v"), F.col("n").alias("vn"), F.col("at").alias("vat"))
-    once = F.col("u") < F.col("v") if left is right else F.col("u") != F.col("v")
-    near = may_be_similar(F.col("un"), F.col("uat"), F.col("vn"), F.col("vat"))
-    met = a.join(b, ["shingle", "salt"]).where(once & near)
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
 def settle(edges: DataFrame) -> DataFrame:
-    """doc_id of the documents dropped when they are taken by rising doc_id. edges: u, v with u < v."""
+    """doc_id of the documents dropped when they are taken by rising doc_id, a component at a time. edges: u, v with u < v."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, gone = None, set()
@@ -157,37 +122,111 @@ def settle(edges: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["doc_id"])
 
     placed = edges.join(components(edges).withColumnRenamed("node", "v"), "v").select("root", "u", "v")
-    return placed.repartition("root").sortWithinPartitions("root", "v").mapInArrow(each, "doc_id long")
+    return placed.repartition("root").sortWithinPartitions("root", "v", "u").mapInArrow(each, "doc_id long")
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges (u, v) with neither end among gone (doc_id)."""
+    for c in ("u", "v"):
+        edges = edges.join(gone.select(F.col("doc_id").alias(c)), c, "left_anti")
+    return edges.select("u", "v")
+
+
+def decided(edges: DataFrame) -> DataFrame:
+    """doc_id of the documents dropped when they are taken by rising doc_id. edges: u, v with u < v.
+
+    A document without a smaller neighbour stays and its neighbours go, all such at once: that ends
+    large groups around one text at the first step. Chains that are left are settled by component,
+    after more such steps if one has over SMALL links.
+    """
+    out = []
+    while True:
+        for _ in range(PEEL):
+            heads = edges.select(F.col("u").alias("doc_id")).distinct().join(edges.select(F.col("v").alias("doc_id")), "doc_id", "left_anti")
+            gone = materialize(edges.join(heads.withColumnRenamed("doc_id", "u"), "u", "left_semi").select(F.col("v").alias("doc_id")).distinct(), "gone")
+            out.append(gone)
+            edges = materialize(without(edges, gone), "left")
+            if edges.isEmpty():
+                return union(out)
+        roots = components(edges).withColumnRenamed("node", "v")
+        most = edges.join(roots, "v").groupBy("root").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if most <= SMALL:
+            return union([*out, materialize(settle(edges), "settled")])
+
+
+def simhash_pairs(sketch: DataFrame) -> DataFrame:
+    """u, v of documents whose fingerprints are equal or linked: each with the smallest of its fingerprint, and these with one another."""
+    lows = sketch.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    same = sketch.join(lows, "fp").where("doc_id <> low").select(F.col("low").alias("u"), F.col("doc_id").alias("v"))
+    near = links(lows.select("fp"))
+    named = lambda c: lows.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_id"))
+    near = near.join(named("u"), "u").join(named("v"), "v").select(F.least("u_id", "v_id").alias("u"), F.greatest("u_id", "v_id").alias("v"))
+    return same.unionByName(near)
+
+
+def rounds(posts: DataFrame, docs: DataFrame, first: DataFrame | None = None, gone: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(dropped, edges): what the keys' rounds find; posts: key, doc_id. first: pairs that the first round judges too.
+
+    gone: documents that may only be compared with others; pairs of two others are left out.
+    """
+    dropped, found, leaders = [], [], 1
+    while True:
+        several = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
+        posts = materialize(posts.join(several, "key").select("key", "doc_id", "lead"), "shared")
+        if leaders > 1:
+            rank = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
+            lead = materialize(posts.select("key", "doc_id", rank.alias("rank")).where(F.col("rank") <= leaders).select("key", F.col("doc_id").alias("lead")), "leaders")
+            pairs = posts.drop("lead").join(lead, "key").where("doc_id > lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v"))
+            rest = posts.select("key", "doc_id").join(lead.withColumnRenamed("lead", "doc_id"), ["key", "doc_id"], "left_anti")
+        else:
+            pairs = posts.where("doc_id <> lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v"))
+            rest = posts.where("doc_id <> lead").select("key", "doc_id")
+        if first is not None:
+            pairs, first = pairs.unionByName(first), None
+        if gone is not None:
+            mine = union([pairs.join(gone.withColumnRenamed("doc_id", c), c, "left_semi").select("u", "v") for c in ("u", "v")])
+            pairs = mine
+        pairs = materialize(pairs.distinct(), "pairs")
+        if pairs.isEmpty():
+            if posts.isEmpty():
+                return dropped, found
+        else:
+            near = verified(pairs, docs)
+            found.append(near)
+            dropped.append(materialize(decided(near), "dropped"))
+            rest = rest.join(dropped[-1], "doc_id", "left_anti").select("key", "doc_id")
+        posts, leaders = materialize(rest, "posts"), GROWTH * leaders
 
 
 def dropped_ids(docs: DataFrame) -> DataFrame:
     """doc_id of the documents that have a near copy among those that stay. docs: doc_id, text."""
-    every = materialize(postings(docs, common_shingles(docs)), "postings")
-    shared = every.groupBy("shingle").agg(F.min(F.struct("doc_id", "n", "at")).alias("lead"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    posts = materialize(every.join(shared, "shingle"), "shared")
-    forget(every)
-    led = verified(materialize(leader_pairs(posts), "leaders"), docs)
-    first = materialize(settle(led), "first")
-    rest = posts.join(first, "doc_id", "left_anti")
-    second = materialize(settle(verified(materialize(all_pairs(rest, rest), "pairs"), docs)), "second")
-    gone = first.unionByName(second)
-    # of what the first join dropped, the documents none of whose near copies stay
-    held = led.join(gone.select(F.col("doc_id").alias("u")), "u", "left_anti").select(F.col("v").alias("doc_id"))
-    held = held.unionByName(led.join(gone.select(F.col("doc_id").alias("v")), "v", "left_anti").select(F.col("u").alias("doc_id")))
-    lost = materialize(first.join(held, "doc_id", "left_anti"), "lost")
-    if lost.isEmpty():
-        return gone
-    stay = posts.join(gone.join(lost, "doc_id", "left_anti"), "doc_id", "left_anti")
-    met = verified(materialize(all_pairs(posts.join(lost, "doc_id", "left_semi"), stay), "again"), docs)
-    # a document that stayed so far goes before those judged anew, whatever its id
-    of_lost = lambda c: lost.select(F.col("doc_id").alias(c))
-    known = met.join(of_lost("v"), "v", "left_anti").select(F.col("u").alias("doc_id")).unionByName(met.join(of_lost("u"), "u", "left_anti").select(F.col("v").alias("doc_id")))
-    known = materialize(known.distinct(), "known")
-    among = met.join(of_lost("u"), "u", "left_semi").join(of_lost("v"), "v", "left_semi")
-    for c in ("u", "v"):
-        among = among.join(known.select(F.col("doc_id").alias(c)), c, "left_anti")
-    third = settle(materialize(among.select("u", "v"), "among"))
-    return gone.join(lost, "doc_id", "left_anti").unionByName(known).unionByName(third)
+    sketch = materialize(sketches(docs).dropDuplicates(["doc_id"]), "sketches")
+    posts = sketch.select("doc_id", F.explode("keys").alias("key"))
+    dropped, found = rounds(posts, docs, simhash_pairs(sketch))
+    if not dropped:
+        return docs.select("doc_id").limit(0)
+    gone, edges = union(dropped).distinct(), union(found)
+    while True:
+        # of what a round dropped, the documents whose near copies a later round dropped
+        gone = materialize(gone, "gone")
+        held = union([edges.join(gone.withColumnRenamed("doc_id", a), a, "left_anti").select(F.col(b).alias("doc_id")) for a, b in (("u", "v"), ("v", "u"))])
+        lost = materialize(gone.join(held, "doc_id", "left_anti"), "lost")
+        if lost.isEmpty():
+            return gone
+        # they are judged anew among themselves and with what stays under their keys, which goes first
+        stay = gone.join(lost, "doc_id", "left_anti")
+        theirs = posts.join(lost, "doc_id", "left_semi").select("key").distinct()
+        again, more = rounds(posts.join(stay, "doc_id", "left_anti").join(theirs, "key", "left_semi").select("key", "doc_id"), docs, gone=lost)
+        edges = union([edges, *more])
+        near = union(more) if more else edges.limit(0)
+        kept_ends = [near.join(lost.withColumnRenamed("doc_id", a), a, "left_anti").select(F.col(b).alias("doc_id")) for a, b in (("u", "v"), ("v", "u"))]
+        known = materialize(union(kept_ends).distinct(), "known")
+        among = materialize(without(near.join(lost.withColumnRenamed("doc_id", "u"), "u", "left_semi").join(lost.withColumnRenamed("doc_id", "v"), "v", "left_semi"), known), "among")
+        gone = union([stay, known, *([] if among.isEmpty() else [decided(among)])]).distinct()
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -195,8 +234,10 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty; texts without words are copies of one another, and one of fewer than
     five words is a copy only of the same words. Rows without an id always stay. Rows that share an
-    id share its fate, so exact dedup goes before. Empty in, empty out.
+    id share its fate, so exact dedup goes before. Columns of any name pass through. Empty in, empty
+    out.
     """
     plain = texts(docs).where("doc_id is not null")
-    gone = materialize(dropped_ids(plain).distinct(), "gone").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    (name,) = fresh(docs, 1)
+    gone = materialize(dropped_ids(plain).distinct(), "gone").select(F.col("doc_id").alias(name))
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -9,7 +9,8 @@ by a search from one to the next, which yields a spanning forest instead of all
 link for each member, and no component is lost. A half that very many fingerprints share would
 make a large bucket; such halves are counted beforehand, and their buckets are cut a second time by
 the same rule on the other half (two quarters of 16 bits). A bucket of the second level leaves 18
-bits open, so it holds at most 2^18 fingerprints, however large the input.
+bits open, so it holds at most 2^18 fingerprints, however large the input; the task that has it
+cuts it again by the same rule until no part is large.
 
 Links become components by rounds of large-star and small-star steps on tables in the shared
 folder.
@@ -32,6 +33,14 @@ BITS, WORDS, SEED = 3, 3, 42
 BLOCK, CROWD = 1 << 16, 2048
 
 
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, len(h), BLOCK):
+        ones += np.unpackbits(h[k : k + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """Majority of the bits of the XXH64 of all word shingles; zero without words. A-Z only are lower-cased."""
     parts = text.lower().split()
@@ -110,6 +119,30 @@ def forest(members: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]
     return out
 
 
+def joined(members: np.ndarray, bits: int, crowd: int = CROWD) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same for a bucket of any size: a large one is indexed again, until no part is large.
+
+    The bit positions in which the members differ at all are cut into two halves. Of two members at
+    most three bits apart one half differs in at most one, so they share a variant that blanks one
+    position of it. A part holds at most the members that the other half leaves open, so parts shrink.
+    """
+    differ = int(np.bitwise_or.reduce(members ^ members[0]))
+    places = [k for k in range(64) if differ >> k & 1]
+    if len(members) <= crowd or bits > 3 or len(places) < 6:
+        return forest(members, bits)
+    out = []
+    for half in (places[: len(places) // 2], places[len(places) // 2 :]):
+        for blank in half:
+            key = members & np.uint64(sum(1 << k for k in half if k != blank))
+            order = np.argsort(key, kind="stable")
+            cut = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if b - a > 1:
+                    part = members[order[a:b]]
+                    out += forest(part, bits) if b - a == len(members) else joined(part, bits, crowd)
+    return out
+
+
 def linked(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
     """u, v: the forest of each bucket. rows: keys and fp; one bucket is in memory at a time."""
 
@@ -118,7 +151,7 @@ def linked(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
 
         def close() -> list[tuple[np.ndarray, np.ndarray]]:
             members = np.concatenate(held) if held else np.empty(0, dtype=np.uint64)
-            return forest(members, bits) if len(members) > 1 else []
+            return joined(members, bits) if len(members) > 1 else []
 
         for b in batches:
             k = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(len(keys))], axis=1)
@@ -143,7 +176,7 @@ def linked(rows: DataFrame, keys: list[str], bits: int) -> DataFrame:
             near = ones(fp[two] ^ fp[two + 1]) <= bits
             out.append((fp[two[near]], fp[two[near] + 1]))
             for i in np.flatnonzero(inner & (size > 2)):
-                out += forest(fp[starts[i] : ends[i]], bits)
+                out += joined(fp[starts[i] : ends[i]], bits)
             if not (held_key == first and len(starts) == 1):
                 held = [fp[starts[-1] :]]
             held_key = last
