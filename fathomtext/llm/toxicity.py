@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,8 +159,8 @@ def once(x: Sparse) -> np.ndarray:
     return np.array(keep, dtype=np.int64)
 
 
-def train(x: Sparse, labels: np.ndarray, names: list[str], spelled: dict[int, set[str]], folds: int = FOLDS) -> Chain:
-    """labels: rows x categories, in the order of the chain. Each later model sees out-of-fold logits of the earlier. spelled: the features of each hash."""
+def train(x: Sparse, labels: np.ndarray, names: list[str], spelled: dict[int, set[str]] | Callable[[np.ndarray], dict[int, set[str]]], folds: int = FOLDS) -> Chain:
+    """labels: rows x categories, in the order of the chain. Each later model sees out-of-fold logits of the earlier. spelled: the features of each hash, or what gives them for those that get a weight."""
     first = once(x)
     x, labels = x.take(first), labels[first]
     n = len(labels)
@@ -183,7 +183,9 @@ def train(x: Sparse, labels: np.ndarray, names: list[str], spelled: dict[int, se
         links.append(v)
         intercepts.append(b)
     table = np.stack(weights, axis=1)
-    named = {f: tuple(table[k].tolist()) for k in np.flatnonzero(table.any(axis=1)).tolist() for f in spelled.get(k, ())}
+    used = np.flatnonzero(table.any(axis=1))
+    spelled = spelled(used) if callable(spelled) else spelled
+    named = {f: tuple(table[k].tolist()) for k in used.tolist() for f in spelled.get(k, ())}
     return Chain(names, named, links, intercepts, best_threshold(outside[:, -1], labels[:, -1]) if n else 0.5)
 
 
@@ -228,15 +230,19 @@ def learn(docs: DataFrame, labels: DataFrame, chain: dict[str, Column], sample:
     kinds = "id long, " + "".join(f"{k} int, " for k in names) + "found string, vals binary"
     met = texts(docs).join(picked, F.col("doc_id") == F.col("id")).select("id", *names, "text").mapInArrow(each, kinds)
     met = met.groupBy("id").agg(F.min(F.struct(*names, "found", "vals")).alias("row")).select("id", "row.*")
-    rows = {r["found"]: r for r in sorted(met.collect(), key=lambda r: r["id"])}
+    rows = {r["found"]: r for r in sorted(met.toArrow().to_pylist(), key=lambda r: r["id"])}
     rows = sorted(rows.values(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
-    spelled: dict[int, set[str]] = {}
-    cols = []
-    for r in rows:
-        own = r["found"].split("\n") if r["found"] else []
-        cols.append(np.array([zlib.crc32(f.encode()) % DIM for f in own], dtype=np.int64))
-        for k, f in zip(cols[-1].tolist(), own, strict=True):
-            spelled.setdefault(k, set()).add(f)
+    cols = [np.array([zlib.crc32(f.encode()) % DIM for f in r["found"].split("\n") if f], dtype=np.int64) for r in rows]
+
+    def spelled(wanted: np.ndarray) -> dict[int, set[str]]:
+        """The names of some features: those of all would fill the driver."""
+        held: dict[int, set[str]] = {}
+        for r, own in zip(rows, cols, strict=True):
+            parts = r["found"].split("\n")
+            for i in np.flatnonzero(np.isin(own, wanted)).tolist():
+                held.setdefault(int(own[i]), set()).add(parts[i])
+        return held
+
     x = Sparse(np.cumsum([0, *map(len, cols)]), np.concatenate([*cols, np.empty(0, np.int64)]), np.concatenate([*(np.frombuffer(r["vals"], dtype="<f4") for r in rows), np.empty(0, "<f4")]).astype(np.float64))
     y = np.array([[r[k] for k in names] for r in rows], dtype=np.int64).reshape(len(rows), len(names))
     return train(x, y, names, spelled)
