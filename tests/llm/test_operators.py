@@ -465,3 +465,174 @@ def test_substring_dedup_while_the_cluster_changes(spark, unsteady, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.option("parquet.block.size", 4096).option("parquet.page.size", 512).option("parquet.page.size.row.check.min", 10).parquet(path)
     want = collections.Counter((i, *x) for (i, _), x in zip(rows, brute_removed([t.encode() for _, t in rows], 40), strict=True))
     assert bag(substring_dedup.substring_dedup(spark.read.parquet(path), 40, 12).drop("kept")) == want and unsteady[0] > 3
+
+
+def test_stages_leave_clashing_columns_alone(spark, docs, texts):
+    names = ["__id", "__digest", "__gone", "own", "key", "fp", "n", "lead"]
+    wide = docs.select("doc_id", "text", *(F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in names))
+    for stage in (exact_dedup.drop_copies, near_dedup.drop_near_copies):
+        kept = stage(materialize(wide, "wide"))
+        assert kept.columns == wide.columns
+        assert all(r[c] == f"{c} of {'none' if r['doc_id'] is None else r['doc_id']}" for r in kept.collect() for c in names)
+
+
+def test_large_ids_beside_missing_ones(spark):
+    big = 2**53 + 1
+    rows = [(big, "same"), (big - 2, "same"), (None, "none"), (None, "same"), (-big, "alone")]
+    got = {(r["doc_id"], r["keep_id"]) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(big, big), (big - 2, big), (None, None), (None, big), (-big, -big)}
+
+
+def test_later_links_learn_from_out_of_fold_predictions():
+    """Words that occur in one fold only: seen in training they give the category away, outside they tell nothing."""
+    n, rng = 600, np.random.default_rng(3)
+    group = np.arange(n) % 5 * 3 + np.arange(n) // 5 % 3
+    y = rng.permutation(15)[group] % 2
+    x = toxicity.Sparse(np.arange(n + 1), group.astype(np.int64), np.full(n, 0.05))
+    w, _, b = toxicity.fit(x, np.empty((n, 0)), y.astype(float))
+    inside = toxicity.logit(toxicity.sigmoid(x.dot(w) + b))
+    assert ((inside > 0) == y).all()
+    _, in_sample, _ = toxicity.fit(x, inside[:, None], y.astype(float))
+    chain = toxicity.train(x, np.stack([y, y], axis=1), ["a", "b"], {})
+    assert in_sample[0] > 0.5 and chain.links[1][0] < 0.2 * in_sample[0]
+
+
+def test_toxicity_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 40, f"{'bad' if i % 2 else 'good'} word{i % 7} text") for i in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    chain = toxicity.learn(docs, labels, toxicity.CHAIN)
+    assert toxicity.classify(docs, chain).count() == 4000
+
+
+def test_stages_on_empty_tables(spark, none, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    chain = toxicity.learn(none, labels, toxicity.CHAIN)
+    assert toxicity.drop_toxic(none, chain).count() == exact_dedup.drop_copies(none).count() == near_dedup.drop_near_copies(none).count() == 0
+    items = spark.createDataFrame([(1, "data")], "item_id long, text string")
+    assert decontaminate.drop_contaminated(none, items).count() == 0
+    assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == docs.count()
+
+
+def test_decontaminate_over_blocks_while_the_cluster_changes(spark, unsteady, tmp_path):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(40)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.choice([4, 12, 30])))) for k in range(60)]
+    items += [(None, "w1 w2 w3"), (100, items[0][1]), (101, items[0][1])]
+    rows = []
+    for i in range(120):
+        cut = rng.choice(items)[1].split()
+        rows.append((i % 100, " ".join([*(rng.choice(words) for _ in range(rng.randint(0, 30))), *cut[: rng.randint(0, len(cut))], rng.choice(words)])))
+    rows += [(500, None), (501, "")]
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.option("parquet.block.size", 2048).option("parquet.page.size", 512).option("parquet.page.size.row.check.min", 10).parquet(path)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    named = [(k, t) for k, t in items if k is not None]
+    want = {False: collections.Counter(), True: collections.Counter()}
+    for i, t in rows:
+        some, every = brute_hits(t, named), brute_hits(t, [*named, ("none", "w1 w2 w3")])
+        want[False][i, some[0], some[1], some[2], tuple(some[3])] += 1
+        want[True][i, every[0], every[1], every[2], tuple(n for n in every[3] if n != "none")] += 1
+    for nameless in (False, True):
+        for block in (1 << 20, 300):
+            docs = spark.read.parquet(path)
+            got = decontaminate.decontaminate(docs, bench, block_bytes=block, nameless=nameless)
+            assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], tuple(r["items"])) for r in got.collect()) == want[nameless]
+            assert decontaminate.drop_contaminated(docs, bench, block_bytes=block, nameless=nameless).count() == sum(n for k, n in want[nameless].items() if not k[2])
+
+
+def test_longest_matches():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        parts, items = ([rng.integers(0, 3, rng.integers(1, 30)) for _ in range(rng.integers(1, 5))] for _ in range(2))
+        words, at, item, place = decontaminate.longest_matches(parts, items)
+        for k, x in enumerate(parts):
+            found = {tuple(y[a : a + n]) for y in items for n in range(1, len(y) + 1) for a in range(len(y) - n + 1)}
+            want = max((n for n in range(1, len(x) + 1) for a in range(len(x) - n + 1) if tuple(x[a : a + n]) in found), default=0)
+            assert words[k] == want
+            if want:
+                assert tuple(x[at[k] : at[k] + want]) == tuple(items[item[k]][place[k] : place[k] + want])
+
+
+def test_equal_items_do_not_multiply():
+    text = " ".join(f"w{k}" for k in range(12))
+    bench = decontaminate.Benchmark.build([(f"i{k:04}", text.encode()) for k in range(3000)], 10)
+    assert len(bench.starts) == 3
+    import pyarrow as pa
+
+    found = list(decontaminate.shard_hits(pa.array([" x ".join([text] * 2000)]), bench, 10))
+    assert found[0][0] == 2000 * 12 + 1999 and len(found[0][1]) == 2000 and len(found[0][2]) == 3000 and found[0][4]["words"] == 12
+
+
+PROSE = "The story of the town is told in a book that was found by the river and is read to this day. "
+
+
+def test_html_odd_markup():
+    page = "<body><article><p>{}</p>{}<p>{}</p></article></body>"
+    first, last = (PROSE * 4).strip(), (PROSE * 3).strip()
+    for odd in ("<svg/>", "<svg class=x />", "<iframe src='x'/>", "<noscript>", '<p class="x></p>', '<p title="a <b> c"></p>', "<script>var x = '<p>';</script>", "<!-- <p> -->"):
+        assert html_text.main_text(page.format(first, odd, last)) == f"{first} {last}", odd
+    for part, want in (
+        ("<section class='alert-systems'><p>Yes.</p></section>", "Yes."), ("<p><a href=x>One</a></p><p>No.</p><p><a href=y>Two</a></p>", "One No. Two"), ("<div class='share-prices'>Up.</div>", "Up."),
+        ("<div class='cookie-notice'>Off</div>", ""), ("<div class='site-sidebar left-col'>Off</div>", ""), ("<div id='relatedArticles'>Off</div>", ""), ("<div class='x ad-container'>Off</div>", ""),
+    ):
+        assert html_text.main_text(page.format(first, part, last)) == " ".join(x for x in (first, want, last) if x), part
+
+
+def test_html_generated_pages():
+    """Pages made from known parts: the article's paragraphs come back whole and in order, whatever stands around and between."""
+    rng = random.Random(21)
+    words = "the of and to in a is that it for on with as was by this are from river town book story light house Straße 中文 x1".split()
+    noise = ["<nav><ul><li><a href=/>Home</a></li></ul></nav>", "<header><p>Site</p></header>", "<footer>&copy; all</footer>", "<div class='ad'>Buy the best of it</div>", "<aside>More of it</aside>", "<form><p>Sign up for the news</p></form>", "<script>x='</p>'</script>", "<div class='comments'><p>I think that it is the best</p></div>", "<svg/>", "<!-- x -->"]
+    within = [x for x in noise if not x.startswith("<header")]  # an article's own header belongs to it
+    for _ in range(150):
+        paragraphs = [" ".join(rng.choice(words) for _ in range(rng.choice([1, 3, 12, 60]))) for _ in range(rng.randint(1, 8))]
+        body = "".join(rng.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<h2>{}</h2>", "<ul><li>{}</li></ul>", "<p><a href=x>{}</a></p>", "<p><b>{}</b></p>"]).format(p) + rng.choice(["", "", rng.choice(within)]) for p in paragraphs)
+        page = f"<html><body>{''.join(rng.sample(noise, 4))}<article>{body}</article>{''.join(rng.sample(noise, 4))}</body></html>"
+        assert html_text.main_text(page) == " ".join(paragraphs), page
+
+
+def test_html_time_grows_with_the_page():
+    import time
+
+    for made in (lambda n: "<b class=menu>" * n + "x" + "</i>" * n, lambda n: "<div class=menu>x" * n, lambda n: "<svg>x" * n, lambda n: "<p>x</q>" * n):
+        took = []
+        for n in (10_000, 40_000):
+            best = 9e9
+            for _ in range(2):
+                began = time.process_time()
+                html_text.main_text(made(n))
+                best = min(best, time.process_time() - began)
+            took.append(best)
+        assert took[1] < 9 * took[0] + 0.1, took
+
+
+def test_a_model_that_tells_nothing_rejects_nothing():
+    y = np.arange(200) % 10 == 0
+    assert toxicity.best_threshold(np.full(200, 0.6), y.astype(int)) == 1.0
+    assert toxicity.best_threshold(np.where(y, 0.4, 0.6), y.astype(int)) == 1.0
+    assert 0.4 < toxicity.best_threshold(np.where(y, 0.6, 0.4), y.astype(int)) < 0.6
+
+
+@pytest.mark.parametrize("spread", [64, 18, 8])
+def test_large_buckets_are_indexed_again_without_loss(spread):
+    rng = random.Random(spread)
+    points = {rng.getrandbits(64) & ((1 << spread) - 1) for _ in range(60)}
+    for p in list(points):
+        for _ in range(4):
+            points.add(p ^ 1 << rng.randrange(spread) ^ 1 << rng.randrange(spread))
+    members = np.array(sorted(points), dtype=np.uint64)
+    want, root = brute_components(points), {p: p for p in points}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for u, v in simhash.joined(members, 3, crowd=8):
+        for a, b in zip(u.tolist(), v.tolist(), strict=True):
+            assert (a ^ b).bit_count() <= 3
+            root[find(a)] = find(b)
+    groups = collections.defaultdict(set)
+    for p in points:
+        groups[want[p]].add(find(p))
+    assert all(len(g) == 1 for g in groups.values())
