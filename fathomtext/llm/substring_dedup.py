@@ -105,7 +105,7 @@ def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
         key = key * 258 + wide[k : k + n]
     known = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(np.r_[1, ranked[1:] != ranked[:-1]])
@@ -227,7 +227,7 @@ PARTS = 4
 
 
 def cut_pieces(pieces: DataFrame, length: int) -> DataFrame:
-    """Cut each piece (r1, r2, n, at, c1, c2, context) in PARTS by the distance c1..c2 of starts before their anchor.
+    """Cut each piece (r1, r2, n, at, cuts, context) in PARTS by the distance c1..c2 of starts before their anchor; cuts has all pieces of a context.
 
     k1, k2 are the hash of the bytes that all strings at these distances share, wherever a stretch
     ends, so equal strings get equal keys; e1, e2 are the hash of the bytes of the starts lo..hi that
@@ -236,20 +236,21 @@ def cut_pieces(pieces: DataFrame, length: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            r1, r2, n, at, c1, c2 = (batch.column(k).to_pylist() for k in range(6))
+            r1, r2, n, at, cuts = (batch.column(k).to_pylist() for k in range(5))
             rows = []
-            for k, view in enumerate(byte_views(batch.column(6))):
-                edges = np.unique(np.linspace(c1[k], c2[k] + 1, PARTS + 1).astype(int)).tolist()
-                for x, y in zip(edges, edges[1:], strict=False):
-                    lo, hi = max(0, at[k] - y + 1), min(len(view) - length, at[k] - x)
-                    if lo <= hi:
-                        shared, own = view[at[k] - x : at[k] - y + 1 + length], view[lo : hi + length]
-                        rows.append((r1[k], r2[k], n[k], x, y - 1, lo, hi, *two(xxhash.xxh3_128_digest(shared)), *two(xxhash.xxh3_128_digest(own))))
+            for k, view in enumerate(byte_views(batch.column(5))):
+                for c in cuts[k]:
+                    edges = np.unique(np.linspace(c["c1"], c["c2"] + 1, PARTS + 1).astype(int)).tolist()
+                    for x, y in zip(edges, edges[1:], strict=False):
+                        lo, hi = max(0, at[k] - y + 1), min(len(view) - length, at[k] - x)
+                        if lo <= hi:
+                            shared, own = view[at[k] - x : at[k] - y + 1 + length], view[lo : hi + length]
+                            rows.append((r1[k], r2[k], n[k], x, y - 1, lo, hi, *two(xxhash.xxh3_128_digest(shared)), *two(xxhash.xxh3_128_digest(own))))
             cols = list(zip(*rows, strict=True)) or [()] * 11
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["r1", "r2", "n", "c1", "c2", "lo", "hi", "k1", "k2", "e1", "e2"])
 
     kinds = ", ".join(f"{c} long" for c in ("r1", "r2", "n", "c1", "c2", "lo", "hi", "k1", "k2", "e1", "e2"))
-    return pieces.select("r1", "r2", "n", "at", "c1", "c2", "context").mapInArrow(each, kinds)
+    return pieces.select("r1", "r2", "n", "at", "cuts", "context").mapInArrow(each, kinds)
 
 
 def ordered_groups(members: DataFrame, length: int) -> DataFrame:
@@ -283,11 +284,12 @@ def ordered_groups(members: DataFrame, length: int) -> DataFrame:
 
 
 def settled(contexts: DataFrame, length: int, anchor: int, crowd: int) -> DataFrame:
-    """r1, r2, lo, hi: the runs of repeated starts in contexts (anchor, r1, r2, n, m, at, context; all distinct, m to an anchor)."""
+    """r1, r2, runs (lo, hi): the runs of repeated starts in contexts (anchor, r1, r2, n, m, at, context; all distinct, m to an anchor)."""
     few = contexts.where(F.col("m") <= crowd).select(F.col("anchor").alias("k1"), F.lit(0).alias("k2"), F.col("r1").alias("e1"), F.col("r2").alias("e2"), "n", F.col("context").alias("piece"))
     out = [materialize(ordered_groups(few, length).select(F.col("e1").alias("r1"), F.col("e2").alias("r2"), "lo", "hi"), "runs")]
     contexts = contexts.where(F.col("m") > crowd)
-    pieces = contexts.withColumns({"c1": F.lit(0).cast("long"), "c2": F.lit(length - anchor).cast("long")})
+    whole = F.struct(F.lit(0).cast("long").alias("c1"), F.lit(length - anchor).cast("long").alias("c2"))
+    pieces = contexts.withColumn("cuts", F.array(whole))
     while not pieces.isEmpty():
         cuts = materialize(cut_pieces(pieces, length), "cuts")
         same = cuts.groupBy("k1", "k2", "e1", "e2").agg(F.sum("n").alias("total"), F.min(F.struct("r1", "r2", "c1", "c2", "lo", "hi")).alias("rep"))
@@ -295,13 +297,16 @@ def settled(contexts: DataFrame, length: int, anchor: int, crowd: int) -> DataFr
         several = same.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
         out.append(cuts.join(same.where("total > 1").select("e1", "e2"), ["e1", "e2"], "left_semi").select("r1", "r2", "lo", "hi"))
         met = same.join(several.where(F.col("m") <= crowd), ["k1", "k2"]).select("k1", "k2", "e1", "e2", F.col("total").alias("n"), "rep.*")
-        met = met.join(contexts.select("r1", "r2", "context"), ["r1", "r2"])
+        met = met.groupBy("r1", "r2").agg(F.collect_list(F.struct("k1", "k2", "e1", "e2", "n", "lo", "hi")).alias("p"))  # at most one for each start of a context
+        met = met.join(contexts.select("r1", "r2", "context"), ["r1", "r2"]).select("context", F.explode("p").alias("p")).select("context", "p.*")
         met = materialize(met.select("k1", "k2", "e1", "e2", "n", F.expr(f"substring(context, cast(lo + 1 as int), cast(hi - lo + {length} as int))").alias("piece")), "pieces")
         found = ordered_groups(met, length).select("e1", "e2", F.col("lo").alias("x"), F.col("hi").alias("y"))
         out.append(cuts.join(found, ["e1", "e2"]).select("r1", "r2", (F.col("lo") + F.col("x")).alias("lo"), (F.col("lo") + F.col("y")).alias("hi")))
         crowded = cuts.join(same.join(several.where(F.col("m") > crowd), ["k1", "k2"]).select("e1", "e2").distinct(), ["e1", "e2"], "left_semi")
-        pieces = materialize(crowded.select("r1", "r2", "c1", "c2"), "crowded").join(contexts, ["r1", "r2"])
-    return reduce(DataFrame.unionByName, out)
+        left = crowded.groupBy("r1", "r2").agg(F.collect_list(F.struct("c1", "c2")).alias("cuts"))
+        pieces = materialize(left, "crowded").join(contexts, ["r1", "r2"])
+    every = reduce(DataFrame.unionByName, out)
+    return every.groupBy("r1", "r2").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
 
 def kept_bytes(text: memoryview, ranges: list[tuple[int, int]], length: int) -> tuple[bytes, int]:
@@ -347,7 +352,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     release(spark)
     copied = uniq.where("n > 1").select("r1", "r2")
     whole = regions.join(copied, ["r1", "r2"], "left_semi").select("file", "pos", F.col("a").alias("lo"), F.col("b").alias("hi"))
-    partly = regions.join(spans, ["r1", "r2"]).select("file", "pos", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
+    partly = regions.join(spans, ["r1", "r2"]).select("file", "pos", "a", F.explode("runs").alias("r")).select("file", "pos", (F.col("a") + F.col("r.lo")).alias("lo"), (F.col("a") + F.col("r.hi")).alias("hi"))
     ranges = whole.unionByName(partly).groupBy("file", "pos").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     ranges = materialize(ranges, "ranges")
     forget(regions)

@@ -533,7 +533,7 @@ def test_decontaminate_over_blocks_while_the_cluster_changes(spark, unsteady, tm
         want[False][i, some[0], some[1], some[2], tuple(some[3])] += 1
         want[True][i, every[0], every[1], every[2], tuple(n for n in every[3] if n != "none")] += 1
     for nameless in (False, True):
-        for block in (1 << 20, 300):
+        for block in (1 << 20, 1500):
             docs = spark.read.parquet(path)
             got = decontaminate.decontaminate(docs, bench, block_bytes=block, nameless=nameless)
             assert collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], tuple(r["items"])) for r in got.collect()) == want[nameless]
