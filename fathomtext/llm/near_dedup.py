@@ -30,8 +30,8 @@ from .shared import byte_views, forget, fresh, materialize, texts
 from .simhash import components, links, majority
 
 WORDS, SIMILARITY = 5, 0.8
-#: Keys of a document and smallest hashes in each.
-BANDS, ROWS = 24, 6
+#: Keys of a document, smallest hashes in each, and keys that are looked at in a round before all others.
+BANDS, ROWS, FEW = 24, 6, 4
 #: Shingles hashed at once for the bands; links of a component that one task may decide; steps before components are looked for;
 #: by how much the leaders of a key grow from round to round.
 CHUNK, SMALL, PEEL, GROWTH = 4096, 4096, 6, 4
@@ -168,10 +168,10 @@ def simhash_pairs(sketch: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def rounds(posts: DataFrame, docs: DataFrame, first: DataFrame | None = None, gone: DataFrame | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+def rounds(posts: DataFrame, docs: DataFrame, first: DataFrame | None = None, gone: DataFrame | None = None, once: bool = False) -> tuple[list[DataFrame], list[DataFrame]]:
     """(dropped, edges): what the keys' rounds find; posts: key, doc_id. first: pairs that the first round judges too.
 
-    gone: documents that may only be compared with others; pairs of two others are left out.
+    gone: documents that may only be compared with others; pairs of two others are left out. once: one round only.
     """
     dropped, found, leaders = [], [], 1
     while True:
@@ -192,12 +192,14 @@ def rounds(posts: DataFrame, docs: DataFrame, first: DataFrame | None = None, go
             pairs = mine
         pairs = materialize(pairs.distinct(), "pairs")
         if pairs.isEmpty():
-            if posts.isEmpty():
+            if once or posts.isEmpty():
                 return dropped, found
         else:
             near = verified(pairs, docs)
             found.append(near)
             dropped.append(materialize(decided(near), "dropped"))
+            if once:
+                return dropped, found
             rest = rest.join(dropped[-1], "doc_id", "left_anti").select("key", "doc_id")
         posts, leaders = materialize(rest, "posts"), GROWTH * leaders
 
@@ -206,7 +208,11 @@ def dropped_ids(docs: DataFrame) -> DataFrame:
     """doc_id of the documents that have a near copy among those that stay. docs: doc_id, text."""
     sketch = materialize(sketches(docs).dropDuplicates(["doc_id"]), "sketches")
     posts = sketch.select("doc_id", F.explode("keys").alias("key"))
-    dropped, found = rounds(posts, docs, simhash_pairs(sketch))
+    # fingerprints and a few keys first: they end large groups before all keys of their members are joined
+    dropped, found = rounds(sketch.select("doc_id", F.explode(F.slice("keys", 1, FEW)).alias("key")), docs, simhash_pairs(sketch), once=True)
+    rest = sketch.join(dropped[0], "doc_id", "left_anti") if dropped else sketch
+    more = rounds(rest.select("doc_id", F.explode("keys").alias("key")), docs)
+    dropped, found = dropped + more[0], found + more[1]
     if not dropped:
         return docs.select("doc_id").limit(0)
     gone, edges = union(dropped).distinct(), union(found)
