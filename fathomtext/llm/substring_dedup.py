@@ -295,7 +295,8 @@ def settled(contexts: DataFrame, length: int, anchor: int, crowd: int) -> DataFr
         same = cuts.groupBy("k1", "k2", "e1", "e2").agg(F.sum("n").alias("total"), F.min(F.struct("r1", "r2", "c1", "c2", "lo", "hi")).alias("rep"))
         same = materialize(same, "same")
         several = same.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-        out.append(cuts.join(same.where("total > 1").select("e1", "e2"), ["e1", "e2"], "left_semi").select("r1", "r2", "lo", "hi"))
+        # a context that stands for several is known to repeat as a whole
+        out.append(cuts.where("n = 1").join(same.where("total > 1").select("e1", "e2"), ["e1", "e2"], "left_semi").select("r1", "r2", "lo", "hi"))
         met = same.join(several.where(F.col("m") <= crowd), ["k1", "k2"]).select("k1", "k2", "e1", "e2", F.col("total").alias("n"), "rep.*")
         met = met.groupBy("r1", "r2").agg(F.collect_list(F.struct("k1", "k2", "e1", "e2", "n", "lo", "hi")).alias("p"))  # at most one for each start of a context
         met = met.join(contexts.select("r1", "r2", "context"), ["r1", "r2"]).select("context", F.explode("p").alias("p")).select("context", "p.*")
