@@ -39,7 +39,7 @@ def first_centroids(rows: DataFrame, clusters: int = CLUSTERS, seed: int = SEED)
     """The vectors whose ids have the smallest SHA-256 of seed:id, in ascending order; repeated ids by vector, rows without an id never."""
     key = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     found = rows.where("vec_id is not null").orderBy(key, "v").select("v").limit(clusters).collect()
-    return np.array([r["v"] for r in found], dtype=np.int64).reshape(len(found), -1)
+    return np.array([r["v"] for r in found], dtype=np.int64)
 
 
 def nearest(v: np.ndarray, before: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +104,7 @@ def cluster(vectors: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS,
     rows = materialize(kept(vectors, key, column, dim, scale).withColumn("cluster", F.lit(0)), "vectors")
     centroids = first_centroids(rows, clusters, seed)
     if not len(centroids):
-        return rows.limit(0).select("vec_id", "cluster", F.lit(0).cast("long").alias("distance")), centroids.reshape(0, dim), {}
+        return rows.limit(0).select("vec_id", "cluster", F.lit(0).cast("long").alias("distance")), centroids, {}
     for k in range(rounds + 1):
         done = materialize(assigned(rows, centroids), "assigned")
         forget(rows)
