@@ -7,12 +7,17 @@ fingerprints differ in about six bits, beyond what halves with one wildcard reac
 is besides entered under BANDS keys of ROWS smallest hashes each; at a similarity of 0.8 two
 documents share one of the keys with a probability of 0.9993, above that with more.
 
-No group is expanded into all its pairs. A key's documents are compared with its smallest doc_id
-only, in the first round; what has a near copy that stays is dropped, and what is left under a key
-meets the four smallest left, then sixteen, and so on. Decisions go by rising doc_id: a document with a
-near copy among those that stay is dropped, any other stays. So every dropped document has a near
-copy among those kept, no two of those kept are known to be near copies, and no chain of small
-changes drops a text that is far from all.
+A key's documents first meet its smallest doc_id only, under a few keys and then under more; what has a
+near copy that stays is dropped, which ends large groups. Keys that few of the documents left share give
+all their pairs. Documents under a key that many still share, such as letters made from one template, which
+are alike but not alike enough, are compared by rare shingles instead of by that key: with shingles
+ordered by frequency, a text and a longer one at 0.8 share one of the rarest ninth of the shorter and
+the rarest fifth of the longer. What each letter has for itself fills its ninth, so unlike letters do not
+meet, and no pair at 0.8 among them is lost. No pair is judged twice.
+
+Decisions go by rising doc_id: a document with a near copy among those that stay is dropped, any
+other stays. So every dropped document has a near copy among those kept, no two of those kept are
+known to be near copies, and no chain of small changes drops a text that is far from all.
 """
 
 from __future__ import annotations
@@ -23,18 +28,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import byte_views, forget, fresh, materialize, texts
 from .simhash import components, links, majority
 
 WORDS, SIMILARITY = 5, 0.8
-#: Keys of a document, smallest hashes in each, and keys that are looked at in a round before all others.
-BANDS, ROWS, FEW = 24, 6, 4
-#: Shingles hashed at once for the bands; links of a component that one task may decide; steps before components are looked for;
-#: by how much the leaders of a key grow from round to round.
-CHUNK, SMALL, PEEL, GROWTH = 4096, 4096, 6, 4
+#: Keys of a document and smallest hashes in each; how many of the keys the rounds with one leader a key have looked at by their end.
+BANDS, ROWS, LEADING = 24, 6, (4, 12)
+#: Documents under one key, up to which all pairs are judged.
+CLOSE = 4
+#: Shingles hashed at once for the bands; links of a component that one task may decide; steps before components are looked for.
+CHUNK, SMALL, PEEL = 4096, 4096, 6
 _rng = np.random.default_rng(20)
 MASKS = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 MULTIPLIERS = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -168,70 +174,88 @@ def simhash_pairs(sketch: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def rounds(posts: DataFrame, docs: DataFrame, first: DataFrame | None = None, gone: DataFrame | None = None, once: bool = False) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(dropped, edges): what the keys' rounds find; posts: key, doc_id. first: pairs that the first round judges too.
+def led_pairs(posts: DataFrame) -> DataFrame:
+    """u, v: the smallest doc_id under each key with all others. posts: key, doc_id."""
+    lead = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("u")).where("n > 1")
+    return posts.join(lead, "key").where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
 
-    gone: documents that may only be compared with others; pairs of two others are left out. once: one round only.
-    """
-    dropped, found, leaders = [], [], 1
-    while True:
-        several = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
-        posts = materialize(posts.join(several, "key").select("key", "doc_id", "lead"), "shared")
-        if leaders > 1:
-            rank = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-            lead = materialize(posts.select("key", "doc_id", rank.alias("rank")).where(F.col("rank") <= leaders).select("key", F.col("doc_id").alias("lead")), "leaders")
-            pairs = posts.drop("lead").join(lead, "key").where("doc_id > lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v"))
-            rest = posts.select("key", "doc_id").join(lead.withColumnRenamed("lead", "doc_id"), ["key", "doc_id"], "left_anti")
-        else:
-            pairs = posts.where("doc_id <> lead").select(F.col("lead").alias("u"), F.col("doc_id").alias("v"))
-            rest = posts.where("doc_id <> lead").select("key", "doc_id")
-        if first is not None:
-            pairs, first = pairs.unionByName(first), None
-        if gone is not None:
-            mine = union([pairs.join(gone.withColumnRenamed("doc_id", c), c, "left_semi").select("u", "v") for c in ("u", "v")])
-            pairs = mine
-        pairs = materialize(pairs.distinct(), "pairs")
-        if pairs.isEmpty():
-            if once or posts.isEmpty():
-                return dropped, found
-        else:
-            near = verified(pairs, docs)
-            found.append(near)
-            dropped.append(materialize(decided(near), "dropped"))
-            if once:
-                return dropped, found
-            rest = rest.join(dropped[-1], "doc_id", "left_anti").select("key", "doc_id")
-        posts, leaders = materialize(rest, "posts"), GROWTH * leaders
+
+def prefix_pairs(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """u, v: pairs of documents (doc_id, text) with a rare shingle in common; all pairs of that similarity or more are among them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [shingles(bytes(x)).view(np.int64) for x in byte_views(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "own"])
+
+    sets = docs.select("doc_id", "text").mapInArrow(each, "doc_id long, own array<long>")
+    rows = materialize(sets.select("doc_id", F.size("own").alias("n"), F.explode("own").alias("h")), "shingles")
+    # a shingle of one document only takes a place among the rarest, and can be left out but for that
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = rows.join(common, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
+    rarest = lambda share: F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") + 1 - F.ceil(F.col("n") * share - 1e-9).cast("int")))
+    entries = lambda share, i, m: own.select(F.col("doc_id").alias(i), F.col("n").alias(m), F.explode(F.transform(rarest(share), lambda x: x["h"])).alias("h"))
+    met = entries(2 * least / (1 + least), "a", "m").join(entries(least, "b", "n"), "h").where((F.struct("m", "a") < F.struct("n", "b")) & (F.col("m") >= F.col("n") * least - 1e-9))
+    out = materialize(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "rare")
+    forget(rows)
+    return out
+
+
+def close_pairs(posts: DataFrame, docs: DataFrame) -> DataFrame:
+    """u, v of documents that share a key: all pairs under a key of few documents, those with a rare shingle in common under the others."""
+    sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    posts = materialize(posts.join(sizes, "key"), "posts")
+    few = posts.where(F.col("n") <= CLOSE).select("key", "doc_id")
+    pairs = few.withColumnRenamed("doc_id", "u").join(few.withColumnRenamed("doc_id", "v"), "key").where("u < v").select("u", "v")
+    many = materialize(posts.where(F.col("n") > CLOSE).select("doc_id").distinct(), "crowded")
+    return pairs if many.isEmpty() else pairs.unionByName(prefix_pairs(docs.join(many, "doc_id", "left_semi")))
 
 
 def dropped_ids(docs: DataFrame) -> DataFrame:
     """doc_id of the documents that have a near copy among those that stay. docs: doc_id, text."""
+    judged, found, dropped = [], [], []
+
+    def judge(pairs: DataFrame) -> DataFrame | None:
+        """The near copies among pairs that have not been judged before; None if there are no such pairs."""
+        new = materialize(reduce(lambda p, j: p.join(j, ["u", "v"], "left_anti"), judged, pairs.distinct()), "pairs")
+        if new.isEmpty():
+            return None
+        judged.append(new)
+        found.append(verified(new, docs))
+        return found[-1]
+
     sketch = materialize(sketches(docs).dropDuplicates(["doc_id"]), "sketches")
-    posts = sketch.select("doc_id", F.explode("keys").alias("key"))
-    # fingerprints and a few keys first: they end large groups before all keys of their members are joined
-    dropped, found = rounds(sketch.select("doc_id", F.explode(F.slice("keys", 1, FEW)).alias("key")), docs, simhash_pairs(sketch), once=True)
-    rest = sketch.join(dropped[0], "doc_id", "left_anti") if dropped else sketch
-    more = rounds(rest.select("doc_id", F.explode("keys").alias("key")), docs)
-    dropped, found = dropped + more[0], found + more[1]
+    by_key = lambda rows, a=0, b=BANDS: rows.select("doc_id", F.explode(F.slice("keys", a + 1, b - a)).alias("key"))
+    rest, seen = sketch, 0
+    for keys in LEADING:
+        pairs = led_pairs(by_key(rest, seen, keys))
+        near = judge(pairs if seen else pairs.unionByName(simhash_pairs(sketch)))
+        if near is not None:
+            dropped.append(decided(near))
+            rest = materialize(rest.join(dropped[-1], "doc_id", "left_anti"), "rest")
+        seen = keys
+    near = judge(close_pairs(by_key(rest), docs))
+    if near is not None:
+        dropped.append(decided(near))
     if not dropped:
         return docs.select("doc_id").limit(0)
-    gone, edges = union(dropped).distinct(), union(found)
+    gone = union(dropped).distinct()
     while True:
         # of what a round dropped, the documents whose near copies a later round dropped
-        gone = materialize(gone, "gone")
+        gone, edges = materialize(gone, "gone"), union(found)
         held = union([edges.join(gone.withColumnRenamed("doc_id", a), a, "left_anti").select(F.col(b).alias("doc_id")) for a, b in (("u", "v"), ("v", "u"))])
         lost = materialize(gone.join(held, "doc_id", "left_anti"), "lost")
         if lost.isEmpty():
             return gone
         # they are judged anew among themselves and with what stays under their keys, which goes first
-        stay = gone.join(lost, "doc_id", "left_anti")
-        theirs = posts.join(lost, "doc_id", "left_semi").select("key").distinct()
-        again, more = rounds(posts.join(stay, "doc_id", "left_anti").join(theirs, "key", "left_semi").select("key", "doc_id"), docs, gone=lost)
-        edges = union([edges, *more])
-        near = union(more) if more else edges.limit(0)
-        kept_ends = [near.join(lost.withColumnRenamed("doc_id", a), a, "left_anti").select(F.col(b).alias("doc_id")) for a, b in (("u", "v"), ("v", "u"))]
-        known = materialize(union(kept_ends).distinct(), "known")
-        among = materialize(without(near.join(lost.withColumnRenamed("doc_id", "u"), "u", "left_semi").join(lost.withColumnRenamed("doc_id", "v"), "v", "left_semi"), known), "among")
+        stay = materialize(gone.join(lost, "doc_id", "left_anti"), "stay")
+        theirs = by_key(sketch.join(lost, "doc_id", "left_semi")).select("key").distinct()
+        pairs = close_pairs(by_key(sketch.join(stay, "doc_id", "left_anti")).join(theirs, "key", "left_semi"), docs)
+        end = lambda c: lost.withColumnRenamed("doc_id", c)
+        judge(union([pairs.join(end(c), c, "left_semi").select("u", "v") for c in ("u", "v")]))
+        live = without(union(found), stay)
+        known = materialize(union([live.join(end(a), a, "left_anti").join(end(b), b, "left_semi").select(F.col(b).alias("doc_id")) for a, b in (("u", "v"), ("v", "u"))]).distinct(), "known")
+        among = materialize(without(live.join(end("u"), "u", "left_semi").join(end("v"), "v", "left_semi"), known), "among")
         gone = union([stay, known, *([] if among.isEmpty() else [decided(among)])]).distinct()
 
 
