@@ -19,18 +19,18 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import prepare, table, texts
+from .shared import materialize, prepare, table, texts
 
 #: Labelled rows of each class that are fitted on at most, and folds.
 SAMPLE, FOLDS = 1500, 5
-#: Features of one text that are fitted on at most, the first to occur.
-MOST_FEATURES = 50_000
 #: Hash range of the features; documents that a feature must occur in; scale of shares.
 DIM, MIN_DOCS, SCALE = 1 << 20, 5, 50.0
 #: Odd multipliers of the hashes by which near copies in the sample are found.
@@ -142,18 +142,13 @@ class Chain:
         return out
 
 
-def once(x: Sparse) -> np.ndarray:
-    """Rows of which none is a near copy of one before: none shares two smallest hashes of its rare features with it."""
-    n = len(x.starts) - 1
-    rare = np.bincount(x.cols, minlength=DIM)[x.cols] <= max(2, n // 20)
+def once(lows: np.ndarray) -> np.ndarray:
+    """Rows of which none is a near copy of one before: none shares two smallest hashes of its rare features with it. lows: rows x MIXERS, -1 without rare features."""
     seen: set[tuple[int, int, int]] = set()
     keep = []
-    for i in range(n):
-        part = slice(x.starts[i], x.starts[i + 1])
-        cols = x.cols[part][rare[part]].astype(np.uint64)
-        lows = [int(((cols * np.uint64(m) + np.uint64(m >> 7)) & np.uint64(0xFFFFFFFF)).min()) if len(cols) else -1 for m in MIXERS]
-        bands = {(k, lows[2 * k], lows[2 * k + 1]) for k in range(len(lows) // 2)}
-        if not len(cols) or not bands & seen:
+    for i, row in enumerate(lows.tolist()):
+        bands = {(k, row[2 * k], row[2 * k + 1]) for k in range(len(row) // 2)} if row[0] >= 0 else set()
+        if not bands & seen:
             keep.append(i)
         seen |= bands
     return np.array(keep, dtype=np.int64)
@@ -161,13 +156,7 @@ def once(x: Sparse) -> np.ndarray:
 
 def train(x: Sparse, labels: np.ndarray, names: list[str], spelled: dict[int, set[str]] | Callable[[np.ndarray], dict[int, set[str]]], folds: int = FOLDS) -> Chain:
     """labels: rows x categories, in the order of the chain. Each later model sees out-of-fold logits of the earlier. spelled: the features of each hash, or what gives them for those that get a weight."""
-    first = once(x)
-    x, labels = x.take(first), labels[first]
     n = len(labels)
-    seen = np.bincount(x.cols, minlength=DIM)
-    common = seen[x.cols] >= min(MIN_DOCS, max(1, n // 20))
-    rows = np.repeat(np.arange(n), np.diff(x.starts))[common]
-    x = Sparse(np.r_[0, np.cumsum(np.bincount(rows, minlength=n))] if n else np.zeros(1, dtype=np.int64), x.cols[common], x.vals[common])
     fold = np.arange(n) % folds
     outside = np.zeros((n, len(names)))
     weights, links, intercepts = [], [], []
@@ -207,12 +196,35 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((ranked[k] + (ranked[k + 1] if k + 1 < len(p) else 0)) / 2)
 
 
+def telling_somewhere(posts: DataFrame, names: list[str], labels: np.ndarray, folds: int = FOLDS) -> DataFrame:
+    """col of the features that may get a weight: common enough, and telling for a category on all rows or on those outside a fold.
+
+    posts: col, fold and the categories, a row for each feature of a labelled text. The counts are the
+    ones that telling() takes, so a fit on any of these sets of rows misses none of its features.
+    """
+    fold = np.arange(len(labels)) % folds
+    seen = posts.groupBy("col").agg(F.count(F.lit(1)).alias("n"), *(F.count_if((F.col(k) == v) & (F.col("fold") == f)).alias(f"{i}_{v}_{f}") for i, k in enumerate(names) for v in (0, 1) for f in range(folds)))
+    tells = F.lit(False)
+    for i in range(len(names)):
+        for out in range(-1, folds):
+            at = [f for f in range(folds) if f != out]
+            a, b = (reduce(add, (F.col(f"{i}_{v}_{f}") for f in at)).cast("double") for v in (1, 0))
+            na, nb = (float(max(1, ((labels[:, i] == v) & (fold != out)).sum())) for v in (1, 0))
+            g = F.lit(0.0)
+            for k, n in ((a, na), (b, nb)):
+                for own, both in ((k, a + b), (n - k, na + nb - a - b)):
+                    g += 2 * own * F.log(F.greatest(own, F.lit(1e-9)) * (na + nb) / F.greatest(both * n, F.lit(1e-9)))
+            tells |= g >= CHANCE - 1e-6
+    return seen.where((F.col("n") >= min(MIN_DOCS, max(1, len(labels) // 20))) & tells).select("col")
+
+
 def learn(docs: DataFrame, labels: DataFrame, chain: dict[str, Column], sample: int = SAMPLE) -> Chain:
     """Fit on at most sample labelled documents of each class of the chain's last category.
 
     Labels with a null id or a null category are left out; of repeated labels of an id the largest
-    counts, and of several texts with an id one. A very long text gives MOST_FEATURES features at
-    most to the fit. Without labels, or with one class, probabilities are that class's share.
+    counts, and of several texts with an id one. All features of a text count, however long it is: they stay
+    on the executors, which find near copies and choose what can get a weight, and only that goes to
+    the driver. Without labels, or with one class, probabilities are that class's share.
     """
     names = list(chain)
     marked = labels.select(F.col("doc_id").alias("id"), *(chain[k]().cast("int").alias(k) for k in names)).dropna()
@@ -222,29 +234,41 @@ def learn(docs: DataFrame, labels: DataFrame, chain: dict[str, Column], sample:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(f[:MOST_FEATURES], v[:MOST_FEATURES]) for f, v in map(features, b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), *(b.column(k) for k in names), pa.array(["\n".join(f) for f, _ in made], pa.string()), pa.array([np.array(v, dtype="<f4").tobytes() for _, v in made], pa.binary())],
-                ["id", *names, "found", "vals"])
-
-    kinds = "id long, " + "".join(f"{k} int, " for k in names) + "found string, vals binary"
-    met = texts(docs).join(picked, F.col("doc_id") == F.col("id")).select("id", *names, "text").mapInArrow(each, kinds)
-    met = met.groupBy("id").agg(F.min(F.struct(*names, "found", "vals")).alias("row")).select("id", "row.*")
-    rows = {r["found"]: r for r in sorted(met.toArrow().to_pylist(), key=lambda r: r["id"])}
-    rows = sorted(rows.values(), key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
-    cols = [np.array([zlib.crc32(f.encode()) % DIM for f in r["found"].split("\n") if f], dtype=np.int64) for r in rows]
+            made = [features(t) for t in b.column("text").to_pylist()]
+            cols = pa.array([[zlib.crc32(f.encode()) % DIM for f in own] for own, _ in made], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(k) for k in names), cols, pa.array([v for _, v in made], pa.list_(pa.float32())), pa.array([f for f, _ in made], pa.list_(pa.string()))], ["id", *names, "cols", "vals", "spelled"])
+
+    kinds = "id long, " + "".join(f"{k} int, " for k in names) + "cols array<long>, vals array<float>, spelled array<string>"
+    met = texts(docs).join(picked, F.col("doc_id") == F.col("id")).select("id", *names, "text")
+    met = met.groupBy("id").agg(F.min(F.struct(*names, "text")).alias("row")).select("id", "row.*")
+    met = materialize(met.mapInArrow(each, kinds), "features")
+    posts = met.select("id", *names, F.explode(F.arrays_zip("cols", "vals")).alias("x")).select("id", *names, F.col("x.cols").alias("col"), F.col("x.vals").alias("val"))
+    posts = materialize(posts.groupBy("id", *names, "col").agg(F.sum("val").alias("val")), "posts")
+    rare = posts.groupBy("col").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max(2, met.count() // 20))
+    low = [F.min((F.col("col") * m + (m >> 7)).bitwiseAND(F.lit(0xFFFFFFFF))) for m in MIXERS]
+    lows = posts.join(rare, "col").groupBy("id").agg(F.array(*low).alias("lows"))
+    # a row of a few numbers for each labelled text
+    rows = met.select("id", *names, F.xxhash64("spelled", "vals").alias("same")).join(lows, "id", "left").collect()
+    rows = list({r["same"]: r for r in sorted(rows, key=lambda r: -r["id"])}.values())
+    rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"]))
+    rows = [rows[i] for i in once(np.array([r["lows"] or [-1] * len(MIXERS) for r in rows], dtype=np.int64).reshape(len(rows), len(MIXERS)))]
+    y = np.array([[r[k] for k in names] for r in rows], dtype=np.int64).reshape(len(rows), len(names))
+    kept = docs.sparkSession.createDataFrame([(r["id"], i % FOLDS) for i, r in enumerate(rows)], "id long, fold int")
+    own = posts.join(F.broadcast(kept), "id")
+    chosen = materialize(telling_somewhere(own, names, y), "chosen")
+    found = {r["id"]: r for r in own.join(chosen, "col").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias("x")).select("id", "x.col", "x.val").toArrow().to_pylist()}
 
     def spelled(wanted: np.ndarray) -> dict[int, set[str]]:
-        """The names of some features: those of all would fill the driver."""
+        """The names of the features that got a weight."""
+        used = docs.sparkSession.createDataFrame([(int(k),) for k in wanted], "cols long")
+        pairs = met.select(F.explode(F.arrays_zip("cols", "spelled")).alias("x")).select("x.*").join(F.broadcast(used), "cols").distinct()
         held: dict[int, set[str]] = {}
-        for r, own in zip(rows, cols, strict=True):
-            parts = r["found"].split("\n")
-            for i in np.flatnonzero(np.isin(own, wanted)).tolist():
-                held.setdefault(int(own[i]), set()).add(parts[i])
+        for r in pairs.collect():
+            held.setdefault(r["cols"], set()).add(r["spelled"])
         return held
 
-    x = Sparse(np.cumsum([0, *map(len, cols)]), np.concatenate([*cols, np.empty(0, np.int64)]), np.concatenate([*(np.frombuffer(r["vals"], dtype="<f4") for r in rows), np.empty(0, "<f4")]).astype(np.float64))
-    y = np.array([[r[k] for k in names] for r in rows], dtype=np.int64).reshape(len(rows), len(names))
+    parts = [found.get(r["id"], {"col": [], "val": []}) for r in rows]
+    x = Sparse(np.cumsum([0, *(len(p["col"]) for p in parts)]), np.concatenate([*(np.array(p["col"], dtype=np.int64) for p in parts), np.empty(0, np.int64)]), np.concatenate([*(np.array(p["val"], dtype=np.float64) for p in parts), np.empty(0)]))
     return train(x, y, names, spelled)
 
 
