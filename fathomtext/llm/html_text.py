@@ -3,8 +3,11 @@
 The page is cut into blocks at block-level tags. The first pass looks at each block alone: where it
 stands (inside a menu, header, footer, sidebar, form, notice, advert or comment list: out), its
 share of link text, its length and its density of stop words. Blocks that this leaves undecided, the
-short ones above all, take the label of their nearest decided neighbours in the second pass; inside
-an article, where the page's own markup vouches for them, links and shortness decide nothing.
+short ones above all, take the label of their nearest decided neighbours in the second pass.
+
+The page's own markup is one more sign, weighed by these rules: an article element vouches for its blocks
+if the first pass finds prose in it, and then links and shortness make none of them bad; one without prose beside
+others with it, a teaser, is out, and where most prose stands outside of all articles they vouch for nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ SILENT = frozenset("script style noscript template svg math iframe object embed
 RAW = frozenset("script style noscript template iframe textarea title svg".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that hold what is written: their short blocks need less to be taken for text.
+WRITTEN = frozenset("p li dd dt td th pre blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 #: Of RAW, the ones that "/>" does not close, and whose text is lost where the end tag is missing.
 OPEN = frozenset("script style textarea title".split())
@@ -48,6 +53,8 @@ SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 0.33, 0.15, 0.25
 #: A quote in a tag that is closed nowhere sensible does not hide what follows: the tag ends at the first ">".
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)
 |<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"<]*+"|'[^'<]*+'|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""".replace("\n", ""), re.S)
+#: Ends what an inline silent element may hide: its own end tag or any block-level tag.
+HIDDEN = {t: re.compile(rf"</{t}\s*>|</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I) for t in SILENT - RAW - VOID - BLOCK}
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -63,6 +70,8 @@ class Block:
     heading: bool
     fixed: bool = False  #: outside for another reason than the marked elements around it
     cut: int = -1  #: the innermost marked element around it
+    article: int = -1  #: the innermost article element around it
+    written: bool = False  #: in a paragraph, a list, a cell or a heading
     label: str = ""
 
 
@@ -93,8 +102,9 @@ def blocks_of(page: str, released: frozenset[int] = frozenset()) -> tuple[list[B
     """
     out: list[Block] = []
     made: list[Cut] = []
-    stack: list[tuple[str, bool, bool, int, bool]] = []  # tag, inside an article, outside the main text, innermost marked element, whether one cuts
-    ground = ("", False, False, -1, False)
+    # tag, inside an article, outside the main text, innermost marked element, whether one cuts, innermost article, whether it is written
+    stack: list[tuple[str, bool, bool, int, bool, int, bool]] = []
+    ground = ("", False, False, -1, False, -1, False)
     open_tags: Counter[str] = Counter()
     endless: set[str] = set()
     text: list[str] = []
@@ -104,8 +114,8 @@ def blocks_of(page: str, released: frozenset[int] = frozenset()) -> tuple[list[B
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            _, inside, outside, cut, cuts = stack[-1] if stack else ground
-            out.append(Block(joined, linked, inside, outside or cuts, heading, outside, cut))
+            _, inside, outside, cut, cuts, part, written = stack[-1] if stack else ground
+            out.append(Block(joined, linked, inside, outside or cuts, heading, outside, cut, part, written))
         text.clear()
         linked = 0
 
@@ -149,14 +159,22 @@ def blocks_of(page: str, released: frozenset[int] = frozenset()) -> tuple[list[B
                 endless.add(tag)
                 at = len(page) if tag in OPEN else at
             continue
-        if tag in BLOCK:
+        if tag in HIDDEN and not alone and tag not in endless:
+            end = HIDDEN[tag].search(page, at)
+            if end and end[0][2:].rstrip("> \t\n\r\f").lower() == tag and end[0][1] == "/":
+                at = end.end()  # the text around it stays one block
+                continue
+            if not end:
+                endless.add(tag)
+        if tag in BLOCK or tag in SILENT:
             flush()
+        if tag in BLOCK:
             links = 0
         if tag == "a":
             links += 1
         if tag in VOID or alone:
             continue
-        _, inside, outside, cut, cuts = stack[-1] if stack else ground
+        _, inside, outside, cut, cuts, part, written = stack[-1] if stack else ground
         whole = tag in ("html", "body", "article", "main")
         named = bool(attributes) and marked(attributes, NEVER if whole else MARKS - HEADS if inside else MARKS)
         article = tag in ("article", "main") or bool(re.search(r"articleBody", attributes))
@@ -164,14 +182,14 @@ def blocks_of(page: str, released: frozenset[int] = frozenset()) -> tuple[list[B
             if tag == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
                 open_tags["p"] -= 1
-                _, inside, outside, cut, cuts = stack[-1] if stack else ground
+                _, inside, outside, cut, cuts, part, written = stack[-1] if stack else ground
             out_now = outside or (tag in OUTSIDE and tag != "form") or tag in SILENT or (named and tag in ("article", "main")) or (tag == "header" and not inside)
             if named and tag not in BLOCK:
                 flush()
             if named and not whole or tag == "form":
                 made.append(Cut(m.start(), cut))
                 cut, cuts = len(made) - 1, cuts or m.start() not in released
-            stack.append((tag, inside or article, out_now, cut, cuts))
+            stack.append((tag, inside or article, out_now, cut, cuts, m.start() if tag == "article" else part, tag in WRITTEN if tag in BLOCK else written))
             open_tags[tag] += 1
         if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
             heading = True
@@ -180,58 +198,75 @@ def blocks_of(page: str, released: frozenset[int] = frozenset()) -> tuple[list[B
 
 
 def first_pass(b: Block) -> str:
-    """good, bad, near (good if near good) or short, from the block alone. Inside an article neither links nor shortness make it bad."""
-    if b.outside:
+    """good, bad, near (good if near good) or short, from the block alone. A long block with few stop words and few links tells nothing: a table, or another language."""
+    if b.outside or b.linked > LINKS * len(b.text):
         return "bad"
-    if b.linked > LINKS * len(b.text):
-        return "short" if b.inside else "bad"
     words = b.text.lower().split()
     stops = sum(w.strip(".,;:!?") in STOP_WORDS for w in words) / len(words)
     if b.text[0] in "©&" or b.text.lower().startswith("copyright"):
-        return "bad" if not b.inside else "short"
+        return "bad"
     if len(b.text) < SHORT:
         return "short"
     if stops >= STOPS_HIGH:
-        return "good" if len(b.text) > LONG or b.inside else "near"
-    if stops >= STOPS_LOW:
-        return "near"
-    return "short" if b.inside else "bad"
+        return "good" if len(b.text) > LONG else "near"
+    return "near" if stops >= STOPS_LOW else "short"
+
+
+def vouched(blocks: list[Block]) -> list[Block]:
+    """The blocks to go on with: those that an article with prose vouches for, else all.
+
+    Of such blocks bad ones are undecided again unless the markup cuts them. Articles without prose, beside one with it, are teasers.
+    """
+    prose: Counter[int] = Counter()
+    for b in blocks:
+        if not b.outside:
+            prose[b.article if b.inside else -2] += len(b.text) * (b.label in ("good", "near"))
+    inside = [b for b in blocks if b.inside and not b.outside]
+    told = sum(n for k, n in prose.items() if k != -2)
+    if not inside or told < prose[-2]:
+        return blocks
+    kept = [b for b in blocks if b.inside and (b.article < 0 or not told or prose[b.article])]
+    for b in kept:
+        if not b.outside and b.label == "bad":
+            b.label = "short"
+    return kept
 
 
 def second_pass(blocks: list[Block]) -> None:
-    """Undecided blocks inherit from the nearest decided neighbours; headings from what follows. A page's edge is no good neighbour."""
-    n = len(blocks)
-    before, after = [""] * n, [""] * n
-    last = ""
-    for i in range(n):
-        before[i] = last
-        last = blocks[i].label if blocks[i].label in ("good", "bad") and not blocks[i].outside else last
-    last = ""
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = blocks[i].label if blocks[i].label in ("good", "bad") and not blocks[i].outside else last
-    for i, b in enumerate(blocks):
+    """Undecided blocks inherit from the nearest decided neighbours; headings from what follows; of two as near the good one counts.
+
+    What the markup cuts is no neighbour. Where a page has nothing decided, nothing speaks against a block. A
+    short block that stands in no paragraph, list, cell or heading needs good neighbours on both sides.
+    """
+    n, ends = len(blocks), []
+    for order in (range(n), range(n - 1, -1, -1)):
+        label, at, seen = "", -1, [("", n)] * n
+        for i in order:
+            seen[i] = (label, abs(i - at) if label else n)
+            if blocks[i].label in ("good", "bad") and not blocks[i].outside:
+                label, at = blocks[i].label, i
+        ends.append(seen)
+    for i, (b, before, after) in enumerate(zip(blocks, *ends, strict=True)):
         if b.label in ("good", "bad"):
             continue
-        near = {before[i], after[i]} - {""}
-        if b.inside:
-            b.label = "bad" if near == {"bad"} else "good"
-        elif b.heading:
-            b.label = "good" if after[i] == "good" else "bad"
-        elif b.label == "near":
-            b.label = "good" if "good" in near else "bad"
+        near = {before[0], after[0]} - {""}
+        if b.label == "short" and not b.inside and not b.written:
+            b.label = "good" if before[0] == after[0] == "good" else "bad"
+        elif len(near) < 2:
+            b.label = "bad" if near == {"bad"} and not b.inside else "good"
+        elif b.inside or b.label == "near" or b.heading and after[0] == "good":
+            b.label = "good"
         else:
-            b.label = "good" if before[i] == after[i] == "good" else "bad"
+            b.label = min(before, after, key=lambda x: (x[1], x[0] != "good"))[0]
 
 
 def kept_text(blocks: list[Block], foreign: bool = False) -> str:
     """The good blocks, one space between them. With foreign, long blocks with few links need no stop words."""
-    if any(b.inside and not b.outside for b in blocks):
-        blocks = [b for b in blocks if b.inside]
     for b in blocks:
         b.label = first_pass(b)
         if foreign and len(b.text) > LONG and not b.outside and b.linked <= LINKS * len(b.text):
             b.label = "good"
+    blocks = vouched(blocks)
     second_pass(blocks)
     return " ".join(b.text for b in blocks if b.label == "good")
 
@@ -273,7 +308,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points).
 
-    A null or empty page has an empty text. Where a page has an article element, blocks outside it
+    A null or empty page has an empty text. Where articles hold most of a page's prose, blocks outside them
     are not considered. Rows stay as they are, repeated ones and ones without id or url too; other
     columns are ignored, whatever their names. Empty in, empty out.
     """
