@@ -17,7 +17,6 @@ all documents. Documents are never gathered, and one block at a time is in the w
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from .shared import byte_views, fresh, materialize, prepare, row_key, stored, table
 
 WINDOW = 10
-#: Bytes of benchmark text that one block holds: what is sent to every executor. Item names in one batch of results.
+#: Bytes of benchmark text that one block holds on average; at most about twice as many are sent to every executor. Item names in one batch of results.
 BLOCK_BYTES, NAMES = 8 << 20, 100_000
 #: A-Z become a-z; digits, letters and all bytes of non-ASCII characters stay; the rest separates.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -38,43 +37,58 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-@dataclass
 class Benchmark:
-    """A block: the words of its distinct texts on end, a wall after each, and the distinct windows in them."""
-
-    vocabulary: dict[bytes, int]
-    stream: np.ndarray
-    starts: np.ndarray  #: of one occurrence of each window
-    lengths: np.ndarray
-    texts_of: list[np.ndarray]  #: the texts that each window is in
-    begins: np.ndarray  #: of each text in the stream
-    names: list[list[str]]  #: the items that have each text, sorted
-    nameless: np.ndarray  #: whether an item without an id has it
-    pairs: np.ndarray
-    singles: np.ndarray
+    """A block: the words of its distinct texts on end, a wall after each, and the distinct windows in them.
+
+    Only the words, their numbers and the items' names travel (about as many bytes as the text has); all
+    else is made from them, in flat arrays, where they arrive.
+    """
+
+    def __init__(self, words: bytes, stream: np.ndarray, names: list[list[str]], nameless: np.ndarray, window: int):
+        self.words, self.stream, self.names, self.nameless, self.window = words, stream, names, nameless, window
+        self.vocabulary = {w: k for k, w in enumerate(words.split())}
+        s = np.concatenate([stream, np.full(window + 1, -1, dtype=stream.dtype)])
+        walls = np.flatnonzero(stream < 0)
+        #: Of each text its place in the stream and its end.
+        self.begins, self.stops = np.r_[0, walls[:-1] + 1].astype(np.int64)[: len(walls)], walls
+        size = self.stops - self.begins
+        count = np.maximum(size - window, 0) + 1
+        owner = np.repeat(np.arange(len(size)), count)
+        at = self.begins[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(window, size)[owner]
+        # windows in order of their words, of which there are no more than the length says
+        column = lambda k: np.where(k < length, s[np.minimum(at + k, len(s) - 1)], -1).astype(np.int64) + 1
+        keys = [(column(k) << 32) | (column(k + 1) if k + 1 < window else 0) for k in range(0, window, 2)]
+        order = np.lexsort((at, *keys[::-1]))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = np.any([x[order][1:] != x[order][:-1] for x in keys], axis=0) if keys else False
+        #: Of one occurrence of each distinct window its place and words; where its texts begin in the list of texts.
+        self.starts, self.lengths = at[order[new]], length[order[new]]
+        self.first = np.r_[np.flatnonzero(new), len(order)]
+        self.texts = owner[order].astype(np.int32)
+        self.ids = s
+        self.pairs = np.unique(s[self.starts].astype(np.int64) * (len(self.vocabulary) + 1) + s[self.starts + 1] + 1)
+        self.singles = np.unique(s[self.starts[self.lengths == 1]])
+
+    def __reduce__(self) -> tuple:
+        return Benchmark, (self.words, self.stream, self.names, self.nameless, self.window)
+
+    def texts_of(self, window: int) -> np.ndarray:
+        """The texts that have a window."""
+        return np.unique(self.texts[self.first[window] : self.first[window + 1]])
 
     @classmethod
     def build(cls, rows: list[tuple[str | None, bytes]], window: int) -> Benchmark:
         vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str | None]] = {}
+        owners: dict[bytes, set[str | None]] = {}
         for name, text in rows:
-            ids = tuple(vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text))
-            if ids:
-                owners.setdefault(ids, set()).add(name)
-        stream: list[int] = []
-        begins, found = [], {}
-        for k, ids in enumerate(owners):
-            take = min(window, len(ids))
-            for i in range(len(ids) - take + 1):
-                found.setdefault(ids[i : i + take], (len(stream) + i, set()))[1].add(k)
-            begins.append(len(stream))
-            stream += [*ids, -1]
-        s = np.array([*stream, *[-1] * (window + 1)], dtype=np.int64)
-        begin, size = np.array([x for x, _ in found.values()], dtype=np.int64), np.array([len(w) for w in found], dtype=np.int64)
-        pairs = np.unique(s[begin] * (len(vocabulary) + 1) + s[begin + 1] + 1) if len(begin) else begin
+            ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], dtype=np.int32)
+            if len(ids):
+                owners.setdefault(ids.tobytes(), set()).add(name)
+        wall = np.array([-1], dtype=np.int32)
+        stream = np.concatenate([x for ids in owners for x in (np.frombuffer(ids, dtype=np.int32), wall)] or [wall[:0]])
         names = [sorted(n for n in o if n is not None) for o in owners.values()]
-        return cls(vocabulary, s, begin, size, [np.array(sorted(t), dtype=np.int64) for _, t in found.values()], np.array(begins, dtype=np.int64), names,
-                   np.array([None in o for o in owners.values()], dtype=bool), pairs, np.unique(s[begin[size == 1]]) if len(begin) else begin)
+        return cls(b" ".join(vocabulary), stream, names, np.array([None in o for o in owners.values()], dtype=bool), window)
 
 
 def suffix_array(ids: np.ndarray, bench: Benchmark, window: int) -> np.ndarray:
@@ -105,7 +119,7 @@ def search(ids: np.ndarray, sa: np.ndarray, bench: Benchmark, window: int) -> tu
     high = np.full(len(bench.starts), len(sa), dtype=np.int64)
     for depth in range(window):
         live = np.flatnonzero((high > low) & (bench.lengths > depth))
-        want = bench.stream[bench.starts[live] + depth]
+        want = bench.ids[bench.starts[live] + depth]
         first = bisect(ids, sa, depth, want, low[live], high[live], False)
         high[live] = bisect(ids, sa, depth, want, first, high[live], True)
         low[live] = first
@@ -196,9 +210,8 @@ def shard_hits(column: pa.Array, bench: Benchmark, window: int) -> Iterator[tupl
     met, which = pairs // (len(bench.starts) + 1), pairs % (len(bench.starts) + 1)
     best: list[tuple] = []
     if len(runs):
-        used = np.unique(np.concatenate([bench.texts_of[k] for k in np.unique(which).tolist()]))
-        stops = np.r_[bench.begins[1:], len(bench.stream) - window - 1] - 1
-        best = list(zip(*(x.tolist() for x in longest_matches([ids[a:b] for a, b in runs.tolist()], [bench.stream[bench.begins[k] : stops[k]] for k in used.tolist()])), strict=True))
+        used = np.unique(np.concatenate([bench.texts_of(k) for k in np.unique(which).tolist()]))
+        best = list(zip(*(x.tolist() for x in longest_matches([ids[a:b] for a, b in runs.tolist()], [bench.stream[bench.begins[k] : bench.stops[k]] for k in used.tolist()])), strict=True))
     at, run = 0, 0
     for k, x in enumerate(parts):
         spans, texts, longest = [], [], None
@@ -209,7 +222,7 @@ def shard_hits(column: pa.Array, bench: Benchmark, window: int) -> Iterator[tupl
                 longest = {"words": words, "start": spans[-1]["start"] + place, "item": next(iter(bench.names[used[item]]), None), "item_start": item_start}
             run += 1
         while at < len(met) and met[at] == k:
-            texts.append(bench.texts_of[which[at]])
+            texts.append(bench.texts_of(which[at]))
             at += 1
         texts = np.unique(np.concatenate(texts)) if texts else ()
         yield len(x), spans, sorted({n for i in texts for n in bench.names[i]}), any(bench.nameless[i] for i in texts), longest
@@ -271,7 +284,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     it starts in the document, an item that has it (the first by name) and where it starts there;
     null without one. Null texts have no words: such documents are clean, such items match nothing.
     Items without an id match nothing either, or with nameless count as one item that has no name in
-    items. Repeated items count once by id. With an empty benchmark every document is clean. With
+    items. Repeated items count once by id. With an empty benchmark every document is clean. An item is never
+    cut, so one of more than block_bytes makes a block of its own size. With
     several blocks rows are told apart by file and place in the file, as ids may be null or repeated.
     Other columns of either table are ignored, whatever their names.
     """
