@@ -4,15 +4,13 @@ from __future__ import annotations
 
 import html
 import json
-import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import vocabulary as V
+from .fileset import write_files
 
 
 def write_reports(reports: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
@@ -29,30 +27,13 @@ def markdown_files(reports: DataFrame) -> DataFrame:
 
 
 def write_markdown(files: DataFrame, folder: str, dry_run: bool = False) -> int:
-    """Write path, content rows (as markdown_files gives them) as files below a folder that all executors reach; returns their number.
+    """Write path, content rows (as markdown_files gives them) as files below a folder that all executors reach, in one transaction; returns their number.
 
-    Each file is written under another name and takes its own when complete. With dry_run the files
-    are only counted. Rows without content write no file.
+    If a task fails, the files from before stay. With dry_run the files are only counted. Rows
+    without content write no file.
     """
     rows = files.where("content is not null and path is not null")
-    if dry_run:
-        return rows.count()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        to, root = fs.FileSystem.from_uri(folder)
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                name = f"{root}/{path}"
-                held = f"{name.rpartition('/')[0]}/.{name.rpartition('/')[2]}.{uuid.uuid4().hex}"
-                to.create_dir(name.rpartition("/")[0], recursive=True)
-                with to.open_output_stream(held) as out:
-                    out.write(content.encode())
-                to.move(held, name)
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
-
-    return rows.select("path", "content").mapInArrow(each, "n long").agg(F.sum("n")).first()[0] or 0
+    return rows.count() if dry_run else write_files(rows, folder)
 
 
 #: Nodes or edges that a page can show; a larger graph has to be bounded by min_weight or top first.
@@ -170,44 +151,6 @@ def theme_index_lines(index: DataFrame) -> DataFrame:
 
 
 def write_pages(lines: DataFrame, folder: str) -> int:
-    """Write file, part, sector, ticker, line rows as text files in that order, streaming; returns the number of files."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        to, root = fs.FileSystem.from_uri(folder)
-        to.create_dir(root, recursive=True)
-        at, out, held, n = None, None, "", 0
-        for b in batches:
-            for file, line in zip(b.column(0).to_pylist(), b.column(4).to_pylist(), strict=True):
-                if file != at:
-                    if out:
-                        out.close()
-                        to.move(held, f"{root}/{at}")
-                    at, held, n = file, f"{root}/.{file}.{uuid.uuid4().hex}", n + 1
-                    out = to.open_output_stream(held)
-                    out.write(line.encode())
-                else:
-                    out.write(f"\n{line}".encode())
-        if out:
-            out.close()
-            to.move(held, f"{root}/{at}")
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
+    """Write file, part, sector, ticker, line rows as text files in that order, streaming and in one transaction; returns the number of files."""
     dealt = lines.select("file", "part", "sector", "ticker", "line").repartition("file").sortWithinPartitions("file", "part", "sector", "ticker")
-    return dealt.mapInArrow(each, "n long").agg(F.sum("n")).first()[0] or 0
-
-
-def index_lines(ranked: DataFrame) -> DataFrame:
-    """category, total, lines: the Markdown of each section of the mention index, most frequent first."""
-    line = F.concat(F.lit("- [["), F.col("name"), F.lit("]] ("), F.col("cnt").cast("string"), F.lit(")"))
-    kept = ranked.groupBy("category", "total").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("l"))
-    return kept.select("category", "total", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("lines"))
-
-
-def theme_pages(screened: DataFrame) -> DataFrame:
-    """tag, file, lines: each theme's companies by role, sector and ticker."""
-    line = F.concat_ws(" ", F.lit("-"), F.col("ticker"), F.col("company"), F.concat(F.lit("("), F.col("sector"), F.lit(")")))
-    order = F.struct("role", "sector", "ticker", line.alias("line"))
-    kept = screened.groupBy("tag").agg(F.array_sort(F.collect_list(order)).alias("l"))
-    return kept.select("tag", F.concat(X.file_stem(F.col("tag")), F.lit(".md")).alias("file"), F.array_join(F.transform("l", lambda x: F.concat_ws(" ", x["role"], x["line"])), "\n").alias("lines"))
+    return write_files(dealt.select(F.col("file").alias("path"), F.col("line").alias("content")), folder)
