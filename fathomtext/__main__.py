@@ -102,8 +102,7 @@ def network_page(spark: SparkSession, rows: DataFrame, args: argparse.Namespace,
 
 def index_page(spark: SparkSession, args: argparse.Namespace) -> int:
     every = mentions.mentions(reports.read_all_markdown(spark, args.reports), X.links(F.col("content")))
-    limits = {"taiwan_company": 200, "international_company": 200}
-    ranked = mentions.top_of_each_category(mentions.index(mentions.bag_counts(every)), limits)
+    ranked = mentions.top_of_each_category(mentions.index(mentions.bag_counts(every)), V.INDEX_LIMITS)
     line = F.concat(F.lit("- [["), "name", F.lit("]] ("), F.col("cnt").cast("string"), F.lit(")"))
     head = ranked.select("category", "total").distinct().select("category", F.lit(0).alias("rank"), F.concat(F.lit("## "), X.literal_map(V.CATEGORY_LABELS)[F.col("category")], F.lit(" ("), F.col("total").cast("string"), F.lit(")")).alias("line"))
     lines = head.unionByName(ranked.select("category", F.col("rank").cast("int").alias("rank"), line.alias("line")))

@@ -10,20 +10,45 @@ from ..plans import vocabulary as V
 from .mentions import document_frequency
 
 
-def edges(rows: DataFrame, key: str, min_weight: int = 5, min_df: int = 2, top: int = 0) -> DataFrame:
+#: Names of one document, on average, that form a block; pairs are made of two blocks at a time.
+BLOCK = 256
+
+
+def blocks(once: DataFrame, key: str, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Two frames (key, a, b, name) whose join on key, a and b gives each pair of a document's names once or, within a block, twice.
+
+    once: key, name, no row twice. A document's names are dealt to blocks by hash, one for each size of
+    them; the left frame holds block a and the right one block b of the pairs a <= b. So no join key has many more than size rows a
+    side, whatever the document has, and a document of one block is left as it is.
+    """
+    wide = once.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__k")).where("__k > 1")
+    rows = once.join(wide, key, "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
+    rows = rows.withColumn("__c", F.pmod(F.xxhash64("name"), F.col("__k")).cast("int"))
+    left = rows.select(key, F.col("__c").alias("a"), F.explode(F.sequence("__c", F.col("__k") - 1)).alias("b"), "name")
+    right = rows.select(key, F.explode(F.sequence(F.lit(0), F.col("__c"))).alias("a"), F.col("__c").alias("b"), "name")
+    return left, right
+
+
+def pairs(once: DataFrame, key: str, size: int = BLOCK) -> DataFrame:
+    """key, source, target (source < target) of all pairs of names of each document, made of pairs of blocks."""
+    left, right = blocks(once, key, size)
+    met = left.withColumnRenamed("name", "x").join(right.withColumnRenamed("name", "y"), [key, "a", "b"])
+    return met.where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y"))).select(key, F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"))
+
+
+def edges(rows: DataFrame, key: str, min_weight: int = 5, min_df: int = 2, top: int = 0, size: int = BLOCK) -> DataFrame:
     """source, target, weight: pairs of names (source < target) and the documents that have both.
 
     rows: key, name, repeated ones allowed. Names in fewer than min_df documents, or with top not
     among the so many most frequent (ties by name), are dropped before pairs are made, so the join
-    sees only names that can stand in an edge. Rows without key or name pair with nothing.
+    sees only names that can stand in an edge. Rows without key or name pair with nothing. A document
+    with very many names is no task of its own: its pairs are made block by block.
     """
     once = rows.select(key, "name").dropna().distinct()
     freq = document_frequency(once, key)
     nodes = freq.orderBy(F.desc("df"), "name").limit(top) if top else freq.where(F.col("df") >= min_df)
     kept = once.join(nodes.select("name"), "name", "left_semi")
-    a, b = kept.select(key, F.col("name").alias("source")), kept.select(key, F.col("name").alias("target"))
-    pairs = a.join(b, key).where("source < target")
-    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
+    return pairs(kept, key, size).groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
 
 
 def nodes(rows: DataFrame, key: str, links: DataFrame) -> DataFrame:

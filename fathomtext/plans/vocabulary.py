@@ -123,6 +123,8 @@ THEME_INDEX = {
     "品牌供應鏈": ["Apple", "NVIDIA", "Tesla"],
 }
 #: Headings of a theme's page, in order; the first lines of the themes' index.
+#: Companies that the mention index lists; the other categories are listed whole.
+INDEX_LIMITS = {"international_company": 200, "taiwan_company": 300}
 ROLE_LABELS = {"upstream": "上游", "midstream": "中游", "downstream": "下游", "related": "相關公司"}
 THEME_INDEX_HEAD = ["# Thematic Investment Screens", "", "> Auto-generated supply chain maps for thematic investing.", "", "---", ""]
 #: Words that place a company in the chain, in the order in which they are tested; characters before a tag that are looked at.

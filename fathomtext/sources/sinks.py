@@ -50,7 +50,7 @@ def graph_json(nodes: DataFrame, edges: DataFrame, indent: int = 2, most: int =
 
 
 def graph_page(graph: str, title: str = "Entity network") -> str:
-    """A self-contained page that draws the graph; by weight and name what is shown shrinks, a click leaves a node and its neighbours."""
+    """A self-contained page that draws the graph on a spiral, the most frequent in the middle; by weight and name what is shown shrinks, a click leaves a node and its neighbours."""
     legend = "".join(f'<li style="color:{c}">{html.escape(V.CATEGORY_LABELS[k])}</li>' for k, c in V.CATEGORY_COLORS.items())
     data = graph.replace("</", "<\\/")
     return f"""<!DOCTYPE html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title></head><body>
@@ -61,8 +61,8 @@ def graph_page(graph: str, title: str = "Entity network") -> str:
 const graph = {data}, canvas = document.getElementById("c"), pen = canvas.getContext("2d");
 const most = Math.max(1, ...graph.nodes.map(n => n.count)), ends = graph.links.map(l => l.weight), lo = Math.min(...ends), hi = Math.max(...ends);
 const size = n => most > 1 ? 4 + 36 * (Math.sqrt(n.count) - 1) / (Math.sqrt(most) - 1) : 4, share = l => hi > lo ? (l.weight - lo) / (hi - lo) : 0;
-const at = new Map(graph.nodes.map((n, i) => [n.id, {{ ...n, x: 600 + 300 * Math.cos(i * 2.4), y: 400 + 300 * Math.sin(i * 2.4), dx: 0, dy: 0 }}]));
-let chosen = null, shown = [], points = [], heat = 0;
+const reach = i => 380 * Math.sqrt(i / graph.nodes.length), at = new Map(graph.nodes.map((n, i) => [n.id, {{ ...n, x: 600 + reach(i) * Math.cos(i * 2.4), y: 400 + reach(i) * Math.sin(i * 2.4) }}]));
+let chosen = null, shown = [], points = [];
 function pick() {{
   const w = +document.getElementById("w").value, q = document.getElementById("q").value.toLowerCase();
   shown = graph.links.filter(l => l.weight >= w && (!chosen || l.source === chosen || l.target === chosen) && (l.source + " " + l.target).toLowerCase().includes(q));
@@ -72,24 +72,7 @@ function pick() {{
     for (const x of [l.source, l.target, l.weight]) tr.insertCell().textContent = x;
     return tr;
   }}));
-  heat = 1;
-}}
-function step() {{
-  if (heat > 0.01) {{
-    for (const a of points) {{ a.dx = (600 - a.x) * 0.01; a.dy = (400 - a.y) * 0.01; }}
-    for (const a of points) for (const b of points) {{
-      const x = a.x - b.x, y = a.y - b.y, d = x * x + y * y + 1;
-      if (a !== b && d < 40000) {{ a.dx += 900 * x / d; a.dy += 900 * y / d; }}
-    }}
-    for (const l of shown) {{
-      const a = at.get(l.source), b = at.get(l.target), k = 0.02 * (0.3 + share(l));
-      a.dx += (b.x - a.x) * k; a.dy += (b.y - a.y) * k; b.dx += (a.x - b.x) * k; b.dy += (a.y - b.y) * k;
-    }}
-    for (const a of points) {{ a.x += heat * a.dx; a.y += heat * a.dy; }}
-    heat *= 0.99;
-    draw();
-  }}
-  requestAnimationFrame(step);
+  draw();
 }}
 function draw() {{
   pen.clearRect(0, 0, 1200, 800);
@@ -110,7 +93,7 @@ canvas.onclick = e => {{
   pick();
 }};
 for (const id of ["w", "q"]) document.getElementById(id).oninput = pick;
-pick(); step();
+pick();
 </script></body></html>"""
 
 
