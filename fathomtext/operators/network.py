@@ -14,8 +14,8 @@ from .mentions import document_frequency
 BLOCK = 256
 
 
-def blocks(once: DataFrame, key: str, size: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Two frames (key, a, b, name) whose join on key, a and b gives each pair of a document's names once or, within a block, twice.
+def blocks(once: DataFrame, key: str, size: int = BLOCK, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Two frames (key, a, b, name and what is to be carried) whose join on key, a and b gives each pair of a document's names once or, within a block, twice.
 
     once: key, name, no row twice. A document's names are dealt to blocks by hash, one for each size of
     them; the left frame holds block a and the right one block b of the pairs a <= b. So no join key has many more than size rows a
@@ -24,8 +24,8 @@ def blocks(once: DataFrame, key: str, size: int = BLOCK) -> tuple[DataFrame, Dat
     wide = once.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("__k")).where("__k > 1")
     rows = once.join(wide, key, "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
     rows = rows.withColumn("__c", F.pmod(F.xxhash64("name"), F.col("__k")).cast("int"))
-    left = rows.select(key, F.col("__c").alias("a"), F.explode(F.sequence("__c", F.col("__k") - 1)).alias("b"), "name")
-    right = rows.select(key, F.explode(F.sequence(F.lit(0), F.col("__c"))).alias("a"), F.col("__c").alias("b"), "name")
+    left = rows.select(key, F.col("__c").alias("a"), F.explode(F.sequence("__c", F.col("__k") - 1)).alias("b"), "name", *carry)
+    right = rows.select(key, F.explode(F.sequence(F.lit(0), F.col("__c"))).alias("a"), F.col("__c").alias("b"), "name", *carry)
     return left, right
 
 
