@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -130,14 +130,49 @@ def collapse_repeats(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\[\[([^\]]+)\]\]\s*[(（]\[\[\1\]\][)）]", "[[$1]]")
 
 
+def resolved(aliases: dict[str, str]) -> dict[str, str]:
+    """What each name becomes when the aliases are replaced one after the other, in their order; names that stay are left out."""
+    out = {}
+    for name in aliases:
+        now = name
+        for alias, canon in aliases.items():
+            now = canon if now == alias else now
+        out[name] = now
+    return {a: c for a, c in out.items() if a != c}
+
+
+def looked_up(name: Column, values: dict[str, str]) -> Column:
+    """The value of a name, null without one, in a time that does not depend on how many there are: a map of about one entry for each hash."""
+    size = 1 << max(0, len(values) - 1).bit_length()
+    slots: list[dict[str, str]] = [{} for _ in range(size)]
+    for k, v in values.items():
+        slots[zlib.crc32(k.encode()) % size][k] = v
+    empty = F.create_map().cast("map<string,string>")
+    table = F.array(*(literal_map(s) if s else empty for s in slots))
+    return F.get(table, (F.crc32(name.cast("binary")) % size).cast("int"))[name]
+
+
+def rename_links(text: Column, aliases: dict[str, str]) -> Column:
+    """Linked aliases become their canonical names, as if replaced one after the other, in one pass: cut at the links, look up, put together."""
+    values = resolved(aliases)
+    if not values:
+        return text
+    if any("[" in x or "]" in x for p in aliases.items() for x in p):
+        raise ValueError("names with brackets cannot be looked up")
+    link = r"\[\[([^\[\]]+)\]\]"
+    names = F.regexp_extract_all(text, F.lit(link), F.lit(1))
+    new = F.transform(names, lambda n: F.concat(F.lit("[["), F.coalesce(looked_up(n, values), n), F.lit("]]")))
+    # a part before each link and one behind the last
+    return F.array_join(F.zip_with(F.split(text, link, -1), new, lambda part, link: F.concat(part, F.coalesce(link, F.lit("")))), "")
+
+
 def normalize_links(text: Column, aliases: dict[str, str] | None = None) -> Column:
     """Aliases to canonical names and repeats collapsed, before the financial section only; texts without it stay.
 
     All that follows the section's heading is kept, a second heading too.
     """
     head = before_financials(text)
-    pairs = (V.ALIASES if aliases is None else aliases).items()
-    named = reduce(lambda t, p: F.replace(t, F.lit(f"[[{p[0]}]]"), F.lit(f"[[{p[1]}]]")), pairs, head)
+    named = rename_links(head, V.ALIASES if aliases is None else aliases)
     return F.when(F.contains(text, F.lit(V.FINANCIALS)), F.concat(collapse_repeats(named), F.substr(text, F.length(head) + 1))).otherwise(text)
 
 

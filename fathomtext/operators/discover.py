@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .order import placed
 from .scope import in_sectors
 
 
@@ -31,15 +32,5 @@ def tagged(reports: DataFrame, keyword: str) -> DataFrame:
 
 
 def listing(found: DataFrame) -> DataFrame:
-    """Hits with their place in the order by role and ticker.
-
-    Places are counted within blocks of equal leading characters and added up over the blocks, so no
-    task has to see all hits.
-    """
-    block = [F.col("role"), F.substring("ticker", 1, 2)]
-    rows = found.withColumns({"__r": block[0], "__b": block[1]})
-    before = Window.orderBy("__r", "__b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("__r", "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("__r", "__b").orderBy("ticker"))
-    placed = rows.withColumn("__w", within).join(F.broadcast(sizes), ["__r", "__b"])  # one row for two characters of a role
-    return placed.withColumn("place", (F.col("__o") + F.col("__w")).cast("long")).drop("__r", "__b", "__n", "__o", "__w")
+    """Hits with their place in the order by role and ticker."""
+    return placed(found, "role", "ticker")
