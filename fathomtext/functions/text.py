@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,13 @@ def quoted(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def pattern_of(keyword: Column, pattern: Callable[[str], str]) -> Column:
+    """A pattern around a keyword that each row has its own of."""
+    before, after = pattern("\0").split(quoted("\0"))
+    literal = F.concat(F.lit("\\Q"), F.replace(keyword, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    return F.concat(F.lit(before), literal, F.lit(after))
+
+
 def replacement(text: Column) -> Column:
     """A literal as the replacement of regexp_replace."""
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
@@ -50,18 +58,18 @@ def taggable_pattern(keyword: str) -> str:
     return bare_pattern(keyword) + r"(?![A-Za-z一-鿿])"
 
 
-def occurrences(text: Column, pattern: str) -> Column:
+def occurrences(text: Column, pattern: str | Column) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def snippets(text: Column, keyword: str, pattern: str | None = None, reach: int = V.SNIPPET_REACH, most: int = V.SNIPPETS) -> Column:
+def snippets(text: Column, keyword: str | Column, pattern: str | Column | None = None, reach: int = V.SNIPPET_REACH, most: int = V.SNIPPETS) -> Column:
     """The first bare occurrences with their surroundings, on one line each."""
-    parts = F.split(text, pattern or bare_pattern(keyword), -1)
+    parts = F.split(text, bare_pattern(keyword) if pattern is None else pattern, -1)
     word = F.lit(keyword)
 
     def one(i: Column) -> Column:
-        before = F.right(F.array_join(F.slice(parts, F.lit(1), i), keyword), F.lit(reach))
-        after = F.left(F.array_join(F.slice(parts, i + 1, F.size(parts)), keyword), F.lit(reach))
+        before = F.right(F.call_function("array_join", F.slice(parts, F.lit(1), i), word), F.lit(reach))
+        after = F.left(F.call_function("array_join", F.slice(parts, i + 1, F.size(parts)), word), F.lit(reach))
         return F.concat(F.lit("..."), strip(F.replace(F.concat(before, word, after), F.lit("\n"), F.lit(" "))), F.lit("..."))
 
     n = F.least(F.lit(most), F.size(parts) - 1)
@@ -80,7 +88,7 @@ def split_section(text: Column, name: str) -> Column:
     return F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise("")
 
 
-def section_role(text: Column, keyword: str) -> Column:
+def section_role(text: Column, keyword: str | Column) -> Column:
     """The first of business, supply chain and customers whose body holds the keyword, else mentioned."""
     holds = lambda h: F.coalesce(F.contains(h2_body(text, h), F.lit(keyword)), F.lit(False))
     return F.when(holds(V.BUSINESS), "core_business").when(holds(V.SUPPLY_CHAIN), "supply_chain").when(holds(V.CUSTOMERS), "customer_supplier").otherwise("mentioned")

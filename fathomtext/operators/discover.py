@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -20,6 +20,52 @@ def hits(reports: DataFrame, keyword: str, sectors: list[str] | None = None) ->
     return rows.where("linked + bare > 0")
 
 
+#: Characters that are searched for all keywords at once.
+STRETCH = 8192
+
+
+def substrings(chars: Column, n: int) -> Column:
+    """All runs of n of an array of characters, joined; null where fewer are left."""
+    return F.transform(chars, lambda _, k: F.when(k + n <= F.size(chars), F.array_join(F.slice(chars, k + 1, F.lit(n)), "")))
+
+
+def found_keywords(text: Column, keywords: Column, lengths: list[int], stretch: int = STRETCH) -> Column:
+    """Those of an array of keywords, whose lengths are given, that a text has, in time that grows with the text and the lengths.
+
+    The text is cut into stretches that overlap by the longest keyword; each is spelled out as all its
+    substrings of these lengths, which are met with the keywords by hash.
+    """
+    most = max(lengths)
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{stretch}}}"), F.lit(0))
+
+    def of(part: Column, i: Column) -> Column:
+        chars = F.split(F.concat(part, F.left(F.coalesce(F.get(parts, i + 1), F.lit("")), F.lit(most - 1))), "(?s)(?<=.)", -1)
+        return F.array_intersect(F.flatten(F.array(*(substrings(chars, n) for n in lengths))), keywords)
+
+    return F.array_distinct(F.flatten(F.transform(parts, of)))
+
+
+def hits_of_many(reports: DataFrame, keywords: DataFrame, sectors: list[str] | None = None) -> DataFrame:
+    """keyword and the columns of hits(), for each keyword (a column of that name; nulls, empty and repeated ones left out), from one scan of the reports.
+
+    Each keyword is looked for on its own, so one inside another is found as hits() finds it. The keywords
+    are sent to every task; they are what a user asks for, not data.
+    """
+    asked = keywords.where("keyword <> ''").select("keyword").distinct()
+    lengths = sorted(r[0] for r in asked.select(F.length("keyword").alias("n")).distinct().collect())
+    if not lengths:
+        return hits(reports.limit(0), "x").select(F.lit("").alias("keyword"), "*")
+    every = asked.agg(F.collect_list("keyword").alias("__all"))
+    head, k = F.col("__head"), F.col("keyword")
+    rows = in_sectors(reports, sectors).join(F.broadcast(every)).withColumn("__head", X.before_financials(F.col("content")))
+    rows = rows.select("ticker", "company", "sector", "__head", F.explode(found_keywords(head, F.col("__all"), lengths)).alias("keyword"))
+    bare = X.pattern_of(k, X.bare_pattern)
+    found = rows.select(
+        "keyword", "ticker", "company", "sector", X.occurrences(head, X.pattern_of(k, X.linked_pattern)).alias("linked"), X.occurrences(head, bare).alias("bare"),
+        X.section_role(head, k).alias("role"), X.snippets(head, k, bare).alias("contexts"))
+    return found.where("linked + bare > 0")
+
+
 def role_summary(found: DataFrame) -> DataFrame:
     """role, docs, linked_docs, unlinked_docs, bare."""
     return found.groupBy("role").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("linked") > 0).alias("linked_docs"), F.count_if((F.col("bare") > 0) & (F.col("linked") == 0)).alias("unlinked_docs"), F.sum("bare").alias("bare"))
