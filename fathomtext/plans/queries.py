@@ -320,4 +320,4 @@ def exclusion_anti(spark, sf_dir):
     return without(read(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
 
 
-from . import report_queries  # noqa: E402, F401  registers its queries here
+from . import report_queries, stored_queries  # noqa: E402, F401  register their queries here

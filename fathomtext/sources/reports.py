@@ -17,7 +17,7 @@ def decoded(path):
 
 def read_reports(spark: SparkSession, root: str, pattern: str = NAMED, recursive: bool = True) -> DataFrame:
     """ticker, company, sector, path, content of the Markdown files whose name fits; of a ticker's files the last path counts."""
-    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(root if recursive else f"{root}/*/", wholetext=True)
+    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).text(root if recursive else f"{root}/*/*.md", wholetext=True)
     path = decoded(F.col("_metadata.file_path"))
     name = F.element_at(F.split(path, "/"), -1)
     rows = files.select(
