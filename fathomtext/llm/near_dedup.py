@@ -12,8 +12,9 @@ near copy that stays is dropped, which ends large groups. Keys that few of the d
 all their pairs. Documents under a key that many still share, such as letters made from one template, which
 are alike but not alike enough, are compared by rare shingles instead of by that key: with shingles
 ordered by frequency, a text and a longer one at 0.8 share one of the rarest ninth of the shorter and
-the rarest fifth of the longer. What each letter has for itself fills its ninth, so unlike letters do not
-meet, and no pair at 0.8 among them is lost. No pair is judged twice.
+the rarest fifth of the longer, and the first that they share leaves enough behind it in both. What each
+letter has for itself stands first, so unlike letters do not meet, and no pair at 0.8 among them is
+lost. No pair is judged twice.
 
 Decisions go by rising doc_id: a document with a near copy among those that stay is dropped, any
 other stays. So every dropped document has a near copy among those kept, no two of those kept are
@@ -193,9 +194,13 @@ def prefix_pairs(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     # a shingle of one document only takes a place among the rarest, and can be left out but for that
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     own = rows.join(common, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
+    alone = F.col("n") - F.size("own")
     rarest = lambda share: F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") + 1 - F.ceil(F.col("n") * share - 1e-9).cast("int")))
-    entries = lambda share, i, m: own.select(F.col("doc_id").alias(i), F.col("n").alias(m), F.explode(F.transform(rarest(share), lambda x: x["h"])).alias("h"))
-    met = entries(2 * least / (1 + least), "a", "m").join(entries(least, "b", "n"), "h").where((F.struct("m", "a") < F.struct("n", "b")) & (F.col("m") >= F.col("n") * least - 1e-9))
+    entries = lambda share, i, m, p: own.select(F.col("doc_id").alias(i), F.col("n").alias(m), alone.alias("alone"), F.posexplode(F.transform(rarest(share), lambda x: x["h"])).alias("k", "h")).select(i, m, "h", (F.col("alone") + F.col("k")).alias(p))
+    met = entries(2 * least / (1 + least), "a", "m", "p").join(entries(least, "b", "n", "q"), "h")
+    # of the first shingle that two share: itself and all behind it is the most that they can share
+    enough = 1 + F.least(F.col("m") - 1 - F.col("p"), F.col("n") - 1 - F.col("q")) >= (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-9
+    met = met.where((F.struct("m", "a") < F.struct("n", "b")) & (F.col("m") >= F.col("n") * least - 1e-9) & enough)
     out = materialize(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "rare")
     forget(rows)
     return out
