@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import PAYLOAD
+from .sheets import SheetSource
 
 NAMED = r"^(\d{4})_(.+)\.md$"
 
@@ -44,7 +45,11 @@ def read_payload(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_roster(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """ticker, name of a headerless table in CSV; spreadsheets are exported first, as Spark has no reader for them."""
-    got = spark.read.csv(path, header=False, schema="ticker string, name string", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    """ticker, name of a headerless table, a spreadsheet (.xlsx) or CSV; a name that is missing is "Unknown"."""
+    if path.endswith(".xlsx"):
+        spark.dataSource.register(SheetSource)
+        got = spark.read.format("sheet").schema("ticker string, name string").load(path).select(F.trim("ticker").alias("ticker"), F.trim("name").alias("name"))
+    else:
+        got = spark.read.csv(path, header=False, schema="ticker string, name string", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     got = got.where("ticker is not null").withColumn("name", F.coalesce("name", F.lit("Unknown")))
     return got if rows is None else got.limit(rows)
