@@ -76,9 +76,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def stretches(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of each stretch of strings with one anchor occurrence, that occurrence's place and hash."""
-    firsts, lasts, places, hashes = [], [], [], []
+def stretches(data: np.ndarray, length: int, anchor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First and last start of each stretch of strings with one anchor occurrence, that occurrence's place and hash, CHUNK starts at a time."""
     n = len(data) - length + 1
     for c in range(0, max(n, 0), CHUNK):
         part = data[c : min(c + CHUNK, n) + length - 1]
@@ -86,14 +85,8 @@ def stretches(data: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, n
         at = np.arange(len(h), dtype=np.uint64)
         low = sliding_min((h & ~np.uint64(0xFFFFFF)) | at, length - anchor + 1) & np.uint64(0xFFFFFF)
         cut = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        firsts.append(cut + c)
-        lasts.append(np.r_[cut[1:], len(low)] - 1 + c)
-        places.append(low[cut].astype(np.int64) + c)
-        hashes.append(h[places[-1] - c])
-    if not firsts:
-        none = np.empty(0, dtype=np.int64)
-        return none, none, none, none.astype(np.uint64)
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(places), np.concatenate(hashes)
+        place = low[cut].astype(np.int64)
+        yield cut + c, np.r_[cut[1:], len(low)] - 1 + c, place + c, h[place]
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
@@ -183,19 +176,50 @@ def two(digest: bytes) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-REGION = "file long, pos long, a long, b long, p long, anchor long, r1 long, r2 long"
+#: c: how often the stretch's context occurs in its text; 0 for a run of starts a to b that occur twice in the text.
+REGION = "file long, pos long, a long, b long, p long, anchor long, r1 long, r2 long, c long"
+
+
+def text_regions(view: memoryview, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """a, b, p, anchor, r1, r2, c: each context of a text once, and the starts of those that it has several times in merged runs.
+
+    So a text that repeats itself over and over has few rows, however long it is.
+    """
+    parts, runs = [], []
+
+    def once(a, b, p, h, marks, c):
+        """The contexts of these stretches once, with summed counts; the starts of contexts that occur twice go to runs."""
+        _, first, of = np.unique(np.ascontiguousarray(marks).view("V16").ravel(), return_index=True, return_inverse=True)
+        total = np.bincount(of, weights=c).astype(np.int64)
+        again = (total[of] > 1) & (c == 1)  # others are in runs already
+        if again.any():
+            lo, hi = a[again], b[again]
+            order = np.argsort(lo)
+            lo, hi = lo[order], hi[order]
+            new = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1] + 1])
+            runs.append(np.stack([lo[new], hi[np.r_[new[1:], len(lo)] - 1]], axis=1))
+        return a[first], b[first], p[first], h[first], marks[first], total
+
+    for first, last, place, h in stretches(np.frombuffer(view, dtype=np.uint8), length, anchor):
+        marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), dtype="<i8").reshape(-1, 2)
+        parts.append(once(first, last, place, h, marks, np.ones(len(first), dtype=np.int64)))
+    if not parts:
+        return (np.empty(0, dtype=np.int64),) * 7
+    a, b, p, h, marks, c = parts[0] if len(parts) == 1 else once(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    run = np.concatenate(runs) if runs else np.empty((0, 2), dtype=np.int64)
+    none = np.zeros(len(run), dtype=np.int64)
+    return np.r_[a, run[:, 0]], np.r_[b, run[:, 1]], np.r_[p, none], np.r_[h.view(np.int64), none], np.r_[marks[:, 0], none], np.r_[marks[:, 1], none], np.r_[c, none]
 
 
 def regions_of(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The stretches of each document (file, pos, text) with their anchor's hash and their context's 128-bit hash."""
+    """The stretches of each document (file, pos, text) with their anchor's hash and their context's 128-bit hash, as REGION."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, pos, view in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_views(batch.column(2)), strict=True):
-                first, last, place, h = stretches(np.frombuffer(view, dtype=np.uint8), length, anchor)
-                if len(first):
-                    marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), dtype="<i8").reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), file)), pa.array(np.full(len(first), pos)), pa.array(first), pa.array(last), pa.array(place), pa.array(h.view(np.int64)), pa.array(marks[:, 0].copy()), pa.array(marks[:, 1].copy())], ["file", "pos", "a", "b", "p", "anchor", "r1", "r2"])
+                found = text_regions(view, length, anchor)
+                if n := len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, file)), pa.array(np.full(n, pos)), *map(pa.array, found)], ["file", "pos", "a", "b", "p", "anchor", "r1", "r2", "c"])
 
     return docs.mapInArrow(each, REGION)
 
@@ -332,7 +356,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     Rows are told apart by file and place in the file, as ids may be null or repeated, so it does
     not matter how often and in which splits the table is read; a docs that is not a plain scan of
     files is first written to the shared folder. Null texts count as empty; texts shorter than
-    length have no such string and stay. Copies of a text of that length lose everything. Other
+    length have no such string and stay. Copies of a text of that length lose everything. A text that
+    repeats itself gives rows for its different stretches only, so a very long one needs little more memory than its bytes. Other
     columns are ignored, whatever their names. Empty in, empty out.
     """
     spark = docs.sparkSession
@@ -340,7 +365,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     key = row_key(docs)
     rows = docs.select(*key, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     regions = materialize(regions_of(rows.select("file", "pos", "text"), length, anchor), "regions")
-    uniq = regions.groupBy("anchor", "r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "pos", "a", "b", "p")).alias("rep"))
+    uniq = regions.where("c > 0").groupBy("anchor", "r1", "r2").agg(F.sum("c").alias("n"), F.min(F.struct("file", "pos", "a", "b", "p")).alias("rep"))
     uniq = materialize(uniq, "contexts")
     release(spark)
     mixed = uniq.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
@@ -352,8 +377,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     forget(contexts)
     release(spark)
     copied = uniq.where("n > 1").select("r1", "r2")
-    whole = regions.join(copied, ["r1", "r2"], "left_semi").select("file", "pos", F.col("a").alias("lo"), F.col("b").alias("hi"))
-    partly = regions.join(spans, ["r1", "r2"]).select("file", "pos", "a", F.explode("runs").alias("r")).select("file", "pos", (F.col("a") + F.col("r.lo")).alias("lo"), (F.col("a") + F.col("r.hi")).alias("hi"))
+    whole = regions.where("c = 1").join(copied, ["r1", "r2"], "left_semi").unionByName(regions.where("c = 0")).select("file", "pos", F.col("a").alias("lo"), F.col("b").alias("hi"))
+    partly = regions.where("c = 1").join(spans, ["r1", "r2"]).select("file", "pos", "a", F.explode("runs").alias("r")).select("file", "pos", (F.col("a") + F.col("r.lo")).alias("lo"), (F.col("a") + F.col("r.hi")).alias("hi"))
     ranges = whole.unionByName(partly).groupBy("file", "pos").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     ranges = materialize(ranges, "ranges")
     forget(regions)
