@@ -9,7 +9,7 @@ Each order is range-partitioned, sorted and cut into strips of at most so many c
 one of y cross in a tile. What is above a cell lies in its own strip of x (the row that is carried
 along), in its own strip of y but in an earlier one of x (the carried column), or in a tile before its
 own in both orders. The first two are counted within one strip each, in numpy; the tiles are cells
-again, by far fewer, and are counted by the same steps. Strips grow with the square root of the
+again, by far fewer, and are counted by the same steps. The sums go back by merge joins, never by a broadcast. Strips grow with the square root of the
 cells, so the tiles are at most about a sixteenth as many as the cells. No step gives a task, the driver or a broadcast
 more than one strip.
 """
@@ -126,7 +126,7 @@ def above(cells: DataFrame, least: int = STRIP, roots: int = ROOTS) -> DataFrame
     # a tile is a cell again: its slot is the strip of x, its level falls as the strip of y grows
     tiles = materialize(both.groupBy(F.col("i").alias("slot"), (-F.col("j")).alias("level")).agg(F.sum("sales").alias("sales"), F.sum("rows").alias("rows")), "tiles")
     corner = above(tiles, least, roots).select(F.col("slot").alias("i"), (-F.col("level")).alias("j"), F.col("s").alias("cs"), F.col("r").alias("cr"))
-    return both.join(corner, ["i", "j"]).select("slot", "level", (F.col("s") + F.col("cs")).alias("s"), (F.col("r") + F.col("cr")).alias("r"))
+    return both.join(corner.hint("merge"), ["i", "j"]).select("slot", "level", (F.col("s") + F.col("cs")).alias("s"), (F.col("r") + F.col("cr")).alias("r"))
 
 
 def dominance_counts(points: DataFrame, slot: str = "slot", level: str = "level", weight: str | None = None) -> DataFrame:
@@ -145,7 +145,7 @@ def dominance_counts(points: DataFrame, slot: str = "slot", level: str = "level"
     sums = above(cells).select(F.col("slot").alias(a), F.col("level").alias(b), F.col("s").alias("n_sales"), F.col("r").alias("n_rows"))
     # rows without a cell go by another way, else they would all meet in the partition of null
     rest = named.where(F.col(a).isNull() | F.col(b).isNull()).withColumns({"n_sales": F.lit(None).cast("long"), "n_rows": F.lit(None).cast("long")})
-    return whole.join(sums, [a, b]).select(*keep.columns, "n_sales", "n_rows").unionByName(rest.select(*keep.columns, "n_sales", "n_rows"))
+    return whole.join(sums.hint("merge"), [a, b]).select(*keep.columns, "n_sales", "n_rows").unionByName(rest.select(*keep.columns, "n_sales", "n_rows"))
 
 
 def minutes(sales: DataFrame, at: str, seconds: int = SECONDS) -> Column:
