@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import discover, postings, statements, themes, upsert
+from ..operators import discover, postings, statements, themes, topk, upsert
 from ..sources import fileset, report_table, sinks
 from ..sources import reports as sources
 from ..streaming import graph
@@ -129,6 +129,13 @@ def refreshed_graph(spark, sf_dir):
     return graph.edges(spark, f"{folder}/graph", 5)
 
 
+@query("SELECT CAST(client_id AS VARCHAR) AS name, count(*) AS cnt FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY client_id ORDER BY cnt DESC, name LIMIT 40")
+def frequent_by_day(spark, sf_dir):
+    """The most frequent names over all days, from daily counts and merged sketches."""
+    topk.add(read(spark, sf_dir, "clicks").select(F.to_date("ts").alias("day"), F.col("client_id").cast("string").alias("name")), folder := landing(spark))
+    return topk.top(spark, folder, 40)[0]
+
+
 # --- many keywords ------------------------------------------------------------------------------
 def occurs(text: str, word: str) -> str:
     return f"((length({text}) - length(replace({text}, {word}, ''))) // length({word}))"

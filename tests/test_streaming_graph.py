@@ -5,7 +5,7 @@ import random
 import pytest
 
 from fathomtext.operators import mentions, network
-from fathomtext.streaming import graph
+from fathomtext.streaming import graph, mention_counts, stream_mentions
 
 
 def report(names):
@@ -65,3 +65,14 @@ def test_a_batch_that_runs_twice_counts_once(spark, tmp_path):
     for _ in range(2):
         graph.pair_changes(rows).write.mode("overwrite").parquet(f"file://{tmp_path}/g/changes/batch=0")
     assert {tuple(r) for r in graph.edges(spark, f"file://{tmp_path}/g", 1).collect()} == {("a", "b", 2)}
+
+
+def test_mention_counts_over_a_stream(spark, tmp_path):
+    schema = "content string"
+    (tmp_path / "in").mkdir()
+    for k, texts in enumerate([["[[a]] [[b]] [[a]]", None], ["[[b]]", "no link", "[[c]] [[a]]"]]):
+        spark.createDataFrame([(t,) for t in texts], schema).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in")
+        stream_mentions(stream, f"file://{tmp_path}/counts", f"file://{tmp_path}/checkpoint", once=True).awaitTermination()
+        want = {"a": 2, "b": 1} if k == 0 else {"a": 3, "b": 2, "c": 1}
+        assert {r["name"]: r["cnt"] for r in mention_counts(spark, f"file://{tmp_path}/counts").collect()} == want
