@@ -16,16 +16,22 @@ def decoded(path):
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
+def report_paths(spark: SparkSession, root: str, pattern: str = NAMED, recursive: bool = True) -> DataFrame:
+    """ticker, path of the Markdown files whose name fits, of a ticker's files the last path; their contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).load(root if recursive else f"{root}/*/*.md")
+    path = decoded(F.col("_metadata.file_path"))
+    name = F.element_at(F.split(path, "/"), -1)
+    rows = files.where(name.rlike(pattern)).select(F.regexp_extract(name, r"^(\d{4})", 1).alias("ticker"), path.alias("path"))
+    return rows.groupBy("ticker").agg(F.max("path").alias("path"))
+
+
 def read_reports(spark: SparkSession, root: str, pattern: str = NAMED, recursive: bool = True) -> DataFrame:
     """ticker, company, sector, path, content of the Markdown files whose name fits; of a ticker's files the last path counts."""
     files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).text(root if recursive else f"{root}/*/*.md", wholetext=True)
     path = decoded(F.col("_metadata.file_path"))
-    name = F.element_at(F.split(path, "/"), -1)
-    rows = files.select(
-        F.regexp_extract(name, r"^(\d{4})", 1).alias("ticker"), F.nullif(F.regexp_extract(name, NAMED, 2), F.lit("")).alias("company"),
-        F.element_at(F.split(path, "/"), -2).alias("sector"), path.alias("path"), F.col("value").alias("content"), name.alias("name")).where(F.col("name").rlike(pattern)).drop("name")
-    last = rows.groupBy("ticker").agg(F.max("path").alias("path"))
-    return rows.join(last, ["ticker", "path"], "left_semi")
+    rows = files.select(path.alias("path"), F.col("value").alias("content")).join(report_paths(spark, root, pattern, recursive), "path")
+    parts = F.split("path", "/")
+    return rows.select("ticker", F.nullif(F.regexp_extract(F.element_at(parts, -1), NAMED, 2), F.lit("")).alias("company"), F.element_at(parts, -2).alias("sector"), "path", "content")
 
 
 def read_all_markdown(spark: SparkSession, root: str) -> DataFrame:
