@@ -338,7 +338,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)
-    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", F.col("longest.words").alias("longest_words"), F.col("longest.start").alias("longest_start"))
 
 
 OP10_SQL = r"""
@@ -348,10 +349,17 @@ bi AS (SELECT item_id, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least
 bwin AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM bi),
 ks AS (SELECT DISTINCT k FROM bwin),
 di AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, ks WHERE len(w) >= k),
-m AS (SELECT d.doc_id, d.i, d.k, b.item_id FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM di) d JOIN bwin b ON d.k = b.k AND d.win = b.win),
+m AS (SELECT d.doc_id, d.i, d.k, d.win, b.item_id FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM di) d JOIN bwin b ON d.k = b.k AND d.win = b.win),
 hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
+pos AS (SELECT row_number() OVER () AS r, w FROM bw WHERE len(w) > 0),
+bp AS (SELECT r, k, j, array_to_string(w[j:j + k - 1], ' ') AS win FROM (SELECT r, w, least(10, len(w)) AS k, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS j FROM pos)),
+diag AS (SELECT DISTINCT m.doc_id, m.k, r, m.i, m.i - j AS d FROM (SELECT DISTINCT doc_id, i, k, win FROM m) AS m JOIN bp ON bp.k = m.k AND bp.win = m.win),
+isle AS (SELECT doc_id, k, i, i - row_number() OVER (PARTITION BY doc_id, k, r, d ORDER BY i) AS g, r, d FROM diag),
+runs AS (SELECT doc_id, min(i) - 1 AS start, count(*) + k - 1 AS n FROM isle GROUP BY doc_id, k, r, d, g),
+longest AS (SELECT doc_id, max(n)::BIGINT AS words, arg_max(start, {'n': n, 's': -start})::BIGINT AS start FROM runs GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
-       sha256(coalesce(its.names, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
-FROM dw LEFT JOIN hits ON dw.doc_id = hits.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id
+       sha256(coalesce(its.names, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated,
+       longest.words AS longest_words, longest.start AS longest_start
+FROM dw LEFT JOIN longest ON dw.doc_id = longest.doc_id LEFT JOIN hits ON dw.doc_id = hits.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id
 """
