@@ -30,7 +30,8 @@ def parts_of(rows: DataFrame, folder: str, sectors: list[str]) -> dict[str, str]
     stage = manifest.fresh(folder, "write")
     number = rows.sparkSession.createDataFrame([(s, i) for i, s in enumerate(sectors)], f"__s string, {KEY} int")
     dealt = rows.join(F.broadcast(number), sector_key() == F.col("__s")).drop("__s")  # one row a sector
-    dealt.write.partitionBy(KEY).parquet(stage)
+    # files of a good size: small sectors share tasks, a large one is split
+    dealt.hint("rebalance", KEY).write.partitionBy(KEY).parquet(stage)
     store, root = manifest.opened(folder)
     found, name = {}, lambda uri: f"{root}/data/{uri.rpartition('/')[2]}"
     for i, s in enumerate(sectors):
