@@ -339,7 +339,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True)
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", F.col("longest.words").alias("longest_words"), F.col("longest.start").alias("longest_start"))
+    match = lambda field, none: F.coalesce(f"longest.{field}", F.lit(none).cast("long")).alias(f"longest_{field}")
+    return out.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated", match("words", 0), match("start", -1))
 
 
 OP10_SQL = r"""
@@ -360,6 +361,6 @@ longest AS (SELECT doc_id, max(n)::BIGINT AS words, arg_max(start, {'n': n, 's':
 its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
 SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
        sha256(coalesce(its.names, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated,
-       longest.words AS longest_words, longest.start AS longest_start
+       coalesce(longest.words, 0) AS longest_words, coalesce(longest.start, -1) AS longest_start
 FROM dw LEFT JOIN longest ON dw.doc_id = longest.doc_id LEFT JOIN hits ON dw.doc_id = hits.doc_id LEFT JOIN its ON dw.doc_id = its.doc_id
 """
