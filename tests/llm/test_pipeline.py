@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -23,12 +24,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no data")
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "sales", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(SQL[name]).df()
     cols = sorted(want.columns)
     assert sorted(got.columns) == cols
-    assert sorted(map(str, got[cols].itertuples(index=False))) == sorted(map(str, want[cols].itertuples(index=False)))
+    # whole numbers beside nulls come as floats from one engine
+    plain = lambda df: sorted(str(["-" if pd.isna(x) else str(x).removesuffix(".0") for x in r]) for r in df[cols].astype(object).itertuples(index=False))
+    assert plain(got) == plain(want)
 
 
 @pytest.mark.parametrize("name", ["op3_html_text", "op4_token_counts", "op9_pii"])
