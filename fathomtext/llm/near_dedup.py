@@ -12,9 +12,9 @@ near copy that stays is dropped, which ends large groups. Keys that few of the d
 all their pairs. Documents under a key that many still share, such as letters made from one template, which
 are alike but not alike enough, are compared by rare shingles instead of by that key: with shingles
 ordered by frequency, a text and a longer one at 0.8 share one of the rarest ninth of the shorter and
-the rarest fifth of the longer, and the first that they share leaves enough behind it in both. What each
-letter has for itself stands first, so unlike letters do not meet, and no pair at 0.8 among them is
-lost. No pair is judged twice.
+the rarest fifth of the longer, the first that they share leaves enough behind it in both, and few of 1024
+parities of their hashes differ. What each letter has for itself stands first, so unlike letters
+do not meet, and no pair at 0.8 among them is lost. No pair is judged twice.
 
 Decisions go by rising doc_id: a document with a near copy among those that stay is dropped, any
 other stays. So every dropped document has a near copy among those kept, no two of those kept are
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, LEADING = 24, 6, (4, 12)
 #: Documents under one key, up to which all pairs are judged.
 CLOSE = 4
+#: Bits by which two sets are held against each other before they are compared.
+PARITIES = 1024
 #: Shingles hashed at once for the bands; links of a component that one task may decide; steps before components are looked for.
 CHUNK, SMALL, PEEL = 4096, 4096, 6
 _rng = np.random.default_rng(20)
@@ -181,28 +184,42 @@ def led_pairs(posts: DataFrame) -> DataFrame:
     return posts.join(lead, "key").where("doc_id <> u").select("u", F.col("doc_id").alias("v"))
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """PARITIES bits: whether a set has an odd number of hashes with each remainder. Sets differ in at least as many hashes as their bits differ."""
+    odd = np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def prefix_pairs(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """u, v: pairs of documents (doc_id, text) with a rare shingle in common; all pairs of that similarity or more are among them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [shingles(bytes(x)).view(np.int64) for x in byte_views(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "own"])
+            own = [shingles(bytes(x)) for x in byte_views(b.column(1))]
+            bits = [parities(x) for x in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "own", "bits"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(each, "doc_id long, own array<long>")
-    rows = materialize(sets.select("doc_id", F.size("own").alias("n"), F.explode("own").alias("h")), "shingles")
+    sets = materialize(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, own array<long>, bits array<long>"), "shingles")
+    rows = sets.select("doc_id", F.size("own").alias("n"), F.explode("own").alias("h"))
     # a shingle of one document only takes a place among the rarest, and can be left out but for that
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    own = rows.join(common, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own"))
+    own = rows.join(common, "h").groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("own")).join(sets.select("doc_id", "bits"), "doc_id")
     alone = F.col("n") - F.size("own")
     rarest = lambda share: F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") + 1 - F.ceil(F.col("n") * share - 1e-9).cast("int")))
-    entries = lambda share, i, m, p: own.select(F.col("doc_id").alias(i), F.col("n").alias(m), alone.alias("alone"), F.posexplode(F.transform(rarest(share), lambda x: x["h"])).alias("k", "h")).select(i, m, "h", (F.col("alone") + F.col("k")).alias(p))
-    met = entries(2 * least / (1 + least), "a", "m", "p").join(entries(least, "b", "n", "q"), "h")
+
+    def entries(share: float, doc: str, size: str, place: str, bits: str) -> DataFrame:
+        spread = own.select("doc_id", "n", "bits", alone.alias("alone"), F.posexplode(F.transform(rarest(share), lambda x: x["h"])).alias("k", "h"))
+        return spread.select("h", F.col("doc_id").alias(doc), F.col("n").alias(size), (F.col("alone") + F.col("k")).alias(place), F.col("bits").alias(bits))
+
+    met = entries(2 * least / (1 + least), "a", "m", "p", "x").join(entries(least, "b", "n", "q", "y"), "h")
+    both = (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-9
     # of the first shingle that two share: itself and all behind it is the most that they can share
-    enough = 1 + F.least(F.col("m") - 1 - F.col("p"), F.col("n") - 1 - F.col("q")) >= (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-9
-    met = met.where((F.struct("m", "a") < F.struct("n", "b")) & (F.col("m") >= F.col("n") * least - 1e-9) & enough)
+    enough = 1 + F.least(F.col("m") - 1 - F.col("p"), F.col("n") - 1 - F.col("q")) >= both
+    # and each parity that differs is a shingle that one of them has for itself
+    apart = reduce(add, (F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(PARITIES // 64)))
+    met = met.where((F.struct("m", "a") < F.struct("n", "b")) & (F.col("m") >= F.col("n") * least - 1e-9) & enough & (apart <= F.col("m") + F.col("n") - 2 * both))
     out = materialize(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "rare")
-    forget(rows)
+    forget(sets)
     return out
 
 
