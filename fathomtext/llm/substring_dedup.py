@@ -189,7 +189,10 @@ def text_regions(view: memoryview, length: int, anchor: int) -> tuple[np.ndarray
 
     def once(a, b, p, h, marks, c):
         """The contexts of these stretches once, with summed counts; the starts of contexts that occur twice go to runs."""
-        _, first, of = np.unique(np.ascontiguousarray(marks).view("V16").ravel(), return_index=True, return_inverse=True)
+        order = np.lexsort((marks[:, 1], marks[:, 0]))
+        new = np.r_[True, (marks[order[1:]] != marks[order[:-1]]).any(axis=1)]
+        of, first = np.empty(len(order), dtype=np.int64), order[new]
+        of[order] = np.cumsum(new) - 1
         total = np.bincount(of, weights=c).astype(np.int64)
         again = (total[of] > 1) & (c == 1)  # others are in runs already
         if again.any():
@@ -201,12 +204,15 @@ def text_regions(view: memoryview, length: int, anchor: int) -> tuple[np.ndarray
         return a[first], b[first], p[first], h[first], marks[first], total
 
     for first, last, place, h in stretches(np.frombuffer(view, dtype=np.uint8), length, anchor):
-        marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), dtype="<i8").reshape(-1, 2)
-        parts.append(once(first, last, place, h, marks, np.ones(len(first), dtype=np.int64)))
+        digests = [xxhash.xxh3_128_digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        part = first, last, place, h, np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2), np.ones(len(first), dtype=np.int64)
+        parts.append(part if len(set(digests)) == len(digests) else once(*part))  # most texts repeat nothing
     if not parts:
         return (np.empty(0, dtype=np.int64),) * 7
     a, b, p, h, marks, c = parts[0] if len(parts) == 1 else once(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-    run = np.concatenate(runs) if runs else np.empty((0, 2), dtype=np.int64)
+    if not runs:
+        return a, b, p, h.view(np.int64), marks[:, 0].copy(), marks[:, 1].copy(), c
+    run = np.concatenate(runs)
     none = np.zeros(len(run), dtype=np.int64)
     return np.r_[a, run[:, 0]], np.r_[b, run[:, 1]], np.r_[p, none], np.r_[h.view(np.int64), none], np.r_[marks[:, 0], none], np.r_[marks[:, 1], none], np.r_[c, none]
 
