@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import byte_views, forget, fresh, materialize, texts
+from .shared import byte_views, forget, fresh, materialize, release, texts
 from .simhash import components, links, majority
 
 WORDS, SIMILARITY = 5, 0.8
@@ -162,6 +162,7 @@ def decided(edges: DataFrame) -> DataFrame:
             edges = materialize(without(edges, gone), "left")
             if edges.isEmpty():
                 return union(out)
+        release(edges.sparkSession)
         roots = components(edges).withColumnRenamed("node", "v")
         most = edges.join(roots, "v").groupBy("root").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
         if most <= SMALL:
@@ -244,6 +245,7 @@ def dropped_ids(docs: DataFrame) -> DataFrame:
             return None
         judged.append(new)
         found.append(verified(new, docs))
+        release(docs.sparkSession)  # many small joins, each with a broadcast
         return found[-1]
 
     sketch = materialize(sketches(docs).dropDuplicates(["doc_id"]), "sketches")

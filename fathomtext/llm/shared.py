@@ -71,6 +71,11 @@ def forget(df: DataFrame) -> None:
     remove(df.sparkSession, df._fathom_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files and broadcasts of finished jobs, which else stay until the driver happens to collect its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by a path that only Spark has to understand."""
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import byte_views, forget, materialize, row_key, stored, table
+from .shared import byte_views, forget, materialize, release, row_key, stored, table
 
 LENGTH, ANCHOR = 400, 80
 #: Bytes whose hashes are in memory at once; contexts of one anchor that are ordered together at
@@ -351,11 +351,6 @@ def kept_bytes(text: memoryview, ranges: list[tuple[int, int]], length: int) ->
     return np.frombuffer(text, dtype=np.uint8)[~covered].tobytes(), runs
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def substring_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), kept_sha256.
 
