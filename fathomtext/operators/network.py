@@ -30,9 +30,12 @@ def blocks(once: DataFrame, key: str, size: int = BLOCK, carry: tuple[str, ...]
 
 
 def pairs(once: DataFrame, key: str, size: int = BLOCK) -> DataFrame:
-    """key, source, target (source < target) of all pairs of names of each document, made of pairs of blocks."""
+    """key, source, target (source < target) of all pairs of names of each document, made of pairs of blocks.
+
+    A merge join: both sides hold every name of every document, which Spark's estimate from the size of the files does not see.
+    """
     left, right = blocks(once, key, size)
-    met = left.withColumnRenamed("name", "x").join(right.withColumnRenamed("name", "y"), [key, "a", "b"])
+    met = left.withColumnRenamed("name", "x").hint("merge").join(right.withColumnRenamed("name", "y"), [key, "a", "b"])
     return met.where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y"))).select(key, F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"))
 
 

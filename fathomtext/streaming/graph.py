@@ -58,7 +58,7 @@ def changes(reports: DataFrame) -> DataFrame:
 def pair_changes(rows: DataFrame) -> DataFrame:
     """source, target, change: how many documents more or fewer have both. rows: what changes() gives of one micro-batch."""
     left, right = network.blocks(rows, "ticker", carry=("change",))
-    met = left.withColumnsRenamed({"name": "x", "change": "p"}).join(right.withColumnsRenamed({"name": "y", "change": "q"}), ["ticker", "a", "b"])
+    met = left.withColumnsRenamed({"name": "x", "change": "p"}).hint("merge").join(right.withColumnsRenamed({"name": "y", "change": "q"}), ["ticker", "a", "b"])
     met = met.where((F.col("a") < F.col("b")) & (F.col("x") != F.col("y")) | (F.col("x") < F.col("y")))
     gained, lost = (F.least("p", "q") >= 0) & (F.greatest("p", "q") > 0), (F.greatest("p", "q") <= 0) & (F.least("p", "q") < 0)
     signed = met.select(F.least("x", "y").alias("source"), F.greatest("x", "y").alias("target"), F.when(gained, 1).when(lost, -1).alias("change")).where("change is not null")

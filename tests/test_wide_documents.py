@@ -41,3 +41,11 @@ def test_a_very_wide_document_is_spread_over_tasks(spark):
     assert "Cartesian" not in plan and "Join [doc#" in plan and ", a#" in plan and ", b#" in plan
     keys = left.join(right.select("doc", "a", "b").distinct(), ["doc", "a", "b"], "left_semi").select(F.pmod(F.hash("doc", "a", "b"), F.lit(200)).alias("task"))
     assert keys.distinct().count() == 200
+
+
+def test_pairs_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(d, n) for d in range(6) for n in "abc"], "d int, name string")
+    pairs = network.pairs(rows, "d")
+    made = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in made
+    assert pairs.count() == 18
