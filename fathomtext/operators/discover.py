@@ -24,25 +24,16 @@ def hits(reports: DataFrame, keyword: str, sectors: list[str] | None = None) ->
 STRETCH = 8192
 
 
-def substrings(chars: Column, n: int) -> Column:
-    """All runs of n of an array of characters, joined; null where fewer are left."""
-    return F.transform(chars, lambda _, k: F.when(k + n <= F.size(chars), F.array_join(F.slice(chars, k + 1, F.lit(n)), "")))
-
-
 def found_keywords(text: Column, keywords: Column, lengths: list[int], stretch: int = STRETCH) -> Column:
     """Those of an array of keywords, whose lengths are given, that a text has, in time that grows with the text and the lengths.
 
-    The text is cut into stretches that overlap by the longest keyword; each is spelled out as all its
-    substrings of these lengths, which are met with the keywords by hash.
+    The text is cut into stretches, each with as much of what follows as the longest keyword takes; of a
+    stretch all substrings of these lengths are met with the keywords by hash. Half a character beyond
+    the basic plane may be found too, as a question mark.
     """
-    most = max(lengths)
-    parts = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{stretch}}}"), F.lit(0))
-
-    def of(part: Column, i: Column) -> Column:
-        chars = F.split(F.concat(part, F.left(F.coalesce(F.get(parts, i + 1), F.lit("")), F.lit(most - 1))), "(?s)(?<=.)", -1)
-        return F.array_intersect(F.flatten(F.array(*(substrings(chars, n) for n in lengths))), keywords)
-
-    return F.array_distinct(F.flatten(F.transform(parts, of)))
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{stretch + max(lengths) - 1}}})).{{1,{stretch}}}"), F.lit(1))
+    every = lambda part: F.flatten(F.array(*(F.regexp_extract_all(part, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths)))
+    return F.array_distinct(F.flatten(F.transform(parts, lambda part: F.array_intersect(every(part), keywords))))
 
 
 def hits_of_many(reports: DataFrame, keywords: DataFrame, sectors: list[str] | None = None) -> DataFrame:

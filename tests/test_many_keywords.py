@@ -1,6 +1,7 @@
 """Many keywords in one scan find what each finds by itself."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 from test_reports import BODY
@@ -41,3 +42,12 @@ def test_ten_thousand_keywords_take_one_scan(spark, tmp_path):
     keywords = [("word" if k % 2 == 0 else "產品") + str(k) for k in range(10_000)]
     texts = {t: c for t, _, _, c in rows}
     assert got == {(k, t) for t, c in texts.items() for k in {w[:n] for w in c.split() for n in range(1, len(w) + 1)} & set(keywords)}
+
+
+def test_time_grows_with_the_text(spark):
+    reports = spark.range(200).selectExpr("CAST(id AS STRING) AS ticker", "'a' AS company", "'s' AS sector", "repeat('abcdefg hi', 200) || 'KEY' || id || '.' AS content")
+    keywords = spark.createDataFrame([(w,) for w in ("KEY7.", "KEY1", "no such", "hi", "none at all")], "keyword string")
+    began = time.time()
+    found = {(r["keyword"], r["ticker"]) for r in discover.hits_of_many(reports, keywords).collect()}
+    assert time.time() - began < 60
+    assert found == {("KEY7.", "7")} | {("hi", str(i)) for i in range(200)} | {("KEY1", str(i)) for i in range(200) if str(i).startswith("1")}
