@@ -29,7 +29,8 @@ def placed(rows: DataFrame, *keys: str, name: str = "place", ranges: int = RANGE
 
     Ranges of about equal size are cut at keys drawn from the rows, their sizes are counted and added up,
     and places are counted within each range, so neither a common prefix nor many rows meet in one task.
-    Only as many keys as there are ranges reach the driver.
+    Only as many keys as there are ranges reach the driver. The rows are read three times: store them first if
+    they are costly to make.
     """
     part = rows.withColumn("__r", range_of(rows, keys, bounds(rows, keys, ranges)))
     sizes = part.groupBy("__r").agg(F.count(F.lit(1)).alias("__n"))
