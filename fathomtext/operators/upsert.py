@@ -60,9 +60,12 @@ def tally(rows: DataFrame) -> DataFrame:
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def new_reports(roster: DataFrame, existing: DataFrame, sections: DataFrame | None = None) -> DataFrame:
-    """ticker, company, sector, content of roster rows (ticker, name, and sector, industry if known) whose ticker has no report yet."""
-    rows = roster.join(existing.select("ticker"), "ticker", "left_anti")
+def new_reports(roster: DataFrame, existing: DataFrame, sections: DataFrame | None = None, key: str = "ticker", carry: tuple[str, ...] = ()) -> DataFrame:
+    """ticker, company, sector, content of roster rows (ticker, name, and sector, industry if known) whose ticker has no report yet.
+
+    key: what tells companies apart where several have one ticker; carry: columns of the roster to keep.
+    """
+    rows = roster.join(existing.select(key), key, "left_anti")
     for c in ("sector", "industry"):
         rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
     rows = rows.join(sections, "ticker", "left") if sections is not None else rows.withColumns({c: F.lit(None).cast("string") for c in ("section", "market_cap", "enterprise_value")})
@@ -73,7 +76,7 @@ def new_reports(roster: DataFrame, existing: DataFrame, sections: DataFrame | No
         F.lit("# "), F.col("ticker"), F.lit(" - [["), name, F.lit(f"]]\n\n{V.BUSINESS}\n**板塊:** "), known("sector", "Unknown"), F.lit("\n**產業:** "), known("industry", "Unknown"),
         F.lit("\n**市值:** "), known("market_cap", "N/A"), F.lit(f" {V.UNIT}\n**企業價值:** "), known("enterprise_value", "N/A"),
         F.lit(f" {V.UNIT}\n\n{V.TO_ENRICH_BUSINESS}\n\n{V.SUPPLY_CHAIN}\n{V.TO_ENRICH}\n\n{V.CUSTOMERS}\n{V.TO_ENRICH}\n\n"), known("section", none))
-    return rows.select("ticker", name.alias("company"), X.folder_name(known("sector", "Unknown")).alias("sector"), content.alias("content"))
+    return rows.select("ticker", name.alias("company"), X.folder_name(known("sector", "Unknown")).alias("sector"), content.alias("content"), *carry)
 
 
 def organized(reports: DataFrame) -> DataFrame:

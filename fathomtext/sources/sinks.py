@@ -21,9 +21,10 @@ def write_reports(reports: DataFrame, path: str, dry_run: bool = False) -> DataF
     return reports
 
 
-def markdown_files(reports: DataFrame) -> DataFrame:
-    """path and content as the folder layout has them: <sector>/<ticker>_<company>.md."""
-    return reports.select(F.concat_ws("/", X.folder_name(F.col("sector")), F.concat(F.col("ticker"), F.lit("_"), F.col("company"), F.lit(".md"))).alias("path"), "content")
+def markdown_files(reports: DataFrame, tree: str | None = None) -> DataFrame:
+    """path and content as the folder layout has them: <sector>/<ticker>_<company>.md; tree: a column with the folder above the sector's."""
+    above = [] if tree is None else [F.col(tree)]
+    return reports.select(F.concat_ws("/", *above, X.folder_name(F.col("sector")), F.concat(F.col("ticker"), F.lit("_"), F.col("company"), F.lit(".md"))).alias("path"), "content")
 
 
 def write_markdown(files: DataFrame, folder: str, dry_run: bool = False) -> int:
