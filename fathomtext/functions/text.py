@@ -30,6 +30,11 @@ def replacement(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body and its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """White space off both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -64,16 +69,18 @@ def occurrences(text: Column, pattern: str | Column) -> Column:
 
 def snippets(text: Column, keyword: str | Column, pattern: str | Column | None = None, reach: int = V.SNIPPET_REACH, most: int = V.SNIPPETS) -> Column:
     """The first bare occurrences with their surroundings, on one line each."""
-    parts = F.split(text, bare_pattern(keyword) if pattern is None else pattern, -1)
     word = F.lit(keyword)
 
-    def one(i: Column) -> Column:
-        before = F.right(F.call_function("array_join", F.slice(parts, F.lit(1), i), word), F.lit(reach))
+    def one(parts: Column, i: Column) -> Column:
+        before = F.substr(F.call_function("array_join", F.slice(parts, F.lit(1), i), word), F.lit(-reach), F.lit(reach))
         after = F.left(F.call_function("array_join", F.slice(parts, i + 1, F.size(parts)), word), F.lit(reach))
         return F.concat(F.lit("..."), strip(F.replace(F.concat(before, word, after), F.lit("\n"), F.lit(" "))), F.lit("..."))
 
-    n = F.least(F.lit(most), F.size(parts) - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), one)).otherwise(F.array().cast("array<string>"))
+    def first(parts: Column) -> Column:
+        n = F.least(F.lit(most), F.size(parts) - 1)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: one(parts, i))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(text, bare_pattern(keyword) if pattern is None else pattern, -1), first)
 
 
 def h2_body(text: Column, header: str) -> Column:
