@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from fathomtext.functions import text as X
+from fathomtext.operators import audit
 
 
 def plan(df):
@@ -12,3 +13,12 @@ def plan(df):
 def test_snippets_split_a_text_once(spark):
     rows = spark.createDataFrame([("a KW b [[KW]] c KW",)], "t string")
     assert plan(rows.select(X.snippets(F.col("t"), "KW").alias("s"))).count("split(t#") == 1
+
+
+def test_audit_takes_lines_and_links_once(spark):
+    reports = spark.createDataFrame([("1", "x" * 300 + " [[a]]")], "ticker string, content string")
+    batches = spark.createDataFrame([(1, ["1", "2"])], "batch int, tickers array<string>")
+    found = audit.audit(batches, reports)
+    text = plan(found.select("batch", "ticker", F.posexplode("issues").alias("ord", "issue")))
+    assert text.count("split(content#") == 1 and text.count("regexp_extract_all(content#") == 1
+    assert found.select(F.explode("issues").alias("i")).where("i like 'Only %'").count() == 1
