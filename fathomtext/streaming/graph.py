@@ -31,7 +31,7 @@ class ReportNames(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
         newest = max(rows, key=lambda r: (r["version"], r["names"] or []))
-        version, old = self.held.get() if self.held.exists() else (None, [])
+        version, old = self.held.get() or (None, [])
         if version is not None and newest["version"] < version:
             return
         old, new = set(old or []), set(newest["names"] or [])
@@ -66,14 +66,21 @@ def pair_changes(rows: DataFrame) -> DataFrame:
 
 
 def stream_edges(reports: DataFrame, folder: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keep the graph in folder up to date with a stream of reports; once: stop when all that is there has been read."""
+    """Keep the graph in folder up to date with a stream of reports; once: stop when all that is there has been read.
+
+    The names that a micro-batch changes are stored before pairs are made of them: pairs read them several times, and
+    each reading would run the stateful operator again.
+    """
     spark = reports.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
-    def store(rows: DataFrame, batch: int) -> None:
-        pair_changes(rows).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(names := f"{folder}/names/batch={batch}")
+        pair_changes(spark.read.schema(CHANGES).parquet(names)).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+        store, root = manifest.opened(folder)
+        store.delete_dir(f"{root}/names/batch={batch}")
 
-    writer = changes(reports).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(store)
+    writer = changes(reports).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(keep)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
