@@ -13,7 +13,7 @@ all their pairs. Documents under a key that many still share, such as letters ma
 are alike but not alike enough, are compared by rare shingles instead of by that key: with shingles
 ordered by frequency, a text and a longer one at 0.8 share one of the rarest ninth of the shorter and
 the rarest fifth of the longer, the first that they share leaves enough behind it in both, and few of 1024
-parities of their hashes differ. What each letter has for itself stands first, so unlike letters
+parities of their hashes differ; they meet under the first that they share. What each letter has for itself stands first, so unlike letters
 do not meet, and no pair at 0.8 among them is lost. No pair is judged twice.
 
 Decisions go by rising doc_id: a document with a near copy among those that stay is dropped, any
@@ -41,8 +41,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS, LEADING = 24, 6, (4, 12)
 #: Documents under one key, up to which all pairs are judged.
 CLOSE = 4
-#: Bits by which two sets are held against each other before they are compared.
-PARITIES = 1024
+#: Bits by which two sets are held against each other before they are compared, and rarer shingles by which two documents tell that they met before.
+PARITIES, BEFORE = 1024, 64
 #: Shingles hashed at once for the bands; links of a component that one task may decide; steps before components are looked for.
 CHUNK, SMALL, PEEL = 4096, 4096, 6
 _rng = np.random.default_rng(20)
@@ -191,8 +191,8 @@ def parities(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def prefix_pairs(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """u, v: pairs of documents (doc_id, text) with a rare shingle in common; all pairs of that similarity or more are among them."""
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, own (shingles) and bits (their parities) of documents (doc_id, text)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,7 +200,15 @@ def prefix_pairs(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
             bits = [parities(x) for x in own]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "own", "bits"])
 
-    sets = materialize(docs.select("doc_id", "text").mapInArrow(each, "doc_id long, own array<long>, bits array<long>"), "shingles")
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, own array<long>, bits array<long>")
+
+
+def meetings(sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """u, v: documents (as shingle_sets() has them) that meet under a rare shingle, all pairs of that similarity or more among them.
+
+    A pair meets under the rarest shingle that it shares; later ones see that by the BEFORE rarest of each document and
+    do not make it again. Only if that first one lies beyond these in a long text is the pair made more than once.
+    """
     rows = sets.select("doc_id", F.size("own").alias("n"), F.explode("own").alias("h"))
     # a shingle of one document only takes a place among the rarest, and can be left out but for that
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -208,18 +216,26 @@ def prefix_pairs(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     alone = F.col("n") - F.size("own")
     rarest = lambda share: F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") + 1 - F.ceil(F.col("n") * share - 1e-9).cast("int")))
 
-    def entries(share: float, doc: str, size: str, place: str, bits: str) -> DataFrame:
-        spread = own.select("doc_id", "n", "bits", alone.alias("alone"), F.posexplode(F.transform(rarest(share), lambda x: x["h"])).alias("k", "h"))
-        return spread.select("h", F.col("doc_id").alias(doc), F.col("n").alias(size), (F.col("alone") + F.col("k")).alias(place), F.col("bits").alias(bits))
+    def entries(share: float, doc: str, size: str, place: str, bits: str, before: str) -> DataFrame:
+        few = own.select("doc_id", "n", "bits", alone.alias("alone"), F.transform(rarest(share), lambda x: x["h"]).alias("few"))
+        spread = few.select("*", F.posexplode("few").alias("k", "h"))
+        rarer = F.slice("few", F.lit(1), F.least("k", F.lit(BEFORE)))
+        return spread.select("h", F.col("doc_id").alias(doc), F.col("n").alias(size), (F.col("alone") + F.col("k")).alias(place), F.col("bits").alias(bits), rarer.alias(before))
 
-    met = entries(2 * least / (1 + least), "a", "m", "p", "x").join(entries(least, "b", "n", "q", "y"), "h")
+    met = entries(2 * least / (1 + least), "a", "m", "p", "x", "r").join(entries(least, "b", "n", "q", "y", "s"), "h")
     both = (F.col("m") + F.col("n")) * (least / (1 + least)) - 1e-9
     # of the first shingle that two share: itself and all behind it is the most that they can share
     enough = 1 + F.least(F.col("m") - 1 - F.col("p"), F.col("n") - 1 - F.col("q")) >= both
     # and each parity that differs is a shingle that one of them has for itself
     apart = reduce(add, (F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(PARITIES // 64)))
-    met = met.where((F.struct("m", "a") < F.struct("n", "b")) & (F.col("m") >= F.col("n") * least - 1e-9) & enough & (apart <= F.col("m") + F.col("n") - 2 * both))
-    out = materialize(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "rare")
+    met = met.where((F.struct("m", "a") < F.struct("n", "b")) & (F.col("m") >= F.col("n") * least - 1e-9) & enough & (apart <= F.col("m") + F.col("n") - 2 * both) & ~F.arrays_overlap("r", "s"))
+    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def prefix_pairs(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """u, v: pairs of documents (doc_id, text) with a rare shingle in common; all pairs of that similarity or more are among them."""
+    sets = materialize(shingle_sets(docs), "shingles")
+    out = materialize(meetings(sets, least).distinct(), "rare")
     forget(sets)
     return out
 

@@ -81,3 +81,18 @@ def test_rare_shingles_lose_no_pair(spark):
     want = {(i, k) for i in sets for k in sets if i < k and jaccard(sets[i], sets[k]) >= 0.8}
     got = {tuple(r) for r in near_dedup.prefix_pairs(spark.createDataFrame(rows, "doc_id long, text string").where(F.lit(True))).collect()}
     assert want <= got
+
+
+def test_near_letters_meet_under_one_shingle(spark):
+    rng, rows = random.Random(12), letters(60, 7)
+    for i in range(0, 60, 2):
+        for k in (1, 2):
+            text = rows[i][1].split()
+            text[rng.randrange(len(text))] = f"edit{i}x{k}"
+            rows.append((1000 * k + i, " ".join(text)))
+    sets = {i: set(near_dedup.shingles(t.encode()).tolist()) for i, t in rows}
+    want = {(i, k) for i in sets for k in sets if i < k and jaccard(sets[i], sets[k]) >= 0.8}
+    docs = materialize(near_dedup.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string")), "letters")
+    met = [tuple(r) for r in near_dedup.meetings(docs).collect()]
+    assert len(want) >= 90 and want <= set(met)
+    assert len(met) == len(set(met))
