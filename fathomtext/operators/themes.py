@@ -39,7 +39,11 @@ def role_counts(rows: DataFrame, *groups: str) -> DataFrame:
     return rows.groupBy("role", *groups).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def company_counts(rows: DataFrame) -> DataFrame:
+def company_counts(rows: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """tag, companies of the tags of a small table (all if None); entries of other tags go before companies are told apart."""
+    rows = rows.select("tag", "ticker")
+    if of is not None:
+        rows = rows.join(F.broadcast(of.select("tag")), "tag", "left_semi")
     return rows.groupBy("tag").agg(F.count_distinct("ticker").alias("companies"))
 
 

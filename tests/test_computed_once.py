@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fathomtext.functions import text as X
 from fathomtext.operators import audit
+from fathomtext.plans import queries
 from fathomtext.streaming import graph
 
 
@@ -35,3 +36,10 @@ def test_pairs_of_a_micro_batch_do_not_run_the_stateful_operator_again(spark, tm
     assert len(seen) == 1 and "parquet" in seen[0] and "Transform" not in seen[0] and "MapPartitions" not in seen[0]
     assert [tuple(r) for r in graph.edges(spark, f"file://{tmp_path}/graph", 5).collect()] == [("a", "b", 5)]
     assert not (tmp_path / "graph" / "names" / "batch=0").exists()
+
+
+def test_entries_of_other_tags_go_before_companies_are_counted(spark):
+    lines = plan(queries.QUERIES["theme_related_counts"](spark, "/root/testdata/sf0.001")).splitlines()
+    semi = [i for i, x in enumerate(lines) if "Join LeftSemi" in x]
+    counted = [i for i, x in enumerate(lines) if "Aggregate [tag" in x and "ticker" in x]
+    assert semi and counted and max(counted) < semi[0]
