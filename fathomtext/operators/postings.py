@@ -22,7 +22,6 @@ from .order import placed
 SPAN, BUCKETS = 1 << 15, 16
 ROLES = list(V.ROLE_LABELS)
 _counts = "".join(f", {r} long" for r in ROLES)
-ENTRIES = "tag string, ticker string, company string, sector string, role string"
 SCHEMAS = {
     "docs": "ticker string, company string, sector string, doc long", "terms": f"tag string, companies long{_counts}", "forward": "doc long, tags array<string>",
     "postings": f"tag string, span long, n int{_counts}, at array<smallint>, role array<tinyint>, bucket int",
@@ -37,12 +36,18 @@ def build(entries: DataFrame, folder: str, buckets: int = BUCKETS) -> int:
     """Store the index of entries (tag, ticker, company, sector, role, as themes.entries gives them; a ticker once in a tag); returns its version."""
     spark = entries.sparkSession
     version, _ = manifest.read(folder)
-    docs, postings, terms, forward, made_once = (manifest.fresh(folder, n) for n in ("docs", "postings", "terms", "forward", "entries"))
-    entries.select("tag", "ticker", "company", "sector", "role").write.parquet(made_once)  # read four times below, gone with the vacuum
-    entries = spark.read.schema(ENTRIES).parquet(made_once)
+    docs, postings, terms, forward, *once_made = (manifest.fresh(folder, n) for n in ("docs", "postings", "terms", "forward", "entries", "named", "numbered"))
+
+    def kept(df: DataFrame, path: str) -> DataFrame:
+        """What is read several times below, made once; gone with the vacuum."""
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    entries = kept(entries.select("tag", "ticker", "company", "sector", "role"), once_made[0])
     once = entries.groupBy("ticker").agg(F.first("company").alias("company"), F.first("sector").alias("sector"))
-    placed(once, "ticker", name="doc").withColumn("doc", F.col("doc") - 1).write.parquet(docs)
+    placed(kept(once, once_made[1]), "ticker", name="doc").withColumn("doc", F.col("doc") - 1).write.parquet(docs)
     rows = entries.join(spark.read.schema(SCHEMAS["docs"]).parquet(docs).select("ticker", "doc"), "ticker").select("tag", "doc", F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("byte").alias("role"))
+    rows = kept(rows, once_made[2])
     span = F.floor(F.col("doc") / SPAN)
     list_ = F.sort_array(F.collect_list(F.struct((F.col("doc") % SPAN).cast("short").alias("at"), "role")))  # SPAN of them at most
     counts = [F.count_if(F.col("role") == i + 1).alias(r) for i, r in enumerate(ROLES)]

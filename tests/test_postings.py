@@ -83,3 +83,13 @@ def test_places_do_not_gather_common_prefixes(spark):
     assert [r["place"] for r in placed(frame.limit(1), "role", "ticker").collect()] == [1]
     same = placed(spark.createDataFrame([("x",)] * 10, "k string"), "k")
     assert sorted(r["place"] for r in same.collect()) == list(range(1, 11))
+
+
+def test_rows_read_several_times_are_made_once(spark, tmp_path, monkeypatch):
+    """Names are grouped and reports numbered once: what placed() reads three times and the join that two tables need are stored."""
+    seen, plain = [], postings.placed
+    monkeypatch.setattr(postings, "placed", lambda rows, *a, **k: seen.append(rows) or plain(rows, *a, **k))
+    rows = [("HBM", "1", "a", "s", "related"), ("5G", "1", "a", "s", "related"), ("HBM", "2", "b", "s", "related")]
+    postings.build(spark.createDataFrame(rows, "tag string, ticker string, company string, sector string, role string"), str(tmp_path / "index"))
+    assert "Aggregate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in postings.neighbors(spark, str(tmp_path / "index"), "HBM").collect()} == {("5G", 1)}
