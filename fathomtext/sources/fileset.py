@@ -15,11 +15,13 @@ there or none. With mode "overwrite" Markdown files that the job did not write a
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs
@@ -27,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 STAGING = ".fileset"
-#: Moves at once in a commit.
-MOVERS = 16
+#: Moves at once in a commit, and files of a list that it holds at a time.
+MOVERS, HELD = 16, 5000
 
 
 @dataclass
@@ -111,8 +113,8 @@ def safe(path: str) -> str:
 
 
 def entries(store: fs.FileSystem, listing: str) -> Iterator[tuple[str, str]]:
-    with store.open_input_stream(listing) as f:
-        for line in f.read().decode().splitlines():
+    with store.open_input_stream(listing) as f, io.TextIOWrapper(f, "utf-8") as lines:
+        for line in lines:
             staged, path = json.loads(line)
             yield staged, path
 
@@ -132,12 +134,12 @@ def finish(store: fs.FileSystem, root: str) -> None:
         written: set[str] = set()
         with ThreadPoolExecutor(MOVERS) as pool:
             for listing in record["lists"]:
-                parts = list(entries(store, listing))
-                for folder in {f"{root}/{path}".rpartition("/")[0] for _, path in parts}:
-                    store.create_dir(folder, recursive=True)
-                list(pool.map(lambda x: place(store, x[0], f"{root}/{x[1]}"), parts))
-                if record["overwrite"]:
-                    written |= {path for _, path in parts}
+                for parts in batched(entries(store, listing), HELD):
+                    for folder in {f"{root}/{path}".rpartition("/")[0] for _, path in parts}:
+                        store.create_dir(folder, recursive=True)
+                    list(pool.map(lambda x: place(store, x[0], f"{root}/{x[1]}"), parts))
+                    if record["overwrite"]:
+                        written |= {path for _, path in parts}
         if record["overwrite"]:
             for old in store.get_file_info(fs.FileSelector(root, recursive=True)):
                 name = old.path.removeprefix(root).lstrip("/")

@@ -6,42 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.upsert import PAYLOAD
+from . import folder
 from .sheets import SheetSource
 
 NAMED = r"^(\d{4})_(.+)\.md$"
 
 
-def decoded(path):
-    """A path without percent codes; a plus sign stays."""
-    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
-
-
 def report_paths(spark: SparkSession, root: str, pattern: str = NAMED, recursive: bool = True, tree: str | None = None) -> DataFrame:
     """ticker, path of the Markdown files whose name fits, of a ticker's files the last path; their contents are not read.
 
     tree: a pattern whose group names the collection that a path belongs to, if the folder holds several; a ticker then counts once in each.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).load(root if recursive else f"{root}/*/*.md")
-    path = decoded(F.col("_metadata.file_path"))
-    name = F.element_at(F.split(path, "/"), -1)
-    rows = files.where(name.rlike(pattern)).select(F.regexp_extract(name, r"^(\d{4})", 1).alias("ticker"), path.alias("path"))
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = folder.paths(spark, root, recursive).where(name.rlike(pattern)).select(F.regexp_extract(name, r"^(\d{4})", 1).alias("ticker"), "path")
     groups = ["ticker"] if tree is None else ["ticker", F.regexp_extract("path", tree, 1).alias("tree")]
     return rows.groupBy(*groups).agg(F.max("path").alias("path")).select("ticker", "path")
 
 
 def read_reports(spark: SparkSession, root: str, pattern: str = NAMED, recursive: bool = True, tree: str | None = None) -> DataFrame:
     """ticker, company, sector, path, content of the Markdown files whose name fits; of a ticker's files (in each tree) the last path counts."""
-    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower()).text(root if recursive else f"{root}/*/*.md", wholetext=True)
-    path = decoded(F.col("_metadata.file_path"))
-    rows = files.select(path.alias("path"), F.col("value").alias("content")).join(report_paths(spark, root, pattern, recursive, tree), "path")
+    rows = folder.texts(spark, root, recursive, report_paths(spark, root, pattern, recursive, tree))
     parts = F.split("path", "/")
-    return rows.select("ticker", F.nullif(F.regexp_extract(F.element_at(parts, -1), NAMED, 2), F.lit("")).alias("company"), F.element_at(parts, -2).alias("sector"), "path", "content")
+    return rows.select(F.regexp_extract(F.element_at(parts, -1), r"^(\d{4})", 1).alias("ticker"), F.nullif(F.regexp_extract(F.element_at(parts, -1), NAMED, 2), F.lit("")).alias("company"), F.element_at(parts, -2).alias("sector"), "path", "content")
 
 
 def read_all_markdown(spark: SparkSession, root: str) -> DataFrame:
     """path, content of every Markdown file, whatever its name."""
-    files = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(root, wholetext=True)
-    return files.select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content"))
+    return folder.texts(spark, root)
 
 
 def read_checklist(spark: SparkSession, path: str) -> DataFrame:
